@@ -22,8 +22,8 @@ PAIRS = "SELECT a.{g}, a.cluster AS i, b.cluster AS j, list_distance(a.centre, b
 DB = ("SELECT {g}, avg(worst) AS davies_bouldin FROM (SELECT p.{g}, p.i, max((a.s + b.s) / p.d) AS worst FROM pairs p JOIN within a ON a.{g} = p.{g} AND a.cluster = p.i "
       "JOIN within b ON b.{g} = p.{g} AND b.cluster = p.j GROUP BY ALL) GROUP BY {g}")
 GRAND = "SELECT {g}, i, avg(x[i]) AS c FROM {t}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL"
-CH = ("SELECT d.{g}, (sum(d.n * (d.c - g.c) ** 2) / (max(k) - 1)) / (max(ww) / (max(nn) - max(k))) AS calinski_harabasz FROM dims d JOIN grand g ON d.{g} = g.{g} AND d.i = g.i "
-      "JOIN (SELECT {g}, sum(w) AS ww, count(*) AS k FROM within GROUP BY {g}) w ON w.{g} = d.{g} JOIN (SELECT {g}, count(*) AS nn FROM {t} GROUP BY {g}) n ON n.{g} = d.{g} GROUP BY d.{g}")
+CH = ("SELECT d.{g}, (sum(d.n * (d.c - g.c) ** 2) / (max(kk) - 1)) / (max(ww) / (max(nn) - max(kk))) AS calinski_harabasz FROM dims d JOIN grand g ON d.{g} = g.{g} AND d.i = g.i "
+      "JOIN (SELECT {g}, sum(w) AS ww, count(*) AS kk FROM within GROUP BY {g}) w ON w.{g} = d.{g} JOIN (SELECT {g}, count(*) AS nn FROM {t} GROUP BY {g}) n ON n.{g} = d.{g} GROUP BY d.{g}")
 
 
 def geometry(g: str, t: str, *names: str) -> dict[str, str]:
@@ -183,9 +183,9 @@ CLONG = " UNION ALL ".join(f"SELECT cluster, '{c}' AS feature, {c} AS value FROM
 CTOP = "SELECT feature, value FROM (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, value) AS k FROM clong WHERE value IS NOT NULL GROUP BY ALL) WHERE k <= 3"
 
 
-@query("c3_categorical_profiles", sql(f"""SELECT cluster, feature, category, count(*) AS count, {r('100 * count(*) / CAST(sum(count(*)) OVER (PARTITION BY cluster, feature) AS DOUBLE)')} AS percentage
-  FROM (SELECT l.cluster, l.feature, CASE WHEN t.value IS NOT NULL THEN l.value ELSE 'Other' END AS category FROM clong l LEFT JOIN ctop t ON l.feature = t.feature AND l.value = t.value)
-  GROUP BY cluster, feature, category""", "cluster_rows", clong=CLONG, ctop=CTOP))
+@query("c3_categorical_profiles", sql(f"""SELECT cluster, feature, category, count, {r('100 * count / CAST(sum(count) OVER (PARTITION BY cluster, feature) AS DOUBLE)')} AS percentage
+  FROM (SELECT cluster, feature, category, count(*) AS count FROM (SELECT l.cluster, l.feature, CASE WHEN t.value IS NOT NULL THEN l.value ELSE 'Other' END AS category FROM clong l LEFT JOIN ctop t ON l.feature = t.feature AND l.value = t.value)
+  GROUP BY ALL)""", "cluster_rows", clong=CLONG, ctop=CTOP))
 def c3(spark, sf):
     return rounded(CL.categorical_profiles(X.cluster_rows(spark, sf), CAT))
 

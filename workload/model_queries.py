@@ -1 +1,287 @@
+"""FS1-FS8, M1-M14, H1-H8, E25, X1, G1-G5, L1-L3: training, search, explanation and scoring.
 
+Trained results have no SQL counterpart; these queries return what must hold.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from featurelens.operators import binary_metrics as BM, dbscan as D, models as M, regression_metrics as RM, select as FS, selection as S, split as L, transform as T, tune as H
+from featurelens.operators.explain import mean_attribution, shapley
+from featurelens.operators.shared import fresh_path
+from featurelens.plans import pipeline as PL, score as SC
+from featurelens.sources import read_parquet
+from featurelens.sources.writers import save_model
+from workload import fixtures as X
+from workload.fixtures import sql
+from workload.registry import query, r, rounded
+
+RAW = ["price", "balance", "priority", "segment"]
+
+
+def class_frame(spark, sf):
+    """Orders with a learnable target: expensive and urgent."""
+    df = X.labelled(spark, sf).withColumn("label", F.expr("CAST(price > 300000 OR (priority = '1-URGENT' AND price > 150000) AS DOUBLE)"))
+    return df.select("key", *RAW, "label")
+
+
+def prepared(df, label: str = "label"):
+    pre = T.fit_preprocessor(df, label, keep=RAW)
+    return pre, pre.transform(df).select("key", "features", F.col(label).cast("double").alias("label"), *RAW)
+
+
+def reg_frame(spark, sf):
+    li = X.table(spark, sf, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    df = li.select(key.alias("key"), "l_quantity", "l_discount", "l_tax", "l_linenumber", F.col("l_extendedprice").alias("label"))
+    return T.assemble(df, ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
+
+
+def emb(spark, sf):
+    return X.table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), "label")
+
+
+def _classifier(name: str, **params):
+    def run(spark, sf):
+        pre, df = prepared(class_frame(spark, sf))
+        pred = M.classifier(name, len(RAW), **params).fit(df).transform(df)
+        return rounded(BM.validate_binary(M.with_score(pred).withColumn("dataset", F.lit("train")), "key"))
+    return run
+
+
+for _id, _name, _params in (("m1", "logistic", {}), ("m2", "random_forest", {}), ("m3", "gradient_boosting", {"maxIter": 10}),
+                            ("m4", "decision_tree", {}), ("m5", "neural_network", {"maxIter": 20})):
+    query(f"{_id}_{_name}")(_classifier(_name, **_params))
+
+
+# least squares on one feature
+@query("m6_linear_regression", f"SELECT {r('regr_slope(l_extendedprice, l_quantity)', 4)} AS slope, {r('regr_intercept(l_extendedprice, l_quantity)', 4)} AS intercept FROM lineitem")
+def m6(spark, sf):
+    df = T.assemble(X.table(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label")), ["l_quantity"])
+    model = M.regressor("linear_regression", regParam=0.0).fit(df)
+    # the coefficients of the fitted line, read off two predictions
+    line = model.transform(df).agg(F.regr_slope("prediction", "l_quantity").alias("slope"), F.regr_intercept("prediction", "l_quantity").alias("intercept"))
+    return rounded(line, 4)
+
+
+def _regressor(name: str, **params):
+    def run(spark, sf):
+        df = reg_frame(spark, sf)
+        pred = M.regressor(name, **params).fit(df).transform(df).withColumn("dataset", F.lit("train"))
+        return rounded(BM.to_metric_rows(RM.basic_metrics(pred, "label", by=["dataset"]), ["dataset"], ["rmse", "mae", "r2"]), 2)
+    return run
+
+
+for _id, _name, _params in (("m7", "random_forest", {"numTrees": 10}), ("m8", "gradient_boosting", {"maxIter": 10}),
+                            ("m9", "decision_tree", {}), ("m10", "fm_regression", {"maxIter": 20})):
+    query(f"{_id}_{_name}_regressor" if "regression" not in _name else f"{_id}_{_name}")(_regressor(_name, **_params))
+
+
+def _clusterer(name: str, **params):
+    def run(spark, sf):
+        df = emb(spark, sf)
+        pred = M.clusterer(name, 4, **params).fit(df).transform(df)
+        return pred.groupBy("prediction").agg(F.count(F.lit(1)).alias("size"))
+    return run
+
+
+for _id, _name in (("m11", "kmeans"), ("m12", "bisecting_kmeans")):
+    query(f"{_id}_{_name}")(_clusterer(_name, maxIter=10))
+
+
+@query("m13_gaussian_mixture")
+def m13(spark, sf):
+    df = T.fit_scaler(X.labelled(spark, sf), ["price", "balance"]).transform(X.labelled(spark, sf))
+    pred = M.clusterer("gaussian_mixture", 3, maxIter=10).fit(df).transform(df)
+    return pred.groupBy("prediction").agg(F.count(F.lit(1)).alias("size"))
+
+
+EPS, MIN_PTS = 1.2, 5
+DB_POINTS = "SELECT c_custkey AS key, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer"
+DB_SQL = {
+    "pts": DB_POINTS,
+    "near": f"SELECT a.key AS a, b.key AS b FROM pts a JOIN pts b ON b.x BETWEEN a.x - {EPS} AND a.x + {EPS} AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {EPS}",
+    "core": f"SELECT a AS key FROM near GROUP BY a HAVING count(*) >= {MIN_PTS}",
+    "links": "SELECT a, b FROM near WHERE a IN (SELECT key FROM core) AND b IN (SELECT key FROM core)",
+}
+DB_REACH = "reach AS (SELECT key AS a, key AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)"
+DB_REST = {
+    "comp": "SELECT a AS key, min(b) AS root FROM reach GROUP BY a",
+    "named": "SELECT key, dense_rank() OVER (ORDER BY root) - 1 AS label FROM comp",
+    "border": "SELECT n.a AS key, min(m.label) AS label FROM near n JOIN named m ON n.b = m.key WHERE n.a NOT IN (SELECT key FROM core) GROUP BY n.a",
+}
+
+
+def _db_with() -> str:
+    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({t})" for n, t in DB_SQL.items()) + ", " + DB_REACH + ", " + ", ".join(f"{n} AS ({t})" for n, t in DB_REST.items()) + " ")
+
+
+@query("m14_dbscan", _db_with() + """SELECT p.key, coalesce(m.label, b.label, -1) AS prediction, m.key IS NOT NULL AS core FROM pts p LEFT JOIN named m ON p.key = m.key LEFT JOIN border b ON p.key = b.key""")
+def m14(spark, sf):
+    df = X.table(spark, sf, "customer").selectExpr("c_custkey AS key", "c_acctbal / 100 AS x", "CAST(c_nationkey AS DOUBLE) AS y")
+    return D.fit_dbscan(df, "key", ["x", "y"], EPS, MIN_PTS)
+
+
+FEATURES = ["price", "balance", "nation", "noise1", "noise2"]
+
+
+def select_frame(spark, sf):
+    return X.labelled(spark, sf).selectExpr("key", "price", "balance", "CAST(nation AS DOUBLE) AS nation", "CAST(key % 97 AS DOUBLE) AS noise1", "CAST(key % 89 AS DOUBLE) AS noise2",
+                                            "CAST(price > 300000 AS DOUBLE) AS label")
+
+
+@query("fs1_threshold_selection")
+def fs1(spark, sf):
+    return rounded(FS.threshold_selection(select_frame(spark, sf), FEATURES, "label"))
+
+
+@query("fs2_forest_importance")
+def fs2(spark, sf):
+    return rounded(FS.forest_importance(select_frame(spark, sf), FEATURES, "label", maxDepth=5))
+
+
+@query("fs3_chunked_selection")
+def fs3(spark, sf):
+    names = FS.chunked_selection(select_frame(spark, sf), FEATURES, "label", 2, chunk=3, per_chunk=1)
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+@query("fs6_importance_names")
+def fs6(spark, sf):
+    df = T.assemble(select_frame(spark, sf), FEATURES)
+    model = M.classifier("decision_tree").fit(df)
+    return rounded(FS.importance_table(spark, FEATURES, model.featureImportances))
+
+
+@query("fs7_select_features")
+def fs7(spark, sf):
+    return spark.createDataFrame([(n,) for n in FS.select_features(select_frame(spark, sf), FEATURES, "label", most=3)], "feature string")
+
+
+@query("fs8_importance_sink")
+def fs8(spark, sf):
+    path = fresh_path(spark, "importance")
+    FS.forest_importance(select_frame(spark, sf), FEATURES, "label", maxDepth=5).limit(30).write.mode("overwrite").parquet(path)
+    return rounded(read_parquet(spark, path))
+
+
+@query("t2_top_features")
+def t2(spark, sf):
+    return spark.createDataFrame([(n,) for n in FS.top_features(FS.forest_importance(select_frame(spark, sf), FEATURES, "label", maxDepth=4), 2)], "feature string")
+
+
+def _parts(spark, sf):
+    _, df = prepared(class_frame(spark, sf))
+    tagged = L.with_split(df, "key", {"train": 0.7, "valid": 0.3})
+    return tagged.where("dataset = 'train'").cache(), tagged.where("dataset = 'valid'").cache()
+
+
+@query("h1_grid_search")
+def h1(spark, sf):
+    train, valid = _parts(spark, sf)
+    return rounded(H.grid_search(train, valid, "classification", "decision_tree", {"maxDepth": [3, 5], "minInstancesPerNode": [1, 2]})[2])
+
+
+@query("h2_random_search")
+def h2(spark, sf):
+    train, valid = _parts(spark, sf)
+    return rounded(H.random_search(train, valid, "classification", "logistic", 4, {"maxIter": [10], "regParam": [0.01, 0.1, 0.5, 1.0], "elasticNetParam": [0.0, 0.5]})[2])
+
+
+@query("h3_successive_halving")
+def h3(spark, sf):
+    train, valid = _parts(spark, sf)
+    return rounded(H.halving_search(train, valid, "key", "classification", "decision_tree", 4)[2])
+
+
+@query("h5_cross_validation")
+def h5(spark, sf):
+    _, df = prepared(class_frame(spark, sf))
+    _, mean, std = H.cross_validate(L.with_folds(df, "key", 3), "classification", "decision_tree", 3)
+    return rounded(spark.createDataFrame([(mean, std)], "mean double, std double"))
+
+
+@query("h7_cluster_cross_validation")
+def h7(spark, sf):
+    return rounded(H.fold_summary(H.cluster_folds(L.with_folds(emb(spark, sf), "vec_id", 3), "kmeans", 4, 3, maxIter=10)))
+
+
+@query("h8_default_or_tuned")
+def h8(spark, sf):
+    train, valid = _parts(spark, sf)
+    tagged = train.withColumn("dataset", F.lit("train")).unionByName(valid.withColumn("dataset", F.lit("valid")))
+    tuned = H.grid_search(train, valid, "classification", "decision_tree", {"maxDepth": [2, 5]})[1]
+    rows = None
+    for name, model in (("default", M.classifier("decision_tree", maxDepth=3).fit(train)), ("tuned", tuned)):
+        m = BM.validate_binary(M.with_score(model.transform(tagged)), "key").withColumn("model", F.lit(name))
+        rows = m if rows is None else rows.unionByName(m)
+    return rounded(S.tuned_or_default(rows, "ks"))
+
+
+@query("e25_elbow_table")
+def e25(spark, sf):
+    return rounded(M.fit_k_range(emb(spark, sf), "kmeans", [2, 3, 4], maxIter=10)[1])
+
+
+@query("x1_attribution")
+def x1(spark, sf):
+    pre, df = prepared(class_frame(spark, sf))
+    model = M.classifier("decision_tree").fit(df)
+    return rounded(mean_attribution(shapley(df, model, "key", pre.feature_columns, max_rows=50, permutations=5)))
+
+
+def _class_model(spark, sf):
+    df = class_frame(spark, sf)
+    pre, ready = prepared(df)
+    return df, pre, PipelineModel([*pre.model.stages, M.classifier("logistic").fit(ready)])
+
+
+@query("g1_score_classification")
+def g1(spark, sf):
+    df, pre, model = _class_model(spark, sf)
+    return rounded(SC.score_classification(model, df.drop("label"), pre.raw_columns, ["key"]))
+
+
+@query("g2_positive_probability")
+def g2(spark, sf):
+    df, _, model = _class_model(spark, sf)
+    return rounded(M.with_score(model.transform(df)).select("key", "score"))
+
+
+@query("g4_score_clusters")
+def g4(spark, sf):
+    df = emb(spark, sf)
+    model = PipelineModel([M.clusterer("kmeans", 4, maxIter=10).fit(df)])
+    return rounded(SC.score_clusters(model, df, ["features"], ["vec_id"])[1])
+
+
+@query("g5_scoring_job")
+def g5(spark, sf):
+    df, pre, model = _class_model(spark, sf)
+    path, out = fresh_path(spark, "scoring-model"), fresh_path(spark, "scored")
+    save_model(spark, model, path, {"task": "classification", "required": pre.raw_columns, "key": "key"})
+    SC.score(spark, path, df.drop("label"), out)
+    return rounded(read_parquet(spark, out))
+
+
+@query("l1_fit_classifier")
+def l1(spark, sf):
+    cfg = PL.FitConfig(models=("logistic", "decision_tree"), exclude=("odate",))
+    df = class_frame(spark, sf)
+    return rounded(PL.fit_classifier(df, "label", "key", cfg).metrics)
+
+
+@query("l2_fit_regressor")
+def l2(spark, sf):
+    cfg = PL.FitConfig(models=("linear_regression", "decision_tree"))
+    df = reg_frame(spark, sf).drop("features")
+    return rounded(PL.fit_regressor(df, "label", "key", cfg).metrics, 3)
+
+
+@query("l3_fit_clusterer")
+def l3(spark, sf):
+    cfg = PL.FitConfig(models=("kmeans",), params={"kmeans": {"maxIter": 10}})
+    return rounded(PL.fit_clusterer(X.labelled(spark, sf).select("key", "price", "balance", "nation"), "key", cfg, (2, 3, 4)).metrics)
