@@ -28,6 +28,11 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[
     """Exact area under the ROC curve with mid-ranks for ties; null with one class."""
     by = list(by)
     table = score_table(df, label, score, by)
+    return auc_from_table(table, by, **kw)
+
+
+def auc_from_table(table: DataFrame, by: Sequence[str] = (), **kw) -> DataFrame:
+    by = list(by)
     run = _with_totals(running_totals(table, "score", {"cum_neg": F.col("neg")}, by=by, **kw), by)
     below = F.col("_q") - F.col("cum_neg") + F.col("neg") / 2
     return run.groupBy(*by).agg(

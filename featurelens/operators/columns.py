@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from featurelens.functions.expressions import NULL_TOKENS, coerce_number, field_type, is_numeric, is_string
+from featurelens.operators.shared import local_frame
 from featurelens.operators.profile import categorical_cardinality, exact_cardinality, missing_counts
 
 # Name parts that hint at a date, and the shapes of a date text.
@@ -156,4 +157,4 @@ def keep_encoded(df: DataFrame, features: Sequence[str], target: str | None = No
 def decisions(spark, columns: Sequence[str], kept: Sequence[str], reason: str) -> DataFrame:
     """Column decisions as rows ``(column, kept, reason)``."""
     keep = set(kept)
-    return spark.createDataFrame([(c, c in keep, None if c in keep else reason) for c in columns], DECISION_SCHEMA)
+    return local_frame(spark, [(c, c in keep, None if c in keep else reason) for c in columns], DECISION_SCHEMA)

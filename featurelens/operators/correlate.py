@@ -9,6 +9,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featurelens.functions.expressions import as_double, field_type, is_numeric
+from featurelens.operators.shared import local_frame
 
 # Least |r| of each strength label.
 STRENGTHS = [("very_strong", 0.8), ("strong", 0.6), ("moderate", 0.4), ("weak", 0.2)]
@@ -37,7 +38,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     m = Correlation.corr(vec, "_features").head()[0].toArray()
     rows = [(a, b, 1.0 if i == j and m[i, i] == m[i, i] else (None if m[i, j] != m[i, j] else float(m[i, j])))
             for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, MATRIX_SCHEMA)
+    return local_frame(df.sparkSession, rows, MATRIX_SCHEMA)
 
 
 def strength(r: Column) -> Column:

@@ -22,7 +22,7 @@ from featurelens.operators.joins import salted_join
 from featurelens.operators.neighbours import (
     POINT_CHUNK, QUERY_CHUNK, blocks, chunk_apply, distances, make_cells, stack,
 )
-from featurelens.operators.shared import ensure_checkpoint_dir
+from featurelens.operators.shared import ensure_checkpoint_dir, local_frame
 
 NOISE = -1
 REPRESENTATIVES = 16
@@ -277,6 +277,6 @@ def search_dbscan(df: DataFrame, key: str, features: Sequence[str], eps_values:
                 break
     if best is None:
         best = (df.select(key, F.lit(0).alias("prediction"), F.lit(True).alias("core")), 0.0)
-    table = df.sparkSession.createDataFrame(
-        trials, "eps double, min_pts int, n_clusters int, noise_percentage double, silhouette double, valid boolean")
+    table = local_frame(
+        df.sparkSession, trials, "eps double, min_pts int, n_clusters int, noise_percentage double, silhouette double, valid boolean")
     return best[0], table

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from featurelens.functions.expressions import field_type, is_numeric
 from featurelens.operators.joins import align_distributions
-from featurelens.operators.profile import MISSING_BIN, melt_numeric, melt_text
+from featurelens.operators.profile import MISSING_BIN, melt_numeric, melt_text, tag_datasets
 from featurelens.operators.quantiles import exact_quantiles
 from featurelens.operators.shared import pin_small
 
@@ -87,14 +86,29 @@ def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str], bins: i
 
 
 def psi_pairs(datasets: dict[str, DataFrame], features: Sequence[str], bins: int = 10, exact: bool = False) -> DataFrame:
-    """A19 part 1: PSI of every feature for every ordered pair ``first_vs_second``."""
+    """A19 part 1: PSI of every feature for every pair ``first_vs_second``.
+
+    The edges of a first dataset are fitted once and the dataset and all later
+    ones are binned with them in one job.
+    """
+    names = list(datasets)
+    if len(names) < 2:
+        raise ValueError("at least two datasets are needed")
+    tagged = tag_datasets({n: d.select(*features) for n, d in datasets.items()})
+    numeric, categorical = split_kinds(tagged, features)
     out = None
-    for first, second in combinations(datasets, 2):
-        part = psi(datasets[first], datasets[second], features, bins, exact).withColumn(
-            "comparison", F.lit(f"{first}_vs_{second}"))
+    for i, first in enumerate(names[:-1]):
+        edges = quantile_edges(datasets[first], numeric, bins, exact) if numeric else None
+        shares = bin_shares(tagged.where(F.col("dataset").isin(names[i:])), numeric, categorical, edges, ["dataset"])
+        e = shares.where(F.col("dataset") == first).select("feature", "bin", F.col("share").alias("expected"))
+        # the expected side once per later dataset
+        later = F.explode(F.array(*[F.lit(n) for n in names[i + 1:]]))
+        e = e.withColumn("dataset", later)
+        a = shares.where(F.col("dataset") != first).select("dataset", "feature", "bin", F.col("share").alias("actual"))
+        both = e.join(a, ["dataset", "feature", "bin"], "full_outer").fillna(0.0, ["expected", "actual"])
+        part = psi_from_shares(both, ["feature", "dataset"]).select(
+            "feature", "psi", F.concat(F.lit(first + "_vs_"), F.col("dataset")).alias("comparison"))
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("at least two datasets are needed")
     return out
 
 

@@ -111,6 +111,8 @@ def chunk_apply(cells: Cells, queries: DataFrame, points: DataFrame, reach: np.n
     Both frames have ``vec`` first; together the chunk pairs of a query hold
     every point within reach of it exactly once.
     """
+    # new attribute names: both sides may come from the same frame
+    points = points.toDF(*points.columns)
     q = queries.withColumn("_cell", cells.nearest()("vec").getField("cell"))
     s = points.withColumn("_cell", F.explode(cells.within_reach(reach)("vec")))
     size_q = q.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("_nq"))

@@ -1,8 +1,10 @@
 """Exact quantiles per group without gathering a group in one task.
 
-A sketch brackets the wanted ranks; only the values inside the brackets are
-counted and ordered. A bracket that still holds too many distinct values is
-narrowed again, so the last ordering step is bounded.
+Groups with few distinct values are counted value by value. In the others a
+sketch brackets the wanted ranks and only the values inside the brackets are
+counted and ordered; a bracket that still holds too many distinct values is
+narrowed again. So the last ordering step is bounded, and the rows are never
+shuffled before they are counted.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from featurelens.operators.shared import pin_small
+from featurelens.operators.shared import local_frame, pin_small
 
 SKETCH_ACCURACY = 10_000
 GRID = [i / 200 for i in range(201)]
-INF = float("inf")
+DIRECT = 0          # span id of the groups that need no bracket
 
 
 def exact_quantiles(
@@ -24,106 +26,108 @@ def exact_quantiles(
     group: Sequence[str],
     value: str,
     probs: Sequence[float],
-    bracket_rows: int = 200_000,
+    ordered_rows: int = 1_000_000,
 ) -> DataFrame:
     """Rows ``(*group, p, q, n)``: linear-interpolation quantiles of ``value``.
 
     Nulls are ignored; ``value`` must hold no NaN. Groups are few (features,
     datasets, clusters): they are named by the schema, not by the rows.
+    ``ordered_rows`` bounds the distinct values one task orders.
     """
-    spark = long.sparkSession
-    group = list(group)
+    spark, group = long.sparkSession, list(group)
     src = long.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    fields = [T.StructField(c, long.schema[c].dataType) for c in group]
 
-    margin = 3 / SKETCH_ACCURACY
-    asks = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    sketch = src.groupBy(*group).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [float(a) for a in asks], SKETCH_ACCURACY).alias("_b"),
-    )
-    _, sketch_rows = pin_small(sketch)
-
-    targets, spans = [], {}
-    for row in sketch_rows:
-        g = tuple(row[c] for c in group)
-        n = row["_n"]
-        for i, p in enumerate(probs):
+    def frame(rows: list, *columns: tuple[str, T.DataType]) -> DataFrame:
+        return local_frame(spark, rows, T.StructType(fields + [T.StructField(n, t) for n, t in columns]))
+
+    _, sizes = pin_small(src.groupBy(*group).agg(F.count("_v").alias("n"), F.approx_count_distinct("_v").alias("d")))
+    counts = {tuple(r[c] for c in group): r["n"] for r in sizes}
+    large = {tuple(r[c] for c in group) for r in sizes if min(r["n"], 1.2 * r["d"]) > ordered_rows}
+
+    targets = []
+    ranks: dict[tuple, list[tuple[float, int, int, float]]] = {}
+    for g, n in counts.items():
+        for p in probs:
             rank = p * (n - 1)
-            lo_rank = int(math.floor(rank + 1e-9)) if abs(rank - round(rank)) < 1e-9 else int(math.floor(rank))
-            span = (-INF, INF) if n <= bracket_rows else (row["_b"][i], row["_b"][len(probs) + i])
-            span_id = spans.setdefault((g, span), len(spans))
-            targets.append([span_id, g, float(p), n, lo_rank, min(lo_rank + 1, n - 1), max(0.0, rank - lo_rank)])
-    if not targets:
-        return spark.createDataFrame([], T.StructType(
-            [long.schema[c] for c in group]
-            + [T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType()), T.StructField("n", T.LongType())]))
-
-    gfields = [T.StructField(c, long.schema[c].dataType) for c in group]
-    span_schema = T.StructType(
-        [T.StructField("_span", T.IntegerType())] + gfields
-        + [T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
-
-    def span_frame(bounds: dict) -> DataFrame:
-        rows = [(sid, *g, float(lo), float(hi)) for sid, (g, lo, hi) in bounds.items()]
-        return spark.createDataFrame(rows, span_schema)
-
-    def inside(bounds: dict) -> DataFrame:
-        s = span_frame(bounds).alias("s")
-        cond = (F.col("_v") <= F.col("s._hi"))
-        for c in group:
-            cond = cond & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-        joined = src.alias("r").join(s, cond, "inner") if group else src.alias("r").join(s, cond)
-        # values under the bracket are only counted, as one null value
-        return joined.select("s._span", F.when(F.col("_v") >= F.col("s._lo"), F.col("_v")).alias("_v"))
-
-    bounds = {sid: (g, lo, hi) for (g, (lo, hi)), sid in spans.items()}
-    wanted = {}
-    for sid, _, _, _, lo_rank, hi_rank, _ in targets:
-        a, b = wanted.get(sid, (lo_rank, hi_rank))
-        wanted[sid] = (min(a, lo_rank), max(b, hi_rank))
-
-    big = {sid for sid, (_, lo, _) in bounds.items() if lo != -INF}
-    while big:
-        stats = inside({s: bounds[s] for s in big}).groupBy("_span").agg(
-            F.count_if(F.col("_v").isNull()).alias("below"),
-            F.count("_v").alias("held"),
-            F.approx_count_distinct("_v").alias("distinct"),
-            F.percentile_approx("_v", GRID, SKETCH_ACCURACY).alias("grid"),
-        ).collect()
-        again = set()
-        for row in stats:
-            sid = row["_span"]
-            g, lo, hi = bounds[sid]
-            if lo == hi or row["distinct"] <= bracket_rows:
-                continue
-            first, last = (r - row["below"] for r in wanted[sid])
-            step = (len(GRID) - 1) / max(1, row["held"])
-            i = max(0, int(math.floor(first * step)) - 1)
-            j = min(len(GRID) - 1, int(math.ceil((last + 1) * step)) + 1)
-            new = (g, row["grid"][i] if i > 0 else lo, row["grid"][j] if j < len(GRID) - 1 else hi)
-            if new != bounds[sid]:
-                bounds[sid] = new
-                again.add(sid)
-        big = again
-
-    counted = inside(bounds).groupBy("_span", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = W.partitionBy("_span").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.select("_span", "_v", "_c", F.sum("_c").over(upto).alias("_cum"))
-
-    target_schema = T.StructType(
-        [T.StructField("_span", T.IntegerType())] + gfields
-        + [T.StructField("p", T.DoubleType()), T.StructField("n", T.LongType()),
-           T.StructField("_r1", T.LongType()), T.StructField("_r2", T.LongType()), T.StructField("_f", T.DoubleType())])
-    wanted_ranks = spark.createDataFrame([(t[0], *t[1], *t[2:]) for t in targets], target_schema)
+            low = round(rank) if abs(rank - round(rank)) < 1e-9 else math.floor(rank)
+            ranks.setdefault(g, []).append((float(p), int(low), int(min(low + 1, n - 1)), max(0.0, rank - low)))
+
+    counted = []
+    if len(large) < len(counts):
+        few = src if not large else _among(src, frame([g for g in counts if g not in large]), group)
+        counted.append(few.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_span", F.lit(DIRECT)))
+        targets += [(*g, DIRECT, p, counts[g], a, b, f) for g in counts if g not in large for p, a, b, f in ranks[g]]
+    if large:
+        many = _among(src, frame(list(large)), group)
+        spans, of = _brackets(many, group, probs, ranks, frame, ordered_rows)
+        counted.append(_inside(many, spans, group, frame).groupBy(*group, "_v", "_span").agg(F.count(F.lit(1)).alias("_c")).select(
+            *group, "_v", "_c", "_span"))
+        targets += [(*g, of[g, p], p, counts[g], a, b, f) for g in large for p, a, b, f in ranks[g]]
+
+    wanted = frame(targets, ("_span", T.IntegerType()), ("p", T.DoubleType()), ("n", T.LongType()), ("_r1", T.LongType()),
+                   ("_r2", T.LongType()), ("_f", T.DoubleType()))
+    if not counted:
+        return wanted.select(*group, "p", F.lit(None).cast("double").alias("q"), "n")
+    table = counted[0] if len(counted) == 1 else counted[0].unionByName(counted[1])
+    upto = W.partitionBy(*group, "_span").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    ranked = table.withColumn("_cum", F.sum("_c").over(upto))
 
     def covers(rank: str):
         return (F.col(rank) >= F.col("_cum") - F.col("_c")) & (F.col(rank) < F.col("_cum"))
 
-    hit = ranked.join(wanted_ranks, "_span").where(F.col("_v").isNotNull() & (covers("_r1") | covers("_r2")))
+    hit = ranked.join(wanted, [*group, "_span"]).where(F.col("_v").isNotNull() & (covers("_r1") | covers("_r2")))
     a, b = F.max(F.when(covers("_r1"), F.col("_v"))), F.max(F.when(covers("_r2"), F.col("_v")))
     return hit.groupBy(*group, "p", "n", "_f").agg((a + (b - a) * F.col("_f")).alias("q")).select(*group, "p", "q", "n")
 
 
+def _among(src: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
+    return src.join(groups, group, "left_semi") if group else src
+
+
+def _brackets(many: DataFrame, group: list[str], probs: Sequence[float], ranks: dict, frame, ordered_rows: int):
+    """``{span: (group, low, high)}`` and ``{(group, p): span}`` with bounded distinct values per span."""
+    margin = 3 / SKETCH_ACCURACY
+    asks = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    _, rows = pin_small(many.groupBy(*group).agg(F.percentile_approx("_v", asks, SKETCH_ACCURACY).alias("b")))
+    spans, of, ids, need = {}, {}, {}, {}
+    for r in rows:
+        g = tuple(r[c] for c in group)
+        for i, (p, a, b, _) in enumerate(ranks[g]):
+            bound = (g, r["b"][i], r["b"][len(probs) + i])
+            span = ids.setdefault(bound, len(ids) + 1)
+            spans[span], of[g, p] = bound, span
+            first, last = need.get(span, (a, b))
+            need[span] = (min(first, a), max(last, b))
+    check = set(spans)
+    while check:
+        stats = _inside(many, {s: spans[s] for s in check}, group, frame).groupBy("_span").agg(
+            F.count_if(F.col("_v").isNull()).alias("below"), F.count("_v").alias("held"),
+            F.approx_count_distinct("_v").alias("distinct"), F.percentile_approx("_v", GRID, SKETCH_ACCURACY).alias("grid")).collect()
+        check = set()
+        for r in stats:
+            g, low, high = spans[r["_span"]]
+            if low == high or 1.2 * r["distinct"] <= ordered_rows:
+                continue
+            first, last = (k - r["below"] for k in need[r["_span"]])
+            step = (len(GRID) - 1) / max(1, r["held"])
+            i, j = max(0, math.floor(first * step) - 1), min(len(GRID) - 1, math.ceil((last + 1) * step) + 1)
+            new = (g, r["grid"][i] if i > 0 else low, r["grid"][j] if j < len(GRID) - 1 else high)
+            if new != spans[r["_span"]]:
+                spans[r["_span"]] = new
+                check.add(r["_span"])
+    return spans, of
+
+
+def _inside(many: DataFrame, spans: dict, group: list[str], frame) -> DataFrame:
+    """Values inside each span; values under it are only counted, as one null value."""
+    bounds = frame([(*g, s, float(a), float(b)) for s, (g, a, b) in spans.items()],
+                   ("_span", T.IntegerType()), ("_low", T.DoubleType()), ("_high", T.DoubleType()))
+    cond = F.col("_v") <= F.col("_high")
+    joined = many.join(bounds, group).where(cond) if group else many.join(bounds, cond)
+    return joined.select(*group, "_span", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v"))
+
+
 def quantile_columns(quantiles: DataFrame, group: Sequence[str], names: dict[float, str]) -> DataFrame:
     """One row per group with one column per asked probability."""
     return quantiles.groupBy(*group).agg(

@@ -11,7 +11,7 @@ from featurelens.functions.expressions import unit_hash
 from featurelens.operators.binary_metrics import to_metric_rows
 from featurelens.operators.columns import clean_predictions
 from featurelens.operators.quantiles import exact_quantiles, quantile_columns
-from featurelens.operators.shared import pin_small
+from featurelens.operators.shared import local_frame, pin_small
 
 ZERO_GUARD = 1e-8
 
@@ -105,7 +105,7 @@ def qq_table(df: DataFrame, target: str, prediction: str = "prediction", by: Seq
     probs = [i / (points + 1) for i in range(1, points + 1)]
     slim = df.select(*by, (F.col(target) - F.col(prediction)).alias("_e"))
     spark = df.sparkSession
-    normal = spark.createDataFrame([(p, NormalDist().inv_cdf(p)) for p in probs], "p double, theoretical double")
+    normal = local_frame(spark, [(p, NormalDist().inv_cdf(p)) for p in probs], "p double, theoretical double")
     if exact:
         q = exact_quantiles(slim, by, "_e", probs).select(*by, "p", F.col("q").alias("sample"))
     else:

@@ -10,7 +10,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from featurelens.functions.expressions import as_double, field_type
-from featurelens.operators.shared import pin_small
+from featurelens.operators.profile import melt_numeric
+from featurelens.operators.shared import local_frame
 from featurelens.operators.split import large_table_sample
 
 WIDE_LIMIT = 200          # more features than this are pre-filtered by statistics
@@ -20,12 +21,10 @@ IMPORTANCE_SCHEMA = "feature string, importance double"
 
 
 def statistics_table(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Variance and target correlation of every feature, one aggregation for all columns."""
+    """Variance and target correlation of every feature: one long frame, one aggregation."""
     y = as_double(target, field_type(df, target))
-    rows = F.array(*[F.struct(
-        F.lit(f).alias("feature"), F.variance(as_double(f, field_type(df, f))).alias("variance"),
-        F.corr(as_double(f, field_type(df, f)), y).alias("correlation")) for f in features])
-    out = df.agg(rows.alias("_rows")).select(F.inline("_rows"))
+    long = melt_numeric(df.withColumn("_y", y), features, ["_y"])
+    out = long.groupBy("feature").agg(F.variance("value").alias("variance"), F.corr("value", "_y").alias("correlation"))
     return out.withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double")))
 
 
@@ -39,8 +38,7 @@ def statistical_selection(df: DataFrame, features: Sequence[str], target: str, n
 
 def variance_selection(df: DataFrame, features: Sequence[str], n: int) -> DataFrame:
     """FS5: the ``n`` largest variances with their share of the total."""
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.variance(as_double(f, field_type(df, f))).alias("variance")) for f in features])
-    table = df.agg(rows.alias("_rows")).select(F.inline("_rows"))
+    table = melt_numeric(df, features).groupBy("feature").agg(F.variance("value").alias("variance"))
     w = W.orderBy(F.desc_nulls_last("variance"), "feature")
     total = F.sum("variance").over(W.partitionBy())
     return table.select("feature", "variance", F.coalesce(F.try_divide("variance", total), F.lit(1.0 / len(features))).alias("importance"),
@@ -55,7 +53,7 @@ def forest_size(features: int) -> tuple[int, int]:
 def importance_table(spark, features: Sequence[str], importances) -> DataFrame:
     """FS6/FS8: importance per feature name, largest first."""
     rows = [(f, float(importances[i])) for i, f in enumerate(features)]
-    return spark.createDataFrame(rows, IMPORTANCE_SCHEMA).orderBy(F.desc("importance"), "feature")
+    return local_frame(spark, rows, IMPORTANCE_SCHEMA).orderBy(F.desc("importance"), "feature")
 
 
 def _forest(df: DataFrame, features: Sequence[str], label: str, task: str, seed: int, **params):
@@ -127,7 +125,7 @@ def audit_trail(spark, columns: dict[str, str], dropped: Sequence[tuple[str, str
     """FS9: ``variable, data_type, status, drop_step, reason, selected`` per column."""
     why = {c: (s, r) for c, s, r in dropped}
     rows = [(c, t, "dropped" if c in why else "kept", *(why.get(c, (None, None))), c in set(selected)) for c, t in columns.items()]
-    return spark.createDataFrame(rows, T.StructType([
+    return local_frame(spark, rows, T.StructType([
         T.StructField("variable", T.StringType()), T.StructField("data_type", T.StringType()), T.StructField("status", T.StringType()),
         T.StructField("drop_step", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("selected", T.BooleanType())]))
 

@@ -6,12 +6,24 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows of an aggregated frame that the driver agrees to hold.
 SMALL_FRAME_ROWS = 200_000
 
 
+def local_frame(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
+    """Driver rows as a local relation, whose exact size the optimizer knows."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    table = pa.Table.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema)
+
+
 def pin_small(df: DataFrame, limit: int = SMALL_FRAME_ROWS) -> tuple[DataFrame, list]:
     """Evaluate an aggregated frame once and hold it as a local relation.
 
@@ -21,7 +33,7 @@ def pin_small(df: DataFrame, limit: int = SMALL_FRAME_ROWS) -> tuple[DataFrame,
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"aggregated frame has more than {limit} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema), rows
+    return local_frame(df.sparkSession, [tuple(r) for r in rows], df.schema), rows
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from featurelens.functions.expressions import unit_hash
 from featurelens.operators import models as M
+from featurelens.operators.shared import local_frame
 
 # Search spaces per model.
 CLASS_SPACE = {
@@ -94,7 +95,7 @@ def score_maps(make: Callable[..., Estimator], maps: Sequence[dict], train: Data
 def _table(spark, results: Sequence[tuple[dict, float, Model]], larger: bool) -> DataFrame:
     rows = [(i, str(dict(sorted(p.items()))), float(s)) for i, (p, s, _) in enumerate(results)]
     order = F.desc("score") if larger else F.asc("score")
-    return spark.createDataFrame(rows, "trial int, params string, score double").orderBy(order, "trial")
+    return local_frame(spark, rows, "trial int, params string, score double").orderBy(order, "trial")
 
 
 def _best(results, larger: bool):
@@ -141,7 +142,7 @@ def halving_search(train: DataFrame, valid: DataFrame, key: str, task: str, name
         results.sort(key=lambda r: r[1], reverse=larger)
         rounds += [(len(rounds), float(min(fraction, 1.0)), str(dict(sorted(p.items()))), float(s)) for p, s, _ in results]
         if len(alive) == 1 or fraction >= 1.0:
-            table = train.sparkSession.createDataFrame(rounds, "trial int, fraction double, params string, score double")
+            table = local_frame(train.sparkSession, rounds, "trial int, fraction double, params string, score double")
             return results[0][0], results[0][2], table
         alive = [p for p, _, _ in results[: max(1, len(results) // 2)]]
         fraction *= 2

@@ -17,6 +17,7 @@ from featurelens.operators.clusters import profile_clusters
 from featurelens.operators.columns import clean_numeric_target, clustering_columns, coerce_columns
 from featurelens.operators.profile import class_distribution, detect_imbalance, full_profile, tag_datasets
 from featurelens.operators.select import audit_trail, select_features
+from featurelens.operators.shared import pin_small
 from featurelens.operators.split import clustering_split, train_valid_test, with_folds
 from featurelens.operators.transform import (
     Preprocessor, build_preprocessing, encoded_frame, fit_preprocessor, with_label,
@@ -131,7 +132,7 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
                 fitted[name] = variants[name]
             rows = part if rows is None else rows.unionByName(part)
         # one row per model, dataset and metric
-        rows = df.sparkSession.createDataFrame(rows.collect(), rows.schema)
+        rows, _ = pin_small(rows)
         choose = S.champion_classification if task == "classification" else S.champion_regression
         ranking = choose(rows, metric, cfg.metric_dataset)
         best = ranking.where(F.col("rank") == 1).first()["model"]
@@ -203,7 +204,7 @@ def fit_clusterer(df: DataFrame, key: str, config: FitConfig | None = None, k_ra
             part = BM.to_metric_rows(wide, ["dataset"], ["silhouette", "calinski_harabasz", "davies_bouldin", "inertia", "num_clusters", "sample_count"])
             part = part.withColumn("model", F.lit(name))
             rows = part if rows is None else rows.unionByName(part)
-        rows = df.sparkSession.createDataFrame(rows.collect(), rows.schema)
+        rows, _ = pin_small(rows)
     finally:
         train.unpersist()
     source = F.when(F.col("dataset") == "valid", "validation").otherwise(F.col("dataset"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
 from featurelens.operators.columns import raw_name
+from featurelens.operators.shared import local_frame
 
 EXTENSIONS = {"csv": "csv", "tsv": "tsv", "tab": "tsv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 WORKING_ROWS = 100_000
@@ -126,6 +127,6 @@ def preview(df: DataFrame, n: int = 5, count: bool = True) -> tuple[DataFrame, d
 def preview_table(df: DataFrame) -> DataFrame:
     """S14 as a table: one row per column with type, position and the row count."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    names = df.sparkSession.createDataFrame(rows, "position int, column string, data_type string")
+    names = local_frame(df.sparkSession, rows, "position int, column string, data_type string")
     n = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("_k", F.lit(1))
     return names.withColumn("_k", F.lit(1)).join(n, "_k").drop("_k")

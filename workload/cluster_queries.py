@@ -180,7 +180,7 @@ def c2(spark, sf):
 
 
 CLONG = " UNION ALL ".join(f"SELECT cluster, '{c}' AS feature, {c} AS value FROM cluster_rows" for c in CAT)
-CTOP = "SELECT feature, value FROM (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, value) AS k FROM clong WHERE value IS NOT NULL GROUP BY ALL) WHERE k <= 3"
+CTOP = "SELECT feature, value FROM (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, value) AS k FROM clong WHERE value IS NOT NULL GROUP BY feature, value) WHERE k <= 3"
 
 
 @query("c3_categorical_profiles", sql(f"""SELECT cluster, feature, category, count, {r('100 * count / CAST(sum(count) OVER (PARTITION BY cluster, feature) AS DOUBLE)')} AS percentage
