@@ -69,3 +69,14 @@ def bucket_tree(value: Column, cuts: Sequence[float]) -> Column:
         return F.when(value < F.lit(float(cuts[mid])), build(lo, mid)).otherwise(build(mid + 1, hi))
 
     return build(0, len(cuts))
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation of the complete pairs; null for a constant side.
+
+    The built-in ``corr`` raises on a zero variance in ANSI mode.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from featurelens.functions.expressions import as_double, field_type, is_numeric
+from featurelens.functions.expressions import as_double, field_type, is_numeric, safe_corr
 from featurelens.operators.shared import local_frame
 
 # Least |r| of each strength label.
@@ -85,7 +85,7 @@ def target_correlation(df: DataFrame, features: Sequence[str], target: str, by:
     df = indexed_target(df, target)
     y = as_double(target, field_type(df, target))
     rows = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.corr(as_double(f, field_type(df, f)), y).alias("correlation"))
+        F.struct(F.lit(f).alias("feature"), safe_corr(as_double(f, field_type(df, f)), y).alias("correlation"))
         for f in features])
     out = df.groupBy(*by).agg(rows.alias("_rows")).select(*by, F.inline("_rows"))
-    return with_strength(out.withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double"))))
+    return with_strength(out)

@@ -20,7 +20,7 @@ from featurelens.functions.expressions import as_double, field_type
 from featurelens.operators.components import connected_components
 from featurelens.operators.joins import salted_join
 from featurelens.operators.neighbours import (
-    POINT_CHUNK, QUERY_CHUNK, blocks, chunk_apply, distances, make_cells, stack,
+    POINT_CHUNK, QUERY_CHUNK, blocks, chunk_apply, distances, make_cells, stack, objects,
 )
 from featurelens.operators.shared import ensure_checkpoint_dir, local_frame
 
@@ -82,7 +82,7 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b, w = stack(left["vec"]), stack(right["vec"]), right["weight"].to_numpy()
         total = np.concatenate([(distances(a[s], b) <= eps) @ w for s in blocks(len(a), len(b), d)])
-        return pd.DataFrame({"vec": list(a), "n": total.astype("int64")})
+        return pd.DataFrame({"vec": objects(a), "n": total.astype("int64")})
 
     sparse = pts.where(~F.col("dense")).select("vec")
     counted = chunk_apply(cells, sparse, pts.select("vec", "weight"), reach, count, "vec array<double>, n bigint")
@@ -108,7 +108,7 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
             links.update(zip(na[s][i], nb[j]))
         pairs = [(u, v) for u, v in links if u != v]
         kept = _forest(np.array([u for u, _ in pairs], dtype=object), np.array([v for _, v in pairs], dtype=object))
-        return pd.DataFrame({"u": [u for u, _ in kept], "v": [v for _, v in kept]})
+        return pd.DataFrame({"u": objects(u for u, _ in kept), "v": objects(v for _, v in kept)})
 
     edges = chunk_apply(cells, asking, core.select("vec", "node"), reach, link, "u string, v string").distinct()
     nodes = core.select("node").distinct()
@@ -126,7 +126,7 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
         best = np.concatenate([np.where(distances(a[s], b) <= eps, label[None, :], np.iinfo("int32").max).min(axis=1)
                                for s in blocks(len(a), len(b), d)])
         hit = best < np.iinfo("int32").max
-        return pd.DataFrame({"vec": [v for v, h in zip(a, hit) if h], "prediction": best[hit].astype("int32")})
+        return pd.DataFrame({"vec": objects(v for v, h in zip(a, hit) if h), "prediction": best[hit].astype("int32")})
 
     edge_rows = pts.where(~F.col("core")).select("vec")
     near = chunk_apply(cells, edge_rows, core_labels, reach, border, "vec array<double>, prediction int")
@@ -159,7 +159,7 @@ def _join_separate_cells(core: DataFrame, comp: DataFrame, nodes: DataFrame, edg
             i, j = np.nonzero((np.sqrt((gap ** 2).sum(axis=2)) <= eps) & (ca[s][:, None] < cb[None]))
             u.extend(na[s][i])
             v.extend(nb[j])
-        return pd.DataFrame({"u": u, "v": v})
+        return pd.DataFrame({"u": objects(u), "v": objects(v)})
 
     # centres of two such boxes are at most eps plus two half diagonals apart
     reach = np.full(len(cells.pivots), 2.0 * eps)
@@ -193,8 +193,8 @@ def _join_separate_cells(core: DataFrame, comp: DataFrame, nodes: DataFrame, edg
             x, y = stack(left["vec"]), stack(right["vec"])
             for s in blocks(len(x), len(y), d):
                 if (distances(x[s], y) <= eps).any():
-                    return pd.DataFrame({"u": [left["u"].iloc[0]], "v": [left["v"].iloc[0]]})
-        return pd.DataFrame({"u": [], "v": []})
+                    return pd.DataFrame({"u": objects([left["u"].iloc[0]]), "v": objects([left["v"].iloc[0]])})
+        return pd.DataFrame({"u": objects([]), "v": objects([])})
 
     keys = ["u", "v", "_qc", "_sc"]
     more = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(touch, "u string, v string").distinct()
@@ -228,7 +228,7 @@ def assign_dbscan(new: DataFrame, key: str, features: Sequence[str], fitted: Dat
             pick.append(np.where(dist <= low[-1][:, None], label[None, :], np.iinfo("int32").max).min(axis=1))
         low, pick = np.concatenate(low), np.concatenate(pick)
         ok = low <= eps
-        return pd.DataFrame({"vec": [v for v, h in zip(a, ok) if h], "distance": low[ok], "prediction": pick[ok].astype("int32")})
+        return pd.DataFrame({"vec": objects(v for v, h in zip(a, ok) if h), "distance": low[ok], "prediction": pick[ok].astype("int32")})
 
     found = chunk_apply(cells, points, cores, np.full(len(cells.pivots), float(eps)), nearest,
                         "vec array<double>, distance double, prediction int")

@@ -39,6 +39,11 @@ def stack(series: pd.Series) -> np.ndarray:
     return np.vstack(series.to_numpy()).astype(float)
 
 
+def objects(values) -> pd.Series:
+    """Text and array columns as plain objects, also when they are empty."""
+    return pd.Series(list(values), dtype=object)
+
+
 def distinct_points(df: DataFrame, vec: str) -> DataFrame:
     """``vec, weight``: equal vectors merged."""
     return df.groupBy(F.col(vec).alias("vec")).agg(F.count(F.lit(1)).alias("weight"))
@@ -126,7 +131,7 @@ def chunk_apply(cells: Cells, queries: DataFrame, points: DataFrame, reach: np.n
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: objects([]) for n in names})
         return fn(left, right)
 
     keys = ["_cell", "_qc", "_sc"]

@@ -60,7 +60,7 @@ def exact_quantiles(
         targets += [(*g, DIRECT, p, counts[g], a, b, f) for g in counts if g not in large for p, a, b, f in ranks[g]]
     if large:
         many = _among(src, frame(list(large)), group)
-        spans, of = _brackets(many, group, probs, ranks, frame, ordered_rows)
+        spans, of = _brackets(many, group, probs, ranks, frame, ordered_rows, min(counts[g] for g in large))
         counted.append(_inside(many, spans, group, frame).groupBy(*group, "_v", "_span").agg(F.count(F.lit(1)).alias("_c")).select(
             *group, "_v", "_c", "_span"))
         targets += [(*g, of[g, p], p, counts[g], a, b, f) for g in large for p, a, b, f in ranks[g]]
@@ -85,9 +85,10 @@ def _among(src: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
     return src.join(groups, group, "left_semi") if group else src
 
 
-def _brackets(many: DataFrame, group: list[str], probs: Sequence[float], ranks: dict, frame, ordered_rows: int):
+def _brackets(many: DataFrame, group: list[str], probs: Sequence[float], ranks: dict, frame, ordered_rows: int, smallest: int):
     """``{span: (group, low, high)}`` and ``{(group, p): span}`` with bounded distinct values per span."""
-    margin = 3 / SKETCH_ACCURACY
+    # the error of the sketch, and one rank on either side
+    margin = 3 / SKETCH_ACCURACY + 2 / smallest
     asks = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     _, rows = pin_small(many.groupBy(*group).agg(F.percentile_approx("_v", asks, SKETCH_ACCURACY).alias("b")))
     spans, of, ids, need = {}, {}, {}, {}

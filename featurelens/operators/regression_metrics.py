@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from featurelens.functions.expressions import unit_hash
+from featurelens.functions.expressions import safe_corr, unit_hash
 from featurelens.operators.binary_metrics import to_metric_rows
 from featurelens.operators.columns import clean_predictions
 from featurelens.operators.quantiles import exact_quantiles, quantile_columns
@@ -116,7 +116,7 @@ def qq_table(df: DataFrame, target: str, prediction: str = "prediction", by: Seq
 
 def qq_fit(qq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """R2 of the Q-Q line."""
-    return qq.groupBy(*by).agg(F.pow(F.corr("theoretical", "sample"), 2).alias("qq_r2"))
+    return qq.groupBy(*by).agg(F.pow(safe_corr(F.col("theoretical"), F.col("sample")), 2).alias("qq_r2"))
 
 
 def sample_points(df: DataFrame, target: str, key: str | Sequence[str], prediction: str = "prediction", by: Sequence[str] = (),

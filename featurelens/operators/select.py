@@ -9,7 +9,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from featurelens.functions.expressions import as_double, field_type
+from featurelens.functions.expressions import as_double, field_type, safe_corr
 from featurelens.operators.profile import melt_numeric
 from featurelens.operators.shared import local_frame
 from featurelens.operators.split import large_table_sample
@@ -24,8 +24,8 @@ def statistics_table(df: DataFrame, features: Sequence[str], target: str) -> Dat
     """Variance and target correlation of every feature: one long frame, one aggregation."""
     y = as_double(target, field_type(df, target))
     long = melt_numeric(df.withColumn("_y", y), features, ["_y"])
-    out = long.groupBy("feature").agg(F.variance("value").alias("variance"), F.corr("value", "_y").alias("correlation"))
-    return out.withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double")))
+    return long.groupBy("feature").agg(
+        F.variance("value").alias("variance"), safe_corr(F.col("value"), F.col("_y")).alias("correlation"))
 
 
 def statistical_selection(df: DataFrame, features: Sequence[str], target: str, n: int) -> DataFrame:

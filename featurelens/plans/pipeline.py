@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from featurelens.operators import binary_metrics as BM, models as M, regression_metrics as RM, selection as S, tune
@@ -85,7 +85,7 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
     parts = train_valid_test(df, key, cfg.train_size, cfg.valid_size, cfg.seed)
     raw, sampled = _selected_raw(working_sample(parts["train"], seed=cfg.seed), target, key, task, cfg)
     pre = fit_preprocessor(parts["train"].select(key, target, *raw), target, keep=raw, missing_threshold=1.0, max_categories=cfg.max_categories)
-    classes = 2
+    classes, synthetic = 2, False
     train_rows = parts["train"]
     if task == "classification":
         dist = class_distribution(train_rows, target)
@@ -93,16 +93,18 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
         if classes < 2:
             raise ValueError("the target has a single class")
         if cfg.auto_balance and detect_imbalance(dist, cfg.balance_ratio).first()["is_imbalanced"]:
-            if cfg.balance_method == "smote":
-                raise ValueError("smote works on encoded numbers: call operators.balance.smote on the encoded frame")
-            train_rows = oversample(train_rows, target, key, cfg.balance_ratio, cfg.seed).drop("copy")
+            if cfg.balance_method == "oversample":
+                train_rows = oversample(train_rows, target, key, cfg.balance_ratio, cfg.seed).drop("copy")
+            elif cfg.balance_method != "smote":
+                raise ValueError(f"unknown balance method: {cfg.balance_method}")
+            synthetic = cfg.balance_method == "smote"
 
     def ready(d: DataFrame) -> DataFrame:
         out = pre.transform(d)
         out = with_label(pre, out) if task == "classification" else out.withColumn("label", F.col(target).cast("double"))
         return out.select(key, "features", "label")
 
-    train = ready(train_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    train = (_synthetic(ready(train_rows), key, len(pre.feature_columns), cfg) if synthetic else ready(train_rows)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         data = {"train": ready(parts["train"]), "valid": ready(parts["valid"]), "test": ready(parts["test"]), **{n: ready(d) for n, d in later.items()}}
         tagged = tag_datasets(data)
@@ -150,6 +152,15 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
     return FitResult(PipelineModel(stages), task, best, rows, ranking, pre, trail, profile, target, key)
 
 
+def _synthetic(ready_rows: DataFrame, key: str, width: int, cfg: FitConfig) -> DataFrame:
+    """Rows between neighbours of the small classes, on the encoded and scaled features."""
+    arr = vector_to_array("features")
+    names = [f"f{i}" for i in range(width)]
+    flat = ready_rows.select(key, "label", *[arr.getItem(i).alias(n) for i, n in enumerate(names)])
+    out = smote(flat, "label", key, names, cfg.balance_ratio, seed=cfg.seed)
+    return out.select(array_to_vector(F.array(*names)).alias("features"), "label")
+
+
 def _tuned(train, valid, key, task, name, width, classes, cfg: FitConfig):
     if cfg.tune == "grid":
         return tune.grid_search(train, valid, task, name, features=width, classes=classes, parallelism=cfg.parallelism)[1]
