@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from featurelens.operators.ordering import cumulative_by_step, ntiles, running_totals
@@ -117,12 +118,25 @@ def to_metric_rows(wide: DataFrame, by: Sequence[str], metrics: Sequence[str]) -
 
 def validate_binary(df: DataFrame, key: str | Sequence[str], label: str = "label", score: str = "score", prediction: str = "prediction",
                     by: Sequence[str] = ("dataset",), **kw) -> DataFrame:
-    """Metric rows ``roc``, ``accuracy``, ``ks`` per group, all groups in the same jobs."""
+    """Metric rows ``roc``, ``accuracy``, ``ks`` per group, all groups in the same jobs.
+
+    The few columns needed are kept while the metrics are computed, so that the
+    model behind the predictions runs once; the metric rows come back pinned.
+    """
     by = list(by)
-    a = auc(df, label, score, by, **kw).withColumnRenamed("auc", "roc")
-    c = accuracy(df, label, prediction, by)
-    k = ks(decile_table(df, label, score, key, by, **kw), by)
-    return to_metric_rows(a.join(c, by).join(k, by), by, ["roc", "accuracy", "ks"])
+    keys = [key] if isinstance(key, str) else list(key)
+    names = list(dict.fromkeys([*by, *keys, label, score, prediction]))
+    slim = df.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        table = slim.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+            F.sum(F.col(label).cast("int")).alias("pos"), F.sum(1 - F.col(label).cast("int")).alias("neg"),
+            F.count_if(F.col(label) == F.col(prediction)).alias("hit"))
+        c = table.groupBy(*by).agg((F.sum("hit") / F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"))
+        a = auc_from_table(table, by, **kw).withColumnRenamed("auc", "roc")
+        k = ks(decile_table(slim, label, score, keys, by, **kw), by)
+        return pin_small(to_metric_rows(a.join(c, by).join(k, by), by, ["roc", "accuracy", "ks"]))[0]
+    finally:
+        slim.unpersist()
 
 
 def validate_multiclass(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ("dataset",)) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -185,6 +186,14 @@ def _davies(table: DataFrame, geometry: DataFrame, by: Sequence[str]) -> DataFra
 def evaluate_clusters(df: DataFrame, features: str = "features", cluster: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     """E17-E22 in one row per group: one grouped pass for the sums, one for the rows."""
     by = list(by)
+    slim = df.select(*by, features, cluster).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _evaluate(slim, features, cluster, by)
+    finally:
+        slim.unpersist()
+
+
+def _evaluate(df: DataFrame, features: str, cluster: str, by: list[str]) -> DataFrame:
     table, _ = pin_small(centres(df, features, cluster, by))
     geometry = point_geometry(df, features, cluster, by, table=table)
     per = geometry.groupBy(*by, "cluster").agg(

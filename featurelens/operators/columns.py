@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featurelens.functions.expressions import NULL_TOKENS, coerce_number, field_type, is_numeric, is_string
+from featurelens.functions.expressions import NULL_TOKENS, approx_distinct, coerce_number, field_type, is_numeric, is_string
 from featurelens.operators.shared import local_frame
 from featurelens.operators.profile import categorical_cardinality, exact_cardinality, missing_counts
 
@@ -138,7 +138,7 @@ def suggest_target(df: DataFrame, task: str = "classification") -> str:
     if task == "regression":
         nums = numeric_columns(df)
         return nums[0] if nums else df.columns[-1]
-    row = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in df.columns]).first()
+    row = df.agg(*[approx_distinct(F.col(f"`{c}`"), field_type(df, c)).alias(c) for c in df.columns]).first()
     few = [c for c in df.columns if row[c] <= 4]
     if few:
         sure = df.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in few]).first()

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from featurelens.functions.expressions import (
-    as_double, field_type, is_missing, is_numeric, is_string, null_if_missing,
+    approx_distinct, as_double, field_type, is_missing, is_numeric, is_string, null_if_missing,
 )
 from featurelens.operators.quantiles import exact_quantiles, quantile_columns
 from featurelens.operators.shared import pin_small
@@ -64,10 +64,10 @@ def missing_counts(df: DataFrame, features: Sequence[str] | None = None, by: Seq
     return out.withColumn("missing_fraction", F.try_divide(F.col("missing_count"), F.col("total_rows")))
 
 
-def categorical_cardinality(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), rsd: float = 0.01) -> DataFrame:
+def categorical_cardinality(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A2: approximate distinct count, missing count and percentage."""
     out = _per_feature(df, features, by, lambda f, t: [
-        F.approx_count_distinct(null_if_missing(f, t), rsd).alias("unique_count"),
+        approx_distinct(null_if_missing(f, t), t).alias("unique_count"),
         F.count_if(is_missing(f, t)).alias("missing_count"),
         F.count(F.lit(1)).alias("total_count")])
     return out.withColumn("missing_percentage", F.try_divide(F.col("missing_count"), F.col("total_count")) * 100)
@@ -97,16 +97,20 @@ def numeric_univariate(df: DataFrame, features: Sequence[str], by: Sequence[str]
         v = as_double(f, t)
         cols = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev(v).alias("stddev"),
                 F.min(v).alias("min"), F.max(v).alias("max")]
-        if not exact:
-            q = F.percentile_approx(v, list(QUARTILES), 10_000)
-            cols += [q.getItem(i).alias(n) for i, n in enumerate(QUARTILES.values())]
-        return cols
+        if exact:
+            return [*cols, F.approx_count_distinct(v).alias("_distinct")]
+        q = F.percentile_approx(v, list(QUARTILES), 10_000)
+        return cols + [q.getItem(i).alias(n) for i, n in enumerate(QUARTILES.values())]
 
     out = _per_feature(df, features, by, stats)
-    if exact:
-        q = exact_quantiles(melt_numeric(df, features, by), [*by, "feature"], "value", list(QUARTILES))
-        out = out.join(quantile_columns(q, [*by, "feature"], QUARTILES), [*by, "feature"], "left")
-    return out
+    if not exact:
+        return out
+    keys = [*by, "feature"]
+    # one row per feature and group: its counts also steer the quantiles
+    out, rows = pin_small(out)
+    sizes = {tuple(r[k] for k in keys): (r["count"], r["_distinct"]) for r in rows}
+    q = exact_quantiles(melt_numeric(df, features, by), keys, "value", list(QUARTILES), sizes=sizes)
+    return out.drop("_distinct").join(quantile_columns(q, keys, QUARTILES), keys, "left")
 
 
 def top_values(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), n: int = 10) -> DataFrame:
@@ -134,7 +138,7 @@ def univariate_profile(
         cols = [F.count(F.lit(1)).alias("total_rows"), F.count_if(is_missing(f, t)).alias("missing_count"),
                 F.count(null_if_missing(f, t)).alias("count")]
         if not exact:
-            cols.append(F.approx_count_distinct(null_if_missing(f, t), 0.01).alias("unique_count"))
+            cols.append(approx_distinct(null_if_missing(f, t), t).alias("unique_count"))
         return cols
 
     out = _per_feature(df, features, by, basics)

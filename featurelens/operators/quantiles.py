@@ -27,12 +27,14 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     ordered_rows: int = 1_000_000,
+    sizes: dict[tuple, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Rows ``(*group, p, q, n)``: linear-interpolation quantiles of ``value``.
 
     Nulls are ignored; ``value`` must hold no NaN. Groups are few (features,
     datasets, clusters): they are named by the schema, not by the rows.
-    ``ordered_rows`` bounds the distinct values one task orders.
+    ``ordered_rows`` bounds the distinct values one task orders. ``sizes`` gives
+    the count and the approximate distinct count per group when they are known.
     """
     spark, group = long.sparkSession, list(group)
     src = long.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -41,9 +43,11 @@ def exact_quantiles(
     def frame(rows: list, *columns: tuple[str, T.DataType]) -> DataFrame:
         return local_frame(spark, rows, T.StructType(fields + [T.StructField(n, t) for n, t in columns]))
 
-    _, sizes = pin_small(src.groupBy(*group).agg(F.count("_v").alias("n"), F.approx_count_distinct("_v").alias("d")))
-    counts = {tuple(r[c] for c in group): r["n"] for r in sizes}
-    large = {tuple(r[c] for c in group) for r in sizes if min(r["n"], 1.2 * r["d"]) > ordered_rows}
+    if sizes is None:
+        _, rows = pin_small(src.groupBy(*group).agg(F.count("_v").alias("n"), F.approx_count_distinct("_v").alias("d")))
+        sizes = {tuple(r[c] for c in group): (r["n"], r["d"]) for r in rows}
+    counts = {g: n for g, (n, _) in sizes.items() if n > 0}
+    large = {g for g, n in counts.items() if min(n, 1.2 * sizes[g][1]) > ordered_rows}
 
     targets = []
     ranks: dict[tuple, list[tuple[float, int, int, float]]] = {}

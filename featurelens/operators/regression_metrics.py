@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, functions as F
 
 from featurelens.functions.expressions import safe_corr, unit_hash
 from featurelens.operators.binary_metrics import to_metric_rows
@@ -136,7 +137,10 @@ METRICS = ["rmse", "mae", "r2", "mse", "mape", "explained_variance", "max_error"
 def validate_regression(df: DataFrame, target: str, prediction: str = "prediction", by: Sequence[str] = ("dataset",), exact: bool = False) -> DataFrame:
     """Metric rows of E8-E10 per group after dropping unusable rows."""
     by = list(by)
-    clean = clean_predictions(df, target, prediction)
-    wide = basic_metrics(clean, target, prediction, by).join(percentage_metrics(clean, target, prediction, by), by).join(
-        extended_metrics(clean, target, prediction, by, exact), by)
-    return to_metric_rows(wide, by, METRICS)
+    clean = clean_predictions(df, target, prediction).select(*by, target, prediction).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        wide = basic_metrics(clean, target, prediction, by).join(percentage_metrics(clean, target, prediction, by), by).join(
+            extended_metrics(clean, target, prediction, by, exact), by)
+        return pin_small(to_metric_rows(wide, by, METRICS))[0]
+    finally:
+        clean.unpersist()
