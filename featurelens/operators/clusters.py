@@ -20,13 +20,17 @@ def sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 def numeric_profiles(df: DataFrame, features: Sequence[str], cluster: str = "cluster", exact: bool = False) -> DataFrame:
     """Statistics per cluster and feature with the percent difference from the overall mean.
 
-    The overall figures are one more grouped row set, from the same wide aggregation.
+    The overall mean and deviation are merged from those of the clusters: no second scan.
     """
     per = numeric_univariate(df, features, [cluster], exact).withColumnRenamed(cluster, "cluster")
-    overall = numeric_univariate(df, features).select("feature", F.col("mean").alias("overall_mean"), F.col("stddev").alias("overall_std"))
+    every = W.partitionBy("feature")        # one row per cluster
+    n = F.sum("count").over(every)
+    per = per.withColumn("overall_mean", F.try_divide(F.sum(F.col("count") * F.col("mean")).over(every), n))
+    spread = F.coalesce(F.col("stddev"), F.lit(0.0))
+    square = (F.col("count") - 1) * spread * spread + F.col("count") * F.pow(F.col("mean") - F.col("overall_mean"), 2)
+    per = per.withColumn("overall_std", F.sqrt(F.try_divide(F.sum(square).over(every), F.nullif(n - 1, F.lit(0)))))
     diff = F.try_divide(F.col("mean") - F.col("overall_mean"), F.col("overall_mean")) * 100
-    return per.join(overall, "feature").select(
-        "cluster", "feature", "count", "mean", "stddev", "median", "min", "max", "overall_mean", "overall_std", diff.alias("pct_diff"))
+    return per.select("cluster", "feature", "count", "mean", "stddev", "median", "min", "max", "overall_mean", "overall_std", diff.alias("pct_diff"))
 
 
 def categorical_profiles(df: DataFrame, features: Sequence[str], cluster: str = "cluster", top: int = 3) -> DataFrame:

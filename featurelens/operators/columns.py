@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featurelens.functions.expressions import NULL_TOKENS, approx_distinct, coerce_number, field_type, is_numeric, is_string
+from featurelens.functions.expressions import (
+    NULL_TOKENS, approx_distinct, coerce_number, field_type, is_missing, is_numeric, is_string, null_if_missing,
+)
 from featurelens.operators.shared import local_frame
 from featurelens.operators.profile import categorical_cardinality, exact_cardinality, missing_counts
 
@@ -44,7 +46,7 @@ def pick_columns(
 def date_columns(df: DataFrame, columns: Sequence[str], share: float = 0.5) -> dict[str, str]:
     """``{column: reason}`` of date columns, by type or by name and content (one job)."""
     found = {c: f"type {field_type(df, c).simpleString()}" for c in columns
-             if isinstance(field_type(df, c), (T.DateType, T.TimestampType, T.TimestampNTZType))}
+             if is_date(field_type(df, c))}
     hinted = [c for c in columns if c not in found and any(p in c.lower() for p in DATE_NAME_PARTS)]
     if hinted:
         shape = "|".join(f"({p})" for p in DATE_PATTERNS)
@@ -154,6 +156,27 @@ def keep_encoded(df: DataFrame, features: Sequence[str], target: str | None = No
     return df.select(*keys, *features, *([target] if target else []))
 
 
+def column_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Missing share, distinct count (text) and share of date shapes (hinted names) of all columns in one scan."""
+    if not columns:
+        return {}
+    shape = "|".join(f"({p})" for p in DATE_PATTERNS)
+    aggs = []
+    for c in columns:
+        t = field_type(df, c)
+        hinted = any(p in c.lower() for p in DATE_NAME_PARTS)
+        date = F.avg(F.col(f"`{c}`").cast("string").rlike(shape).cast("int")) if hinted else F.lit(None).cast("double")
+        distinct = approx_distinct(null_if_missing(c, t), t) if is_string(t) else F.lit(None).cast("bigint")
+        missing = F.try_divide(F.count_if(is_missing(c, t)), F.count(F.lit(1)))
+        aggs.append(F.struct(missing.alias("missing"), distinct.alias("distinct"), date.alias("date_share")).alias(c))
+    row = df.agg(*aggs).first()
+    return {c: row[c].asDict() for c in columns}
+
+
+def is_date(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def decisions(spark, columns: Sequence[str], kept: Sequence[str], reason: str) -> DataFrame:
     """Column decisions as rows ``(column, kept, reason)``."""
     keep = set(kept)

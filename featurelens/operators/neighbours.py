@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from featurelens.operators.shared import pin_small
 
 MAX_PIVOTS = 1024
-QUERY_CHUNK = 2_000
-POINT_CHUNK = 8_000
+QUERY_CHUNK = 20_000
+POINT_CHUNK = 50_000
 BLOCK_NUMBERS = 4_000_000
 
 

@@ -17,22 +17,24 @@ from pyspark.ml.feature import Bucketizer
 from featurelens.functions.expressions import unit_hash
 from featurelens.operators.shared import pin_small
 
-GRID_POINTS = 4000
+MAX_PIECES = 20_000
+SHIFT_ROWS = 1_000_000      # groups times pieces that the driver agrees to hold
 
 
 def _score_ranges(df: DataFrame, order: str, rows_per_task: int) -> tuple[list[float], dict[float, int]]:
-    grid = [i / GRID_POINTS for i in range(1, GRID_POINTS)]
-    head = df.agg(F.count(F.lit(1)).alias("n")).first()
-    n = head["n"]
-    pieces = min(GRID_POINTS, math.ceil(n / rows_per_task)) if n else 1
+    """Cut points for pieces of about ``rows_per_task`` rows, and the number of hash parts of hot scores."""
+    n = df.count()
+    pieces = min(MAX_PIECES, math.ceil(n / rows_per_task)) if n else 1
     if pieces <= 1:
         return [], {}
-    cuts = df.agg(F.percentile_approx(order, grid, 10 * GRID_POINTS).alias("q")).first()["q"]
-    step = GRID_POINTS / pieces
+    step = 4
+    points = step * pieces
+    grid = [i / points for i in range(1, points)]
+    cuts = df.agg(F.percentile_approx(order, grid, 5 * points).alias("q")).first()["q"]
     repeats: dict[float, int] = {}
     for q in cuts:
         repeats[q] = repeats.get(q, 0) + 1
-    picked = sorted({cuts[min(len(cuts) - 1, int(i * step))] for i in range(1, pieces)})
+    picked = sorted({cuts[min(len(cuts) - 1, i * step)] for i in range(1, pieces)})
     # a value that spans several pieces is split by hash into as many parts
     hot = {q: math.ceil(c / step) for q, c in repeats.items() if c >= 2 * step}
     return sorted(set(picked) | set(hot)), hot
@@ -80,7 +82,7 @@ def running_totals(
     totals = src.groupBy(*by, "_part").agg(*[F.sum(f"_in_{n}").alias(n) for n in sums])
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shift, _ = pin_small(totals.select(
-        *by, "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_shift_{n}") for n in sums]))
+        *by, "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_shift_{n}") for n in sums]), SHIFT_ROWS)
     inner = W.partitionBy(*by, "_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
     ordered = src.select("*", *[F.sum(f"_in_{n}").over(inner).alias(f"_run_{n}") for n in sums])
     joined = ordered.join(shift, [*by, "_part"])

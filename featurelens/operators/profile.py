@@ -89,28 +89,41 @@ def exact_cardinality(df: DataFrame, features: Sequence[str], by: Sequence[str]
         F.col("total_rows").alias("total_count"), (F.col("missing_fraction") * 100).alias("missing_percentage"))
 
 
+def _numeric_stats(f: str, t: T.DataType, exact: bool) -> list[Column]:
+    """Moments and range (nulls for a column that is not numeric), with quartiles from a sketch unless exact."""
+    if not (is_numeric(t) or isinstance(t, T.BooleanType)):
+        names = ["mean", "stddev", "min", "max", *([] if exact else QUARTILES.values())]
+        return [F.lit(None).cast("double").alias(n) for n in names]
+    v = as_double(f, t)
+    cols = [F.avg(v).alias("mean"), F.stddev(v).alias("stddev"), F.min(v).alias("min"), F.max(v).alias("max")]
+    if exact:
+        return cols
+    q = F.percentile_approx(v, list(QUARTILES), 10_000)
+    return cols + [q.getItem(i).alias(n) for i, n in enumerate(QUARTILES.values())]
+
+
+def _with_exact_quartiles(df: DataFrame, features: Sequence[str], by: Sequence[str], stats: DataFrame, rows: list, distinct: str) -> DataFrame:
+    keys = [*by, "feature"]
+    # one row per feature and group: its counts also steer the quantiles
+    sizes = {tuple(r[k] for k in keys): (r["count"], r[distinct]) for r in rows if r["feature"] in features}
+    q = exact_quantiles(melt_numeric(df, features, by), keys, "value", list(QUARTILES), sizes=sizes)
+    return stats.join(quantile_columns(q, keys, QUARTILES), keys, "left")
+
+
 def numeric_univariate(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """A4: count, mean, stddev, min, max and quartiles of numeric columns."""
     check_flat(df, features)
 
     def stats(f: str, t: T.DataType) -> list[Column]:
         v = as_double(f, t)
-        cols = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev(v).alias("stddev"),
-                F.min(v).alias("min"), F.max(v).alias("max")]
-        if exact:
-            return [*cols, F.approx_count_distinct(v).alias("_distinct")]
-        q = F.percentile_approx(v, list(QUARTILES), 10_000)
-        return cols + [q.getItem(i).alias(n) for i, n in enumerate(QUARTILES.values())]
+        more = [F.approx_count_distinct(v).alias("_distinct")] if exact else []
+        return [F.count(v).alias("count"), *_numeric_stats(f, t, exact), *more]
 
     out = _per_feature(df, features, by, stats)
     if not exact:
         return out
-    keys = [*by, "feature"]
-    # one row per feature and group: its counts also steer the quantiles
     out, rows = pin_small(out)
-    sizes = {tuple(r[k] for k in keys): (r["count"], r["_distinct"]) for r in rows}
-    q = exact_quantiles(melt_numeric(df, features, by), keys, "value", list(QUARTILES), sizes=sizes)
-    return out.drop("_distinct").join(quantile_columns(q, keys, QUARTILES), keys, "left")
+    return _with_exact_quartiles(df, features, by, out.drop("_distinct"), rows, "_distinct")
 
 
 def top_values(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), n: int = 10) -> DataFrame:
@@ -134,23 +147,22 @@ def univariate_profile(
     numeric = [f for f in features if is_numeric(field_type(df, f))]
     types = F.create_map(*[F.lit(x) for f in features for x in (f, field_type(df, f).typeName())])
 
-    def basics(f: str, t: T.DataType) -> list[Column]:
-        cols = [F.count(F.lit(1)).alias("total_rows"), F.count_if(is_missing(f, t)).alias("missing_count"),
-                F.count(null_if_missing(f, t)).alias("count")]
-        if not exact:
-            cols.append(approx_distinct(null_if_missing(f, t), t).alias("unique_count"))
-        return cols
+    def stats(f: str, t: T.DataType) -> list[Column]:
+        value = null_if_missing(f, t)
+        return [F.count(F.lit(1)).alias("total_rows"), F.count_if(is_missing(f, t)).alias("missing_count"), F.count(value).alias("count"),
+                approx_distinct(value, t).alias("unique_count"), *_numeric_stats(f, t, exact)]
 
-    out = _per_feature(df, features, by, basics)
+    # everything but exact distinct counts and exact quartiles comes from one scan
+    out = _per_feature(df, features, by, stats)
     if exact:
-        distinct = value_counts(df, features, by).groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("unique_count"))
-        out = out.join(distinct, [*by, "feature"], "left").fillna(0, ["unique_count"])
-    if numeric:
-        moments = numeric_univariate(df, numeric, by, exact).drop("count")
-        out = out.join(moments, [*by, "feature"], "left")
-    else:
-        for c in ("mean", "stddev", "min", "max", "q25", "median", "q75"):
-            out = out.withColumn(c, F.lit(None).cast("double"))
+        keys = [*by, "feature"]
+        out, rows = pin_small(out)
+        distinct = value_counts(df, features, by).groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_count"))
+        out = out.drop("unique_count").join(distinct, keys, "left").fillna(0, ["unique_count"])
+        if numeric:
+            out = _with_exact_quartiles(df, numeric, by, out, rows, "unique_count")
+        else:
+            out = out.withColumns({n: F.lit(None).cast("double") for n in QUARTILES.values()})
     out = (out.withColumn("data_type", F.element_at(types, F.col("feature")))
               .withColumn("missing_percentage", F.try_divide(F.col("missing_count"), F.col("total_rows")) * 100))
     return with_quality(with_feature_kind(out))

@@ -40,6 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        # a folder of this machine only serves a session that runs on this machine
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="featurelens-")
     return folder
 

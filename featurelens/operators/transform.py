@@ -149,11 +149,13 @@ def fit_preprocessor(
 
     every = [c for c in train.columns if c != target]
     cols = step("names", every, C.pick_columns(every, include=keep or (), exclude=exclude), "excluded by name")
-    dates = C.date_columns(train, cols)
+    facts = C.column_facts(train, cols)
+    dates = [c for c in cols if C.is_date(field_type(train, c)) or (facts[c]["date_share"] or 0.0) > 0.5]
     cols = step("dates", cols, [c for c in cols if c not in dates], "date column")
-    cols = step("missing", cols, C.low_missing_columns(train, cols, missing_threshold), "too many missing values")
+    cols = step("missing", cols, [c for c in cols if (facts[c]["missing"] or 0.0) <= missing_threshold], "too many missing values")
     cats, nums = C.split_by_kind(train, cols)
-    cats = step("cardinality", cats, C.low_cardinality_columns(train, cats, max_categories, exact), "too many categories")
+    few = C.low_cardinality_columns(train, cats, max_categories, True) if exact else [c for c in cats if facts[c]["distinct"] <= max_categories]
+    cats = step("cardinality", cats, few, "too many categories")
     model = build_preprocessing(train, cats, nums, target, impute, scale).fit(train)
     labels: tuple[str, ...] = ()
     if target is not None and is_string(field_type(train, target)):
