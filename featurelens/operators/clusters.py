@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from featurelens.operators.profile import melt_text, numeric_univariate
+from featurelens.operators.profile import melt_text, numeric_univariate, with_top_bucket
 
 OTHER = "Other"
 
@@ -37,12 +37,8 @@ def categorical_profiles(df: DataFrame, features: Sequence[str], cluster: str =
     """Counts and shares per cluster for the overall top categories and the rest; missing rows count as rest."""
     long = melt_text(df.withColumn("_c", F.col(cluster)), features, ["_c"])
     counts = long.groupBy(F.col("_c").alias("cluster"), "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.sum("n").alias("_n"))
-    best = totals.withColumn("_r", F.row_number().over(W.partitionBy("feature").orderBy(F.desc("_n"), "value"))).where(F.col("_r") <= top)
-    # at most ``top`` rows per feature: the hint is safe whatever the table size
-    tagged = counts.join(F.broadcast(best.select("feature", "value", F.lit(True).alias("_top"))), ["feature", "value"], "left")
-    bucket = F.when(F.col("_top"), F.col("value")).otherwise(OTHER)
-    out = tagged.groupBy("cluster", "feature", bucket.alias("category")).agg(F.sum("n").alias("count"))
+    tagged = with_top_bucket(counts, ["feature"], "n", top, OTHER, OTHER)
+    out = tagged.groupBy("cluster", "feature", F.col("bin").alias("category")).agg(F.sum("n").alias("count"))
     return out.withColumn("percentage", F.col("count") / F.sum("count").over(W.partitionBy("cluster", "feature")) * 100)
 
 

@@ -10,6 +10,7 @@ from featurelens.operators.shared import pin_small
 
 HOT_KEY_SHARE = 500          # a key with more than 1/500 of the rows is hot
 SALTS = 64
+SALT_OVER_ROWS = 1_000_000   # a smaller left side fits one task even if it is one key
 
 
 def join_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -19,7 +20,7 @@ def join_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-    salt_by: Sequence[str] | None = None,
+    salt_by: Sequence[str] | None = None, salt_over: int = SALT_OVER_ROWS,
 ) -> DataFrame:
     """J1 for skewed keys: only the hot keys of ``left`` are salted.
 
@@ -30,6 +31,8 @@ def salted_join(
         raise ValueError("salted_join supports inner and left joins")
     keys = list(keys)
     total = left.count()
+    if total <= salt_over:
+        return left.join(right, keys, how)
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > total / HOT_KEY_SHARE)
     hot, rows = pin_small(hot.select(*keys, F.lit(True).alias("_hot")), HOT_KEY_SHARE)
     if not rows:

@@ -44,16 +44,21 @@ def _per_feature(df: DataFrame, features: Sequence[str], by: Sequence[str], make
     return df.groupBy(*by).agg(rows.alias("_rows")).select(*by, F.inline("_rows"))
 
 
+def _named(keep: Sequence[str]) -> list[Column]:
+    """Kept columns under fresh attributes, so that two uses of a long frame can share a shuffle."""
+    return [F.col(k).alias(k) for k in keep]
+
+
 def melt_numeric(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(*keep, feature, value double)``; missing values are null."""
     wide = df.select(*keep, *[as_double(f, field_type(df, f)).alias(f) for f in features])
-    return wide.unpivot(list(keep), list(features), "feature", "value")
+    return wide.unpivot(_named(keep), list(features), "feature", "value")
 
 
 def melt_text(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(*keep, feature, value string)``; missing values are null."""
     wide = df.select(*keep, *[null_if_missing(f, field_type(df, f)).cast("string").alias(f) for f in features])
-    return wide.unpivot(list(keep), list(features), "feature", "value")
+    return wide.unpivot(_named(keep), list(features), "feature", "value")
 
 
 def missing_counts(df: DataFrame, features: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -234,16 +239,27 @@ def detect_problem_type(df: DataFrame, target: str) -> DataFrame:
         F.lit(text).alias("needs_encoding"))
 
 
-def _with_top_bucket(counts: DataFrame, keys: list[str], weight: str, n: int) -> DataFrame:
-    """Replace values outside the ``n`` heaviest of a feature by ``OTHER_BIN``."""
-    totals = counts.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.sum(weight).alias("_w"))
-    rank = W.partitionBy(*keys).orderBy(F.desc("_w"), "value")
-    top = totals.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= n).select(
-        *keys, "value", F.lit(True).alias("_top"))
+def with_top_bucket(counts: DataFrame, keys: Sequence[str], weight: str, n: int, other: str = OTHER_BIN,
+                    missing: str = MISSING_BIN) -> DataFrame:
+    """``bin`` = value, but ``other`` for values outside the ``n`` heaviest of a feature.
+
+    Ranking and tagging read the same counts. No filter sits between them and
+    the join is null-safe, so Spark reuses one shuffle instead of scanning twice.
+    """
+    keys = list(keys)
+    weighed = counts.groupBy(*keys, "value").agg(F.sum(weight).alias("_w"))
+    rank = W.partitionBy(*keys).orderBy(F.col("value").isNull(), F.desc("_w"), "value")
+    top = weighed.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= n)
+    names = {k: f"_top_{k}" for k in [*keys, "value"]}
+    top = top.select(*[F.col(k).alias(v) for k, v in names.items()])
+    same = F.lit(True)
+    for k, v in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(v))
     # at most n rows per feature: the hint is safe whatever the table size
-    joined = counts.join(F.broadcast(top), [*keys, "value"], "left")
-    return joined.withColumn(
-        "bin", F.when(F.col("value").isNull(), MISSING_BIN).when(F.col("_top"), F.col("value")).otherwise(OTHER_BIN)).drop("_top")
+    joined = counts.join(F.broadcast(top), same, "left")
+    inside = F.col(names["value"]).isNotNull()
+    bin_ = F.when(F.col("value").isNull(), missing).when(inside, F.col("value")).otherwise(other)
+    return joined.withColumn("bin", bin_).drop(*names.values())
 
 
 def categorical_by_class(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = (), n: int = 5) -> DataFrame:
@@ -251,7 +267,7 @@ def categorical_by_class(df: DataFrame, features: Sequence[str], target: str, by
     keys = [*by, "feature"]
     counts = (melt_text(df.withColumn("_t", F.col(target).cast("string")), features, [*by, "_t"])
               .groupBy(*keys, "value", F.col("_t").alias("target_value")).agg(F.count(F.lit(1)).alias("_c")))
-    out = _with_top_bucket(counts, keys, "_c", n).groupBy(*keys, "bin", "target_value").agg(F.sum("_c").alias("count"))
+    out = with_top_bucket(counts, keys, "_c", n).groupBy(*keys, "bin", "target_value").agg(F.sum("_c").alias("count"))
     total = F.sum("count").over(W.partitionBy(*keys, "bin"))
     return out.select(*keys, "bin", "target_value", "count", (F.col("count") / total * 100).alias("percentage"))
 
@@ -266,7 +282,7 @@ def categorical_by_value(df: DataFrame, features: Sequence[str], target: str, by
         F.count(F.lit(1)).alias("_rows"), F.count("_y").alias("_n"), F.avg("_y").alias("_m"),
         (F.var_pop("_y") * F.count("_y")).alias("_ss"))
     # the count of a category is the number of its rows, as in the class table
-    tagged = _with_top_bucket(moments, keys, "_rows", n)
+    tagged = with_top_bucket(moments, keys, "_rows", n)
     # parallel merge of moments: total variation = within + between
     grouped = tagged.groupBy(*keys, "bin").agg(
         F.sum("_n").alias("count"), F.try_divide(F.sum(F.col("_n") * F.col("_m")), F.sum("_n")).alias("target_mean"),

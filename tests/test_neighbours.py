@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from featurelens.operators import balance as B, dbscan as D
 from featurelens.operators.components import connected_components
 from featurelens.operators.neighbours import distinct_points, knn
+import featurelens.operators.components as CO
 import featurelens.operators.neighbours as N
 
 
@@ -110,7 +111,10 @@ def test_knn_equals_brute_force(spark, monkeypatch, small):
         assert sorted(got[tuple(p)]) == pytest.approx(list(want), abs=1e-9)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("salt_over", [0, 1_000_000])
+def test_components(spark, monkeypatch, salt_over):
+    plain = CO.salted_join
+    monkeypatch.setattr(CO, "salted_join", lambda a, b, k: plain(a, b, k, salt_over=salt_over))
     nodes = spark.createDataFrame([(c,) for c in "abcdefghij"], "node string")
     chain = [("a", "b"), ("b", "c"), ("c", "d"), ("f", "e"), ("g", "f"), ("j", "j")]
     got = {r["node"]: r["component"] for r in connected_components(nodes, spark.createDataFrame(chain, "u string, v string")).collect()}
