@@ -43,7 +43,11 @@ def null_if_missing(name: str, dtype: T.DataType) -> Column:
 
 def as_double(name: str, dtype: T.DataType) -> Column:
     """Numeric view of a column with every missing form as null."""
-    return null_if_missing(name, dtype).cast("double")
+    if is_string(dtype):
+        return null_if_missing(name, dtype).cast("double")
+    value = F.col(f"`{name}`").cast("double")
+    # evaluates the column once, which matters for computed columns
+    return F.nanvl(value, F.lit(None).cast("double")) if is_floating(dtype) else value
 
 
 def coerce_number(name: str, tokens: Sequence[str] = NULL_TOKENS) -> Column:
