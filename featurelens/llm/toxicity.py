@@ -21,7 +21,6 @@ LEAST_G = 30.0          # a feature takes part if its likelihood ratio statistic
 L2 = 5e-6
 FAIR = 1.0              # weight of squared score changes under a swap of identity terms
 STEPS = 3000
-MISSED = 2.0            # weight of a missed toxic document against a false alarm
 CACHE = 400_000
 NEUTRAL = 0.0           # score without labels of both classes and without toxic ones
 
@@ -117,7 +116,7 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarra
     (a, b), (e, f) = sparse([p[0] for p in pairs]), sparse([p[1] for p in pairs])
     d_row, d_col, d_val = np.concatenate([a, e]), np.concatenate([b, f]), np.concatenate([-np.ones(len(a)), np.ones(len(e))])
     size, m = len(chosen), len(pairs)
-    balance = np.where(labels == 1, MISSED / (2 * n[1]), 1 / (2 * n[0]))
+    balance = np.where(labels == 1, 1 / (2 * n[1]), 1 / (2 * n[0]))
     lipschitz = 0.25 * float(np.sum(balance * (1 + np.bincount(r, minlength=len(rows))))) + L2
     if m:
         lipschitz += FAIR / m * len(d_row)
@@ -129,7 +128,8 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarra
         if m:
             change = np.bincount(d_row, d_val * v[d_col], minlength=m)
             grad += FAIR / m * np.bincount(d_col, d_val * change[d_row], minlength=size)
-        new, new_bias = v - grad / lipschitz, vb - g.sum() / lipschitz
+        # evidence only adds: harmless words around a toxic one do not hide it
+        new, new_bias = np.maximum(v - grad / lipschitz, 0), vb - g.sum() / lipschitz
         momentum = step / (step + 3)
         v, vb = new + momentum * (new - w), new_bias + momentum * (new_bias - bias)
         w, bias = new, new_bias
