@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from featurelens.llm.text import checkpointed, held_out, pack, pieces
+from featurelens.llm.text import bounded_sample, checkpointed, held_out, pack, pieces
 
 WIDTH = 4096            # hashed n-grams
 SAMPLE = 1000           # documents for each language that the centroids are fitted on
@@ -80,20 +80,12 @@ def fit_language(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CEN
     """
     known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull())
     known = known.withColumn("h", F.xxhash64("id", F.lit("language")))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    bounds = known.select("lang", "h").withColumn("n", rank).where(F.col("n") <= sample).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    if not bounds:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, WIDTH)), np.zeros(0), np.ones(WIDTH))
-    chosen = F.lit(False)
-    for row in bounds:
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (F.col("h") <= row["h"]))
-
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tf = [np.log1p(gram_counts(t.as_py())).astype(np.float32) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tf, pa.list_(pa.float32()))], ["lang", "h", "tf"])
 
-    rows = known.where(chosen & F.col("text").rlike(r"\p{L}")).withColumn("n", rank).where(F.col("n") <= sample)
+    rows = bounded_sample(known, "lang", "h", sample).where(F.col("text").rlike(r"\p{L}"))
     rows = checkpointed(rows.select("lang", "h", F.col("text").cast("binary")).mapInArrow(vectors, "lang string, h long, tf array<float>"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +103,8 @@ def fit_language(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CEN
     for at, n in count.items():
         idf[at] = np.log((1 + total) / (1 + n)) + 0.1
     found = rows.groupBy("lang").applyInPandas(_cluster(idf, centroids), "lang string, centre array<float>, least double").collect()
+    if not found:
+        return LanguageModel([], np.zeros(0, int), np.zeros((0, WIDTH)), np.zeros(0), np.ones(WIDTH))
     found.sort(key=lambda r: (r["lang"], r["centre"]))
     languages = sorted({r["lang"] for r in found})
     return LanguageModel(languages, np.array([languages.index(r["lang"]) for r in found], int), np.array([r["centre"] for r in found]).reshape(-1, WIDTH),

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from featurelens.llm.text import checkpointed, held_out, pieces
+from featurelens.llm.text import bounded_sample, checkpointed, held_out, pieces
 
 SAMPLE = 5000           # labelled findings of each class that the forest is fitted on
 TREES, DEPTH = 40, 8
@@ -170,9 +170,8 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
     if findings is not None:
         given = findings.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("start").cast("bigint").alias("start"), F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id", "start"])
         learn = learn.drop("label").join(given, ["doc_id", "start"])
-    rank = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id", "start", "sha256")))
-    learn = checkpointed(learn.where(F.col("label").isin(0, 1)).withColumn("n", rank).where(F.col("n") <= sample).select(
-        F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"), F.xxhash64("doc_id", "start").alias("o")).orderBy("o").drop("o"))
+    learn = bounded_sample(learn.where(F.col("label").isin(0, 1)).withColumn("o", F.xxhash64("doc_id", "start", "sha256")), "label", "o", sample)
+    learn = checkpointed(learn.orderBy("o").select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")))
     classes = [r["label"] for r in learn.select("label").distinct().collect()]
     plain = [F.col(c) for c in ("doc_id", "start", "length", "sha256")] + [held_out("doc_id").alias("held_out"), F.col("label").alias("label")]
     if len(classes) < 2:

@@ -71,29 +71,26 @@ def _retained(least: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(0, np.uint64)]
-            for text in batch.column(2):
+            for text in batch.column(1):
                 words = word_hashes(text.as_py() or b"")
                 out.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(minimisers(w, least, prefix)) for _, w in _chunks(words, least)]])))
-            sizes = [len(x) for x in out[1:]]
-            keys = [np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(keys[0]), pa.array(keys[1])], ["h", "d1", "d2"])
+            key = np.repeat(batch.column(0).to_numpy(), [len(x) for x in out[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(key)], ["h", "d1"])
     return run
 
 
 def _extended(least: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d1, d2, low, text, kept in zip(*batch.columns):
+            for tid, text, kept in zip(*batch.columns):
                 wanted = np.sort(kept.values.to_numpy().view(np.uint64))
                 for at, words in _chunks(word_hashes(text.as_py() or b""), least):
                     here = minimisers(words, least, prefix)
                     slot = np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)
                     where = np.nonzero(wanted[slot] == here)[0]
                     w1, w2 = (_spans(words, least, f)[where].view(np.int64) for f in (_even, _odd))
-                    n = len(where)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(w1), pa.array(w2), *[pa.array([x.as_py()] * n, pa.int64()) for x in (low, d1, d2)], pa.array((where + at).astype(np.int32))],
-                        ["w1", "w2", "low", "d1", "d2", "at"])
+                        [pa.array(w1), pa.array(w2), pa.array(np.full(len(where), tid.as_py())), pa.array((where + at).astype(np.int32))], ["w1", "w2", "tid", "at"])
     return run
 
 
@@ -122,14 +119,14 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX,
     """``doc_id, n_words, spans, later, n_repeated, n_later`` and the row's key ``_k1, _k2`` for every row of ``docs``.
 
     ``spans`` are the word spans of passages of at least ``least`` words (runs between white space, compared as they are)
-    that stand in more than one document; ``later`` are those parts that an earlier place has: places are ordered by (smallest id with
-    that text, null first; hash of the text; position), and of equal texts the row with the smallest key is the first.
-    Repetition within one document alone does not count. Null, empty and short texts have no passage. Rows
-    that repeat both id and text are one document and get the same result. An empty table gives no rows.
+    that stand in more than one document; ``later`` are those parts that an earlier document has: documents are ordered by
+    (smallest id with that text, null first; hashes of the text; key of the row). Repetition within one document alone
+    does not count. Null, empty and short texts have no passage. Rows that repeat both id and text are one document
+    and get the same result. An empty table gives no rows.
 
     Of each run of ``least`` words the suffix at its minimiser is retained. Equal texts are one. Suffixes that
     share their first ``prefix`` words with a suffix of another text are neighbours in the sorted order; all others are
-    dropped. Each neighbour is extended left and right over all runs of ``least`` words that retain it, and runs
+    dropped (a filter only, by 64-bit hashes). Each neighbour is extended left and right over all runs of ``least`` words that retain it, and runs
     found in two texts mark their words. Comparing with the adjacent suffix only would lose matches in groups of edited copies,
     where the best partner to the right is another than the one to the left; so all runs are compared, by 128-bit hashes.
     """
@@ -140,22 +137,17 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX,
     narrow = checkpointed(rows.select("doc_id", "d1", "d2", "_k1", "_k2", counted.alias("n_words")))
     key = F.struct("_k1", "_k2")
     texts = narrow.where(F.col("n_words") >= least).groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.min(key).alias("first"), F.max(key).alias("last"))
-    texts = checkpointed(texts)
-    suffixes = rows.where(F.col("text").isNotNull()).select("d1", "d2", "text").mapInArrow(_retained(least, prefix), "h long, d1 long, d2 long")
-    suffixes = checkpointed(suffixes)
-    text_key = F.struct("d1", "d2")
-    shared = suffixes.groupBy("h").agg(F.min(text_key).alias("a"), F.max(text_key).alias("b")).where("a <> b").select("h")
-    kept = suffixes.join(shared, "h").groupBy("d1", "d2").agg(F.collect_set("h").alias("kept"))
-    ours = texts.select("low", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2"), "d1", "d2").join(kept, ["d1", "d2"])
-    picked = rows.select("_k1", "_k2", "text").join(ours, ["_k1", "_k2"]).select("d1", "d2", "low", "text", "kept")
-    runs = checkpointed(picked.mapInArrow(_extended(least, prefix), "w1 long, w2 long, low long, d1 long, d2 long, at int"))
-    place = F.struct("low", "d1", "d2", "at")
-    twice = runs.groupBy("w1", "w2").agg(F.min(place).alias("lead"), F.max(place).alias("tail")).where(
-        (F.col("lead.d1") != F.col("tail.d1")) | (F.col("lead.d2") != F.col("tail.d2"))).select("w1", "w2", "lead")
-    marked = runs.join(twice, ["w1", "w2"]).groupBy("d1", "d2").agg(
-        F.collect_set("at").alias("starts"), F.collect_set(F.when(~F.col("lead").eqNullSafe(place), F.col("at"))).alias("later"))
-    marked = marked.select("d1", "d2", _merged(F.col("starts"), least).alias("spans"), _merged(F.col("later"), least).alias("later"))
-    of_text = checkpointed(texts.join(marked, ["d1", "d2"], "left"))
+    # a number for each text, in the order of texts
+    texts = checkpointed(texts.orderBy("low", "d1", "d2").withColumn("tid", F.monotonically_increasing_id()))
+    suffixes = rows.where(F.col("text").isNotNull()).select("d1", "text").mapInArrow(_retained(least, prefix), "h long, d1 long")
+    shared = suffixes.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("h")
+    kept = suffixes.join(shared, "h").groupBy("d1").agg(F.collect_set("h").alias("kept"))
+    ours = checkpointed(texts.select("tid", "d1", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2")).join(kept, "d1").drop("d1"))
+    runs = rows.select("_k1", "_k2", "text").join(ours, ["_k1", "_k2"]).select("tid", "text", "kept").mapInArrow(_extended(least, prefix), "w1 long, w2 long, tid long, at int")
+    twice = runs.groupBy("w1", "w2").agg(F.min("tid").alias("lead"), F.max("tid").alias("tail")).where("lead <> tail").select("w1", "w2", "lead")
+    marked = runs.join(twice, ["w1", "w2"]).groupBy("tid").agg(F.collect_set("at").alias("starts"), F.collect_set(F.when(F.col("lead") != F.col("tid"), F.col("at"))).alias("later"))
+    marked = marked.select("tid", _merged(F.col("starts"), least).alias("spans"), _merged(F.col("later"), least).alias("later"))
+    of_text = checkpointed(texts.join(marked, "tid", "left"))
     # every document with that text: a copy of another document is repeated, and if not the first, later, as a whole
     whole = F.array(F.lit(0), F.col("n_words").cast("int"))
     none = F.array().cast("array<int>")

@@ -62,3 +62,17 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> Dat
     inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = placed.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(before, "_part")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
+def bounded_sample(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each value of ``group``, those with the smallest of the hashes ``order``; null groups take no part.
+
+    The groups are classes, counted first; a hash bound then leaves about twice ``n`` rows of each, which are ranked. So neither
+    a frequent class nor a large number of partitions brings many rows together.
+    """
+    rows = rows.where(F.col(group).isNotNull())
+    near = F.lit(False)
+    for r in rows.groupBy(group).count().collect():
+        share = min(1.0, (2 * n + 50) / r["count"])
+        near = near | ((F.col(group) == F.lit(r[group])) & (F.col(order) <= F.lit(int(min(share * 2.0 ** 64 - 2.0 ** 63, 2.0 ** 63 - 1025)) if share < 1 else 2 ** 63 - 1)))
+    return rows.where(near).withColumn("_rank", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_rank") <= n).drop("_rank")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from featurelens.llm.text import checkpointed, held_out, pieces
+from featurelens.llm.text import bounded_sample, checkpointed, held_out, pieces
 
 SAMPLE = 4000           # labelled documents of each class that the classifier is fitted on
 SLOTS = 1 << 20         # hashed words and pieces of words
@@ -143,8 +143,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     bound. Features come from whole texts in parallel; one task fits the bounded sample.
     """
     ranked = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    ranked = ranked.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id")))
-    chosen = checkpointed(ranked.where(F.col("n") <= sample).select("doc_id", F.col("label").cast("int").alias("label")))
+    ranked = bounded_sample(ranked.withColumn("h", F.xxhash64("doc_id", F.lit("toxicity"))), "label", "h", sample)
+    chosen = checkpointed(ranked.select("doc_id", F.col("label").cast("int").alias("label")))
     texts = docs.join(F.broadcast(chosen), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
