@@ -135,10 +135,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX,
     rows = pack(docs).select(doc_id.cast("bigint").alias("doc_id"), text.cast("binary").alias("text"), *digest, *row_key(doc_id, text))
     counted = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     narrow = checkpointed(rows.select("doc_id", "d1", "d2", "_k1", "_k2", counted.alias("n_words")))
-    key = F.struct("_k1", "_k2")
-    texts = narrow.where(F.col("n_words") >= least).groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.min(key).alias("first"), F.max(key).alias("last"))
+    key = F.struct("doc_id", "_k1", "_k2")
+    texts = narrow.where(F.col("n_words") >= least).groupBy("d1", "d2").agg(F.min(key).alias("first"), F.max(key).alias("last"))
     # a number for each text, in the order of texts
-    texts = checkpointed(texts.orderBy("low", "d1", "d2").withColumn("tid", F.monotonically_increasing_id()))
+    texts = checkpointed(texts.orderBy("first", "d1", "d2").withColumn("tid", F.monotonically_increasing_id()))
     suffixes = rows.where(F.col("text").isNotNull()).select("d1", "text").mapInArrow(_retained(least, prefix), "h long, d1 long")
     shared = suffixes.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("h")
     kept = suffixes.join(shared, "h").groupBy("d1").agg(F.collect_set("h").alias("kept"))
