@@ -18,6 +18,7 @@ SAMPLE = 1000           # documents for each language that the centroids are fit
 CENTROIDS = 3
 ROUNDS = 8
 SLACK = 0.5             # a text is rejected below this part of the least similarity seen in the fit
+SHORT = 500             # the similarity that a text of n grams can reach is taken to grow with sqrt(n / (n + SHORT))
 UNKNOWN = "und"
 FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
@@ -41,6 +42,11 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm > 0, norm, 1)
 
 
+def _reach(grams):
+    n = grams / len(FACTORS)
+    return np.sqrt(n / (n + SHORT))
+
+
 @dataclass
 class LanguageModel:
     """Languages, centroids (unit rows) with the language of each, idf, and the least similarity that is accepted."""
@@ -54,9 +60,10 @@ class LanguageModel:
     def predict(self, text: bytes) -> tuple[str, float, bool]:
         if not len(self.centroids):
             return UNKNOWN, 0.0, True
-        near = self.centroids @ _unit(np.log1p(gram_counts(text)) * self.idf)
+        counts = gram_counts(text)
+        near = self.centroids @ _unit(np.log1p(counts) * self.idf)
         best = int(np.argmax(near))
-        return self.languages[self.owner[best]], float(min(max(near[best], 0.0), 1.0)), bool(near[best] < self.floor[best])
+        return self.languages[self.owner[best]], float(min(max(near[best], 0.0), 1.0)), bool(near[best] < self.floor[best] * _reach(counts.sum()))
 
 
 def _cluster(idf: np.ndarray, centroids: int):
@@ -68,7 +75,7 @@ def _cluster(idf: np.ndarray, centroids: int):
         for _ in range(ROUNDS):
             own = np.argmax(rows @ centres.T, axis=1)
             centres = _unit(np.stack([rows[own == i].sum(axis=0) if (own == i).any() else centres[i] for i in range(len(centres))]))
-        least = float((rows @ centres.T).max(axis=1).min())
+        least = float(((rows @ centres.T).max(axis=1) / _reach(group.sort_values("h")["grams"].to_numpy())).min())
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": list(centres.astype(np.float32)), "least": least})
     return fit
 
@@ -82,11 +89,12 @@ def fit_language(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CEN
     known = known.withColumn("h", F.xxhash64("id", F.lit("language")))
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tf = [np.log1p(gram_counts(t.as_py())).astype(np.float32) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tf, pa.list_(pa.float32()))], ["lang", "h", "tf"])
+            counts = [gram_counts(t.as_py()) for t in batch.column(2)]
+            tf = pa.array([np.log1p(c).astype(np.float32) for c in counts], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tf, pa.array([int(c.sum()) for c in counts], pa.int64())], ["lang", "h", "tf", "grams"])
 
     rows = bounded_sample(known, "lang", "h", sample).where(F.col("text").rlike(r"\p{L}"))
-    rows = checkpointed(rows.select("lang", "h", F.col("text").cast("binary")).mapInArrow(vectors, "lang string, h long, tf array<float>"))
+    rows = checkpointed(rows.select("lang", "h", F.col("text").cast("binary")).mapInArrow(vectors, "lang string, h long, tf array<float>, grams long"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(WIDTH, np.int64), 0
@@ -114,8 +122,8 @@ def fit_language(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CEN
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as ``_row`` with ``lang_pred, score, rejected``.
 
-    ``score`` is the cosine to the nearest centroid. A text is rejected if that is less than half of the least similarity
-    in the fit, or if it is null or has no letter; the latter are ``und`` with score 0. A model without languages
+    ``score`` is the cosine to the nearest centroid. A text is rejected if that, for its length, is less than half of the
+    least similarity in the fit, or if it is null or has no letter; the latter are ``und`` with score 0. A model without languages
     rejects all texts. Rows are judged one by one, so repeats and empty tables need no care; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
