@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from featurelens.operators.ordering import cumulative_by_step, ntiles, running_totals
-from featurelens.operators.shared import pin_small
+from featurelens.operators.shared import join_groups, pin_small
+
+
+def binary_label(label: str) -> Column:
+    """A label of 0 or 1 (or null) as an integer; any other value raises, as it would give wrong metrics in silence."""
+    y = F.col(label).cast("double")
+    return F.when(y.isNull() | y.isin(0.0, 1.0), y.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("a binary metric needs labels 0 and 1, not "), F.col(label).cast("string"))))
 
 
 def score_table(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score: ties become one row."""
-    y = F.col(label).cast("int")
+    y = binary_label(label)
     return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
@@ -21,7 +28,7 @@ def score_table(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -
 def _with_totals(table: DataFrame, by: Sequence[str]) -> DataFrame:
     totals, rows = pin_small(table.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q")))
     if by:
-        return table.join(totals, list(by))
+        return join_groups(table, totals, list(by))
     return table.withColumn("_p", F.lit(rows[0]["_p"])).withColumn("_q", F.lit(rows[0]["_q"]))
 
 
@@ -49,7 +56,7 @@ def decile_table(df: DataFrame, label: str, score: str, key: str | Sequence[str]
     """Counts, cumulative shares and spread per score decile (1 = highest scores)."""
     by = list(by)
     keys = [key] if isinstance(key, str) else list(key)
-    slim = df.select(*by, *keys, F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
+    slim = df.select(*by, *keys, binary_label(label).alias("_y"), F.col(score).cast("double").alias("_s"))
     tiles = ntiles(slim, "_s", keys, by, n, **kw)
     agg = tiles.groupBy(*by, "decile").agg(
         F.count(F.lit(1)).alias("count"), F.sum("_y").alias("target"), F.sum(1 - F.col("_y")).alias("non_target"))
@@ -93,7 +100,7 @@ def class_scores(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)
     actual = conf.groupBy(*by, F.col("label").alias("class")).agg(F.sum("count").alias("support"), F.sum(hit).alias("tp"))
     told = conf.groupBy(*by, F.col("prediction").alias("class")).agg(F.sum("count").alias("predicted"))
-    out = actual.join(told, [*by, "class"], "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
+    out = join_groups(actual, told, [*by, "class"], "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
     p = F.coalesce(F.try_divide("tp", "predicted"), F.lit(0.0))
     r = F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
     out = out.withColumn("precision", p).withColumn("recall", r)
@@ -129,12 +136,12 @@ def validate_binary(df: DataFrame, key: str | Sequence[str], label: str = "label
     slim = df.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         table = slim.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-            F.sum(F.col(label).cast("int")).alias("pos"), F.sum(1 - F.col(label).cast("int")).alias("neg"),
+            F.sum(binary_label(label)).alias("pos"), F.sum(1 - binary_label(label)).alias("neg"),
             F.count_if(F.col(label) == F.col(prediction)).alias("hit"))
         c = table.groupBy(*by).agg((F.sum("hit") / F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"))
         a = auc_from_table(table, by, **kw).withColumnRenamed("auc", "roc")
         k = ks(decile_table(slim, label, score, keys, by, **kw), by)
-        return pin_small(to_metric_rows(a.join(c, by).join(k, by), by, ["roc", "accuracy", "ks"]))[0]
+        return pin_small(to_metric_rows(join_groups(join_groups(a, c, by), k, by), by, ["roc", "accuracy", "ks"]))[0]
     finally:
         slim.unpersist()
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from featurelens.functions.expressions import (
-    NULL_TOKENS, approx_distinct, coerce_number, field_type, is_missing, is_numeric, is_string, null_if_missing,
+    NULL_TOKENS, approx_distinct, coerce_number, field_type, is_missing, is_numeric, is_string, null_if_missing, unit_hash,
 )
 from featurelens.operators.shared import local_frame
 from featurelens.operators.profile import categorical_cardinality, exact_cardinality, missing_counts
@@ -102,9 +102,10 @@ def clean_predictions(df: DataFrame, target: str, prediction: str = "prediction"
     return df.where(y.isNotNull() & ~F.isnan(y) & p.isNotNull() & ~F.isnan(p))
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Row sample before preprocessing."""
-    return df if fraction >= 1.0 else df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, key: str | Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
+    """Row sample before preprocessing, by key hash."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df if fraction >= 1.0 else df.where(unit_hash(*keys, seed=seed) < fraction)
 
 
 def numeric_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:

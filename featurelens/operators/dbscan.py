@@ -60,7 +60,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[str, str]]:
 
 
 def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min_pts: int, pivots: int | None = None) -> DataFrame:
-    """``key, prediction, core``; noise is -1, clusters are numbered from 0 by their smallest core key.
+    """``key, prediction, core``; noise is -1, as are rows with a missing feature, clusters are numbered from 0 by their smallest core key.
 
     A border row joins the cluster with the smallest number among its core neighbours.
     """
@@ -69,7 +69,9 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
     d = len(features)
     side = eps / math.sqrt(d) * (1 - 1e-9)     # the diagonal stays under eps
     vec = F.array(*[as_double(f, field_type(df, f)) for f in features])
-    rows = df.select(F.col(key).alias("_key"), vec.alias("vec")).where(~F.exists("vec", lambda x: x.isNull()))
+    every = df.select(F.col(key).alias("_key"), vec.alias("vec"))
+    gap = F.exists("vec", lambda x: x.isNull())
+    rows = every.where(~gap)
     pts = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("_key").alias("first"))
     pts = pts.withColumn("cell", F.transform("vec", lambda x: F.floor(x / side))).withColumn("cell", _node(F.col("cell")))
     sizes = pts.groupBy("cell").agg(F.sum("weight").alias("held"))
@@ -133,6 +135,7 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
     near = near.groupBy("vec").agg(F.min("prediction").alias("prediction"))
     labels = core_labels.withColumn("core", F.lit(True)).unionByName(near.withColumn("core", F.lit(False)))
     out = salted_join(rows, labels, ["vec"], "left", salt_by=["_key"])
+    out = out.select("_key", "prediction", "core").unionByName(every.where(gap).select("_key"), allowMissingColumns=True)
     return out.select(F.col("_key").alias(key), F.coalesce("prediction", F.lit(NOISE)).alias("prediction"),
                       F.coalesce("core", F.lit(False)).alias("core"))
 

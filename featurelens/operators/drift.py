@@ -10,7 +10,7 @@ from featurelens.functions.expressions import field_type, is_numeric
 from featurelens.operators.joins import align_distributions
 from featurelens.operators.profile import MISSING_BIN, melt_numeric, melt_text, tag_datasets
 from featurelens.operators.quantiles import exact_quantiles
-from featurelens.operators.shared import pin_small
+from featurelens.operators.shared import join_groups, pin_small
 
 SMOOTHING = 0.0001
 # PSI limits and the status and shift names below each of them.
@@ -47,7 +47,7 @@ def bin_shares(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
         index = F.lit(0)
         for i in range(most):
             index = index + F.when(v >= F.get("edges", F.lit(i)), 1).otherwise(0)
-        long = melt_numeric(df, numeric, by).join(edges, "feature").withColumn(
+        long = melt_numeric(df, numeric, by).join(edges, "feature", "left").withColumn(
             "bin", F.when(v.isNull(), MISSING_BIN).otherwise(F.format_string("bin_%02d", index)))
         parts.append(long.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
     if categorical:
@@ -58,7 +58,7 @@ def bin_shares(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")) if by else df.agg(F.count(F.lit(1)).alias("_total"))
     totals, rows = pin_small(totals)
     if by:
-        counts = counts.join(totals, list(by))
+        counts = join_groups(counts, totals, list(by))
     else:
         counts = counts.withColumn("_total", F.lit(rows[0]["_total"]))
     return counts.withColumn("share", F.col("n") / F.col("_total")).drop("_total")

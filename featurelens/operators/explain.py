@@ -1,4 +1,4 @@
-"""Feature attribution of a fitted model on a few rows."""
+"""Feature attribution of a fitted model."""
 
 from __future__ import annotations
 
@@ -10,12 +10,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from featurelens.functions.expressions import unit_hash
-from featurelens.operators.shared import pin_small
 
 
-def shapley(df: DataFrame, model: Model, key: str, features: Sequence[str], vector: str = "features", max_rows: int = 50,
+def shapley(df: DataFrame, model: Model, key: str, features: Sequence[str], vector: str = "features", max_rows: int | None = None,
             permutations: int = 10, seed: int = 42) -> DataFrame:
-    """``key, feature, attribution`` of at most ``max_rows`` rows.
+    """``key, feature, attribution`` of all rows, or of ``max_rows`` rows drawn by key hash.
 
     For each row and feature order the features are switched one by one from
     the column mean to the row value; the change of the model output is the
@@ -24,8 +23,9 @@ def shapley(df: DataFrame, model: Model, key: str, features: Sequence[str], vect
     d = len(features)
     arr = vector_to_array(vector)
     mean = df.agg(F.array(*[F.avg(arr.getItem(i)) for i in range(d)]).alias("m")).first()["m"]
-    rows, _ = pin_small(df.select(F.col(key).alias("_key"), arr.alias("_x"), unit_hash(key, seed=seed).alias("_u")).orderBy(
-        "_u", "_key").limit(max_rows).drop("_u"), max_rows)
+    rows = df.select(F.col(key).alias("_key"), arr.alias("_x"))
+    if max_rows is not None:
+        rows = rows.orderBy(unit_hash("_key", seed=seed), "_key").limit(max_rows)
     rng = random.Random(seed)
     orders = []
     for _ in range(permutations):

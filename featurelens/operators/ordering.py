@@ -15,29 +15,35 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.ml.feature import Bucketizer
 
 from featurelens.functions.expressions import unit_hash
-from featurelens.operators.shared import pin_small
+from featurelens.operators.shared import join_groups, pin_small
 
 MAX_PIECES = 20_000
 SHIFT_ROWS = 1_000_000      # groups times pieces that the driver agrees to hold
 
 
-def _score_ranges(df: DataFrame, order: str, rows_per_task: int) -> tuple[list[float], dict[float, int]]:
-    """Cut points for pieces of about ``rows_per_task`` rows, and the number of hash parts of hot scores."""
-    n = df.count()
+def _score_ranges(df: DataFrame, order: str, rows_per_task: int) -> tuple[list[float], dict[float, int], int, int]:
+    """Cut points for pieces of about ``rows_per_task`` rows, and the numbers of hash parts of hot scores, of NaN and of null."""
+    value = F.col(order).cast("double")
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.isnan(value)).alias("nan"), F.count_if(value.isNull()).alias("null")).first()
+    n = seen["n"]
+    nan, null = (math.ceil(seen[c] / rows_per_task) for c in ("nan", "null"))
     pieces = min(MAX_PIECES, math.ceil(n / rows_per_task)) if n else 1
     if pieces <= 1:
-        return [], {}
+        return [], {}, nan, null
     step = 4
     points = step * pieces
     grid = [i / points for i in range(1, points)]
-    cuts = df.agg(F.percentile_approx(order, grid, 5 * points).alias("q")).first()["q"]
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(order))
+    cuts = df.agg(F.percentile_approx(finite, grid, 5 * points).alias("q")).first()["q"] or []
+    if not cuts:
+        return [0.0], {}, nan, null
     repeats: dict[float, int] = {}
     for q in cuts:
         repeats[q] = repeats.get(q, 0) + 1
     picked = sorted({cuts[min(len(cuts) - 1, i * step)] for i in range(1, pieces)})
     # a value that spans several pieces is split by hash into as many parts
     hot = {q: math.ceil(c / step) for q, c in repeats.items() if c >= 2 * step}
-    return sorted(set(picked) | set(hot)), hot
+    return sorted(set(picked) | set(hot)), hot, nan, null
 
 
 def running_totals(
@@ -53,6 +59,7 @@ def running_totals(
 
     Ties are ordered by the hash of the ``tie`` columns and then by the columns
     themselves. Without ``tie`` the order column must be unique within ``by``.
+    NaN stands first and null last; a null group is a group.
     """
     by, tie = list(by), list(tie)
     src = df
@@ -62,7 +69,7 @@ def running_totals(
         src = src.withColumn("_u", unit_hash(*tie, seed=seed))
     keys = [F.col(order).desc()] + ([F.col("_u").asc()] + [F.col(t).asc() for t in tie] if tie else [])
 
-    cuts, hot = _score_ranges(src, order, rows_per_task)
+    cuts, hot, nan, null = _score_ranges(src, order, rows_per_task)
     if not cuts:
         upto = W.partitionBy(*by).orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
         out = src.select("*", *[F.sum(f"_in_{n}").over(upto).alias(n) for n in sums])
@@ -70,13 +77,18 @@ def running_totals(
 
     # _part grows along the order: high score first, then hash parts of one hot score
     splits = [-math.inf, *cuts, math.inf]
-    src = Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(src)
-    width = 2 + max(hot.values(), default=0)
+    value = F.col(order).cast("double")
+    src = Bucketizer(splits=splits, inputCol="_order", outputCol="_range", handleInvalid="keep").transform(src.withColumn("_order", value)).drop("_order")
+    src = src.withColumn("_range", F.when(value.isNull(), -1).when(F.isnan(value), len(splits)).otherwise(F.col("_range")))
+    width = 2 + max([nan, null, *hot.values()])
     part = F.lit(0)
     if hot and tie:
         parts = F.create_map(*[F.lit(x) for q, k in hot.items() for x in (float(q), int(k))])
         slices = F.try_element_at(parts, F.col(order).cast("double"))
         part = F.when(slices.isNotNull(), 1 + F.floor(F.col("_u") * slices)).otherwise(0)
+    if tie:
+        for there, k in ((value.isNull(), null), (F.isnan(value), nan)):
+            part = F.when(there, F.floor(F.col("_u") * max(k, 1))).otherwise(part)
     src = src.withColumn("_part", ((len(splits) - F.col("_range")) * width + part).cast("bigint"))
 
     totals = src.groupBy(*by, "_part").agg(*[F.sum(f"_in_{n}").alias(n) for n in sums])
@@ -85,7 +97,7 @@ def running_totals(
         *by, "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_shift_{n}") for n in sums]), SHIFT_ROWS)
     inner = W.partitionBy(*by, "_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
     ordered = src.select("*", *[F.sum(f"_in_{n}").over(inner).alias(f"_run_{n}") for n in sums])
-    joined = ordered.join(shift, [*by, "_part"])
+    joined = join_groups(ordered, shift, [*by, "_part"])
     for n in sums:
         joined = joined.withColumn(n, F.col(f"_run_{n}") + F.col(f"_shift_{n}"))
     return joined.drop("_part", "_range", "_u", *[f"{x}{n}" for n in sums for x in ("_in_", "_run_", "_shift_")])
@@ -102,7 +114,7 @@ def ntiles(df: DataFrame, order: str, tie: Sequence[str], by: Sequence[str] = ()
     numbered = row_numbers(df, order, tie, by, **kw)
     if by:
         sizes, _ = pin_small(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
-        numbered = numbered.join(sizes, by)
+        numbered = join_groups(numbered, sizes, by)
     else:
         numbered = numbered.withColumn("_n", F.lit(df.count()))
     small, extra = F.floor(F.col("_n") / n), F.col("_n") % n

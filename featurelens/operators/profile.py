@@ -15,7 +15,7 @@ from featurelens.functions.expressions import (
     approx_distinct, as_double, field_type, is_missing, is_numeric, is_string, null_if_missing,
 )
 from featurelens.operators.quantiles import exact_quantiles, quantile_columns
-from featurelens.operators.shared import pin_small
+from featurelens.operators.shared import join_groups, pin_small
 
 MISSING_BIN = "(missing)"
 OTHER_BIN = "OTHER_CATEGORIES"
@@ -88,7 +88,7 @@ def exact_cardinality(df: DataFrame, features: Sequence[str], by: Sequence[str]
     """A3: exact distinct count, missing count and percentage."""
     distinct = value_counts(df, features, by).groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("unique_count"))
     base = missing_counts(df, features, by)
-    joined = base.join(distinct, [*by, "feature"], "left")
+    joined = join_groups(base, distinct, [*by, "feature"], "left")
     return joined.select(
         *by, "feature", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), "missing_count",
         F.col("total_rows").alias("total_count"), (F.col("missing_fraction") * 100).alias("missing_percentage"))
@@ -112,7 +112,7 @@ def _with_exact_quartiles(df: DataFrame, features: Sequence[str], by: Sequence[s
     # one row per feature and group: its counts also steer the quantiles
     sizes = {tuple(r[k] for k in keys): (r["count"], r[distinct]) for r in rows if r["feature"] in features}
     q = exact_quantiles(melt_numeric(df, features, by), keys, "value", list(QUARTILES), sizes=sizes)
-    return stats.join(quantile_columns(q, keys, QUARTILES), keys, "left")
+    return join_groups(stats, quantile_columns(q, keys, QUARTILES), keys, "left")
 
 
 def numeric_univariate(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), exact: bool = False) -> DataFrame:
@@ -140,7 +140,7 @@ def top_values(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), n
 def categorical_univariate(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), n: int = 10) -> DataFrame:
     """A5: non-missing count of the column beside its top values."""
     totals = _per_feature(df, features, by, lambda f, t: [F.count(null_if_missing(f, t)).alias("non_null_count")])
-    return top_values(df, features, by, n).join(totals, [*by, "feature"])
+    return join_groups(top_values(df, features, by, n), totals, [*by, "feature"])
 
 
 def univariate_profile(
@@ -163,7 +163,8 @@ def univariate_profile(
         keys = [*by, "feature"]
         out, rows = pin_small(out)
         distinct = value_counts(df, features, by).groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_count"))
-        out = out.drop("unique_count").join(distinct, keys, "left").fillna(0, ["unique_count"])
+        out = out.drop("unique_count")
+        out = join_groups(out, distinct, keys, "left").fillna(0, ["unique_count"])
         if numeric:
             out = _with_exact_quartiles(df, numeric, by, out, rows, "unique_count")
         else:
@@ -256,7 +257,7 @@ def with_top_bucket(counts: DataFrame, keys: Sequence[str], weight: str, n: int,
     for k, v in names.items():
         same = same & F.col(k).eqNullSafe(F.col(v))
     # at most n rows per feature: the hint is safe whatever the table size
-    joined = counts.join(F.broadcast(top), same, "left")
+    joined = counts.join(top, same, "left")
     inside = F.col(names["value"]).isNotNull()
     bin_ = F.when(F.col("value").isNull(), missing).when(inside, F.col("value")).otherwise(other)
     return joined.withColumn("bin", bin_).drop(*names.values())
@@ -304,7 +305,8 @@ def with_quartile_bin(long: DataFrame, edges: DataFrame, by: Sequence[str] = ())
     name = F.when(v.isNull(), MISSING_BIN)
     for edge, label in zip(["q25", "mid", "q75", "max"], BIN_NAMES):
         name = name.when(v <= F.col(edge), label)
-    return long.join(edges, [*by, "feature"]).withColumn("bin", name.otherwise(BIN_NAMES[-1])).drop(
+    # a feature without a value has no edges; all its rows are missing
+    return join_groups(long, edges, [*by, "feature"], "left").withColumn("bin", name.otherwise(BIN_NAMES[-1])).drop(
         "min", "q25", "mid", "q75", "max")
 
 

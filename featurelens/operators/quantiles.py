@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from featurelens.operators.shared import local_frame, pin_small
+from featurelens.operators.shared import join_groups, local_frame, pin_small
 
 SKETCH_ACCURACY = 10_000
 GRID = [i / 200 for i in range(201)]
@@ -80,13 +80,13 @@ def exact_quantiles(
     def covers(rank: str):
         return (F.col(rank) >= F.col("_cum") - F.col("_c")) & (F.col(rank) < F.col("_cum"))
 
-    hit = ranked.join(wanted, [*group, "_span"]).where(F.col("_v").isNotNull() & (covers("_r1") | covers("_r2")))
+    hit = join_groups(ranked, wanted, [*group, "_span"]).where(F.col("_v").isNotNull() & (covers("_r1") | covers("_r2")))
     a, b = F.max(F.when(covers("_r1"), F.col("_v"))), F.max(F.when(covers("_r2"), F.col("_v")))
     return hit.groupBy(*group, "p", "n", "_f").agg((a + (b - a) * F.col("_f")).alias("q")).select(*group, "p", "q", "n")
 
 
 def _among(src: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
-    return src.join(groups, group, "left_semi") if group else src
+    return join_groups(src, groups, group, "left_semi") if group else src
 
 
 def _brackets(many: DataFrame, group: list[str], probs: Sequence[float], ranks: dict, frame, ordered_rows: int, smallest: int):
@@ -129,7 +129,7 @@ def _inside(many: DataFrame, spans: dict, group: list[str], frame) -> DataFrame:
     bounds = frame([(*g, s, float(a), float(b)) for s, (g, a, b) in spans.items()],
                    ("_span", T.IntegerType()), ("_low", T.DoubleType()), ("_high", T.DoubleType()))
     cond = F.col("_v") <= F.col("_high")
-    joined = many.join(bounds, group).where(cond) if group else many.join(bounds, cond)
+    joined = join_groups(many, bounds, group).where(cond) if group else many.join(bounds, cond)
     return joined.select(*group, "_span", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v"))
 
 

@@ -12,7 +12,7 @@ from featurelens.functions.expressions import safe_corr, unit_hash
 from featurelens.operators.binary_metrics import to_metric_rows
 from featurelens.operators.columns import clean_predictions
 from featurelens.operators.quantiles import exact_quantiles, quantile_columns
-from featurelens.operators.shared import local_frame, pin_small
+from featurelens.operators.shared import join_groups, local_frame, pin_small
 
 ZERO_GUARD = 1e-8
 
@@ -53,7 +53,7 @@ def extended_metrics(df: DataFrame, target: str, prediction: str = "prediction",
     if exact:
         q = exact_quantiles(df.select(*by, F.abs(e).alias("_e")), by, "_e", [0.5])
         med = quantile_columns(q, by, {0.5: "median_absolute_error"})
-        out = out.join(med, by) if by else out.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        out = join_groups(out, med, by) if by else out.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return out
 
 
@@ -71,7 +71,7 @@ def error_summary(df: DataFrame, target: str, prediction: str = "prediction", by
     base = [F.avg("value").alias("mean"), F.max("value").alias("max")]
     if exact:
         q = quantile_columns(exact_quantiles(long, keys, "value", list(ERROR_PROBS)), keys, ERROR_PROBS)
-        return long.groupBy(*keys).agg(*base).join(q, keys)
+        return join_groups(long.groupBy(*keys).agg(*base), q, keys)
     sketch = F.percentile_approx("value", list(ERROR_PROBS), 10_000)
     out = long.groupBy(*keys).agg(*base, sketch.alias("_q"))
     return out.select(*keys, "mean", "max", *[F.col("_q").getItem(i).alias(n) for i, n in enumerate(ERROR_PROBS.values())])
@@ -84,7 +84,7 @@ def residual_histogram(df: DataFrame, target: str, prediction: str = "prediction
     span, rows = pin_small(slim.groupBy(*by).agg(
         F.min("_e").alias("_lo"), F.max("_e").alias("_hi"), F.avg("_e").alias("residual_mean"), F.stddev("_e").alias("residual_std")))
     if by:
-        joined = slim.join(span, by)
+        joined = join_groups(slim, span, by)
     else:
         joined = slim.withColumns({c: F.lit(rows[0][c]) for c in ("_lo", "_hi", "residual_mean", "residual_std")})
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -126,7 +126,7 @@ def sample_points(df: DataFrame, target: str, key: str | Sequence[str], predicti
     by = list(by)
     keys = [key] if isinstance(key, str) else list(key)
     sizes, rows = pin_small(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
-    joined = df.join(sizes, by) if by else df.withColumn("_n", F.lit(rows[0]["_n"]))
+    joined = join_groups(df, sizes, by) if by else df.withColumn("_n", F.lit(rows[0]["_n"]))
     return joined.where(unit_hash(*keys, seed=seed) < F.lit(float(n)) / F.col("_n")).select(
         *by, *keys, F.col(target).alias("actual"), F.col(prediction).alias("predicted"))
 
@@ -139,7 +139,7 @@ def validate_regression(df: DataFrame, target: str, prediction: str = "predictio
     by = list(by)
     clean = clean_predictions(df, target, prediction).select(*by, target, prediction).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        wide = basic_metrics(clean, target, prediction, by).join(percentage_metrics(clean, target, prediction, by), by).join(
+        wide = join_groups(join_groups(basic_metrics(clean, target, prediction, by), percentage_metrics(clean, target, prediction, by), by), 
             extended_metrics(clean, target, prediction, by, exact), by)
         return pin_small(to_metric_rows(wide, by, METRICS))[0]
     finally:

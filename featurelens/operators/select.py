@@ -12,10 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from featurelens.functions.expressions import as_double, field_type, safe_corr
 from featurelens.operators.profile import melt_numeric
 from featurelens.operators.shared import local_frame
-from featurelens.operators.split import large_table_sample
 
-WIDE_LIMIT = 200          # more features than this are pre-filtered by statistics
-PREFILTER = 100
 MIN_VARIANCE = 1e-6
 IMPORTANCE_SCHEMA = "feature string, importance double"
 
@@ -64,11 +61,11 @@ def _forest(df: DataFrame, features: Sequence[str], label: str, task: str, seed:
     return cls(featuresCol="features", labelCol="label", seed=seed, **params).fit(vec)
 
 
-def forest_importance(df: DataFrame, features: Sequence[str], label: str, task: str = "classification", seed: int = 42, **params) -> DataFrame:
-    """FS2: adaptive forest importances; very wide inputs are pre-filtered by FS4."""
+def forest_importance(df: DataFrame, features: Sequence[str], label: str, task: str = "classification", seed: int = 42, prefilter: int | None = None, **params) -> DataFrame:
+    """FS2: forest importances of all features on all rows; ``prefilter`` first keeps that many by FS4, on request."""
     features = list(features)
-    if len(features) > WIDE_LIMIT:
-        kept = {r["feature"] for r in statistical_selection(df, features, label, min(PREFILTER, len(features))).collect()}
+    if prefilter is not None and len(features) > prefilter:
+        kept = {r["feature"] for r in statistical_selection(df, features, label, prefilter).collect()}
         features = [f for f in features if f in kept]
     if not features:
         raise ValueError("no usable features")
@@ -111,14 +108,17 @@ def chunked_selection(df: DataFrame, features: Sequence[str], label: str, most:
 
 
 def select_features(df: DataFrame, features: Sequence[str], label: str, task: str = "classification", most: int = 30,
-                    sequential_over: int = 200, rows: int | None = None, seed: int = 42) -> list[str]:
-    """FS7: sample a very large table, then chunked or plain selection by the number of features."""
+                    strategy: str = "forest", seed: int = 42) -> list[str]:
+    """FS7: the ``most`` best features by ``strategy``: forest (all features at once), chunked (FS3) or statistical (FS4)."""
     if len(features) <= most:
         return list(features)
-    data = large_table_sample(df, task, rows)
-    if len(features) > sequential_over:
-        return chunked_selection(data, features, label, most, task, seed=seed)
-    return top_features(forest_importance(data, features, label, task, seed), most)
+    if strategy == "chunked":
+        return chunked_selection(df, features, label, most, task, seed=seed)
+    if strategy == "statistical":
+        return [r["feature"] for r in statistical_selection(df, features, label, most).orderBy("rank").collect()]
+    if strategy != "forest":
+        raise ValueError(f"unknown strategy: {strategy}")
+    return top_features(forest_importance(df, features, label, task, seed), most)
 
 
 def audit_trail(spark, columns: dict[str, str], dropped: Sequence[tuple[str, str, str]], selected: Sequence[str]) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows of an aggregated frame that the driver agrees to hold.
@@ -24,6 +27,13 @@ def local_frame(spark: SparkSession, rows: list, schema: T.StructType | str) ->
     return spark.createDataFrame(table, schema)
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key is a key like any other; the keys of ``right`` are dropped."""
+    same = {k: f"_same_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(same)
+    return left.join(right, reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(s)) for k, s in same.items()]), how).drop(*same.values())
+
+
 def pin_small(df: DataFrame, limit: int = SMALL_FRAME_ROWS) -> tuple[DataFrame, list]:
     """Evaluate an aggregated frame once and hold it as a local relation.
 

@@ -50,10 +50,15 @@ def with_folds(df: DataFrame, key: str | Sequence[str], k: int = 5, seed: int =
     return df.withColumn("fold", F.floor(unit_hash(*keys, seed=seed) * k).cast("int"))
 
 
-def selection_sample(df: DataFrame, size_class: str, seed: int = 42) -> DataFrame:
-    """Sample for feature selection by size class."""
-    fraction = SAMPLE_FRACTIONS[size_class]
-    return df if fraction >= 1.0 else df.sample(False, fraction, seed)
+def hash_sample(df: DataFrame, key: str | Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
+    """Rows whose key hash is under ``fraction``: the same rows for any partitioning."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df if fraction >= 1.0 else df.where(unit_hash(*keys, seed=seed) < fraction)
+
+
+def selection_sample(df: DataFrame, key: str | Sequence[str], size_class: str, seed: int = 42) -> DataFrame:
+    """Sample for feature selection by size class, on request."""
+    return hash_sample(df, key, SAMPLE_FRACTIONS[size_class], seed)
 
 
 def large_table_fraction(rows: int, task: str = "classification") -> float:
@@ -64,10 +69,9 @@ def large_table_fraction(rows: int, task: str = "classification") -> float:
     return 1.0 if rows <= 500_000 else min(100_000, int(rows * 0.1)) / rows
 
 
-def large_table_sample(df: DataFrame, task: str = "classification", rows: int | None = None, seed: int = 42) -> DataFrame:
-    """Sample of a very large table before feature selection."""
-    fraction = large_table_fraction(df.count() if rows is None else rows, task)
-    return df if fraction >= 1.0 else df.sample(False, fraction, seed)
+def large_table_sample(df: DataFrame, key: str | Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
+    """Sample of a very large table before feature selection; the caller names the fraction (``large_table_fraction`` gives one)."""
+    return hash_sample(df, key, fraction, seed)
 
 
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame:

@@ -16,6 +16,7 @@ from featurelens.functions.expressions import NULL_TOKENS, NOT_NUMERIC_CHARS, as
 from featurelens.operators import columns as C
 
 IMPUTE_VALUE = -999.0
+MAX_CLASSES = 1000
 
 
 def index_categoricals(df: DataFrame, columns: Sequence[str], suffix: str = "_encoded") -> StringIndexerModel:
@@ -136,6 +137,7 @@ def build_preprocessing(df: DataFrame, categorical: Sequence[str], numeric: Sequ
 def fit_preprocessor(
     train: DataFrame, target: str | None, *, keep: Sequence[str] | None = None, missing_threshold: float = 0.75,
     max_categories: int = 50, impute: float = IMPUTE_VALUE, exact: bool = False, scale: bool = True, exclude: Sequence[str] = (),
+    classify: bool = False,
 ) -> Preprocessor:
     """F10 (with a target) and F11 (without): decide the columns, then fit one pipeline on train.
 
@@ -161,6 +163,14 @@ def fit_preprocessor(
     if target is not None and is_string(field_type(train, target)):
         indexer, _ = index_target(train, target)
         labels = tuple(indexer.labels)
+    elif target is not None and classify:
+        # one row per class; a target of 0 and 1 is its own label
+        value = F.col(target).cast("double")
+        classes = train.where(value.isNotNull()).select(F.col(target).cast("string").alias("name"), value.alias("value")).distinct().limit(MAX_CLASSES + 1).collect()
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"the target has more than {MAX_CLASSES} classes")
+        if not {r["value"] for r in classes} <= {0.0, 1.0}:
+            labels = tuple(r["name"] for r in sorted(classes, key=lambda r: r["value"]))
     return Preprocessor(model, tuple(cats), tuple(nums), target, labels, tuple(dropped))
 
 
@@ -179,7 +189,7 @@ def prepare_later_data(pre: Preprocessor, df: DataFrame, keys: Sequence[str] = (
 
 
 def with_label(pre: Preprocessor, df: DataFrame, output: str = "label") -> DataFrame:
-    """Target as the numeric ``label`` column; a text target uses the indexes of train."""
+    """Target as the numeric ``label`` column; a target that is not 0 and 1 uses the indexes of train."""
     if pre.target is None:
         raise ValueError("no target was given")
     if pre.labels:

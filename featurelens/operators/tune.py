@@ -38,7 +38,6 @@ CLUSTER_SPACE = {
     "bisecting_kmeans": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": [20, 50, 100], "minDivisibleClusterSize": [1.0, 2.0, 3.0]},
     "gaussian_mixture": {"k": [2, 3, 4, 5, 6, 7, 8, 9, 10], "maxIter": [50, 100, 200], "tol": [1e-5, 1e-4, 1e-3]},
 }
-MAX_GRID = 100
 
 
 def grid(space: dict[str, Sequence]) -> list[dict]:
@@ -103,15 +102,15 @@ def _best(results, larger: bool):
 
 
 def grid_search(train: DataFrame, valid: DataFrame, task: str, name: str, space: dict | None = None, features: int | None = None,
-                classes: int = 2, parallelism: int = 2, max_grid: int = MAX_GRID, seed: int = 42):
-    """H1: all combinations, or a random sample of them when there are too many.
+                classes: int = 2, parallelism: int = 2, max_grid: int | None = None):
+    """H1: all combinations; with ``max_grid`` a larger grid is refused.
 
     Returns ``(best parameters, best model, trials)``.
     """
     space = space or {"classification": CLASS_SPACE, "regression": REGRESSION_SPACE, "clustering": CLUSTER_SPACE}[task][name]
     maps = grid(space)
-    if len(maps) > max_grid:
-        maps = random_maps(space, max_grid, seed)
+    if max_grid is not None and len(maps) > max_grid:
+        raise ValueError(f"{len(maps)} combinations exceed max_grid={max_grid}; random_search draws some of them")
     return _search(train, valid, task, name, maps, features, classes, parallelism)
 
 
@@ -131,7 +130,10 @@ def _search(train, valid, task, name, maps, features, classes, parallelism):
 
 def halving_search(train: DataFrame, valid: DataFrame, key: str, task: str, name: str, n: int = 8, space: dict | None = None,
                    features: int | None = None, classes: int = 2, parallelism: int = 2, seed: int = 42, start: float = 0.25):
-    """H3: successive halving; each round doubles the key-hash sample and keeps the better half."""
+    """H3: successive halving; each round doubles the key-hash sample and keeps the better half.
+
+    The winner is fitted on all of ``train``.
+    """
     space = space or {"classification": CLASS_SPACE, "regression": REGRESSION_SPACE, "clustering": CLUSTER_SPACE}[task][name]
     ev, larger = evaluator(task, classes)
     make = builder(task, name, features, classes)
@@ -143,7 +145,8 @@ def halving_search(train: DataFrame, valid: DataFrame, key: str, task: str, name
         rounds += [(len(rounds), float(min(fraction, 1.0)), str(dict(sorted(p.items()))), float(s)) for p, s, _ in results]
         if len(alive) == 1 or fraction >= 1.0:
             table = local_frame(train.sparkSession, rounds, "trial int, fraction double, params string, score double")
-            return results[0][0], results[0][2], table
+            best, _, model = results[0]
+            return best, model if fraction >= 1.0 else make(**best).fit(train), table
         alive = [p for p, _, _ in results[: max(1, len(results) // 2)]]
         fraction *= 2
 

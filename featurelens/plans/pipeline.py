@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame, functions as F
 from featurelens.operators import binary_metrics as BM, models as M, regression_metrics as RM, selection as S, tune
 from featurelens.operators.balance import oversample, smote
 from featurelens.operators.clusters import profile_clusters
-from featurelens.operators.columns import clean_numeric_target, clustering_columns, coerce_columns
+from featurelens.operators.explain import mean_attribution, shapley
+from featurelens.operators.columns import clean_numeric_target, clustering_columns, column_facts
 from featurelens.operators.profile import class_distribution, detect_imbalance, full_profile, tag_datasets
 from featurelens.operators.select import audit_trail, select_features
-from featurelens.operators.shared import pin_small
+from featurelens.operators.shared import local_frame, pin_small
 from featurelens.operators.split import clustering_split, train_valid_test, with_folds
 from featurelens.operators.transform import (
     Preprocessor, build_preprocessing, encoded_frame, fit_preprocessor, with_label,
 )
-from featurelens.sources.readers import working_sample
 from featurelens.sources.writers import save_model
 
 
@@ -45,8 +45,11 @@ class FitConfig:
     metric_dataset: str = "valid"
     tune: str = ""                                      # "", grid, random or halving
     trials: int = 8
-    cross_validation: str = "never"
+    cross_validation: str = "never"                     # never, always or auto (no later dataset, or few rows)
     folds: int = 5
+    selection: str = "forest"                           # forest, chunked or statistical
+    attribution: bool = False
+    attribution_rows: int | None = None                 # None: all rows of the valid part
     profile: bool = False
     parallelism: int = 2
 
@@ -64,6 +67,8 @@ class FitResult:
     profile: dict[str, DataFrame] = field(default_factory=dict)
     target: str | None = None
     key: str | None = None
+    cross_validation: DataFrame | None = None           # model, mean and std of the fold metric
+    attribution: DataFrame | None = None
 
     def save(self, path: str) -> None:
         save_model(self.metrics.sparkSession, self.model, path, {
@@ -71,20 +76,21 @@ class FitResult:
             "features": self.preprocessor.feature_columns})
 
 
-def _selected_raw(sample: DataFrame, target: str, key: str, task: str, cfg: FitConfig) -> tuple[list[str], Preprocessor]:
-    """Sample phase: preprocess a bounded sample and rank its features."""
-    pre = fit_preprocessor(sample, target, missing_threshold=cfg.missing_threshold, max_categories=cfg.max_categories,
-                           exclude=[key, *cfg.exclude], scale=False)
-    ready = encoded_frame(pre, sample)
+def _selected_raw(rows: DataFrame, target: str, key: str, task: str, cfg: FitConfig) -> tuple[list[str], Preprocessor]:
+    """Column decisions and feature ranking on all rows of the train part."""
+    pre = fit_preprocessor(rows, target, missing_threshold=cfg.missing_threshold, max_categories=cfg.max_categories,
+                           exclude=[key, *cfg.exclude], scale=False, classify=task == "classification")
+    ready = encoded_frame(pre, rows)
     ready = with_label(pre, ready) if task == "classification" else ready.withColumn("label", F.col(target).cast("double"))
-    chosen = set(select_features(ready, pre.feature_columns, "label", task, cfg.max_features))
+    chosen = set(select_features(ready, pre.feature_columns, "label", task, cfg.max_features, cfg.selection))
     return [c for c in pre.raw_columns if c in chosen or c + "_encoded" in chosen], pre
 
 
 def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig, later: dict[str, DataFrame]) -> FitResult:
     parts = train_valid_test(df, key, cfg.train_size, cfg.valid_size, cfg.seed)
-    raw, sampled = _selected_raw(working_sample(parts["train"], seed=cfg.seed), target, key, task, cfg)
-    pre = fit_preprocessor(parts["train"].select(key, target, *raw), target, keep=raw, missing_threshold=1.0, max_categories=cfg.max_categories)
+    raw, ranked = _selected_raw(parts["train"], target, key, task, cfg)
+    pre = fit_preprocessor(parts["train"].select(key, target, *raw), target, keep=raw, missing_threshold=1.0,
+                           max_categories=cfg.max_categories, classify=task == "classification")
     classes, synthetic = 2, False
     train_rows = parts["train"]
     if task == "classification":
@@ -105,9 +111,10 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
         return out.select(key, "features", "label")
 
     train = (_synthetic(ready(train_rows), key, len(pre.feature_columns), cfg) if synthetic else ready(train_rows)).persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = None
     try:
         data = {"train": ready(parts["train"]), "valid": ready(parts["valid"]), "test": ready(parts["test"]), **{n: ready(d) for n, d in later.items()}}
-        tagged = tag_datasets(data)
+        tagged = tag_datasets(data).persist(StorageLevel.MEMORY_AND_DISK)
         width = len(pre.feature_columns)
         names = list(cfg.models) or (["logistic", "random_forest", "decision_tree"] if task == "classification"
                                      else ["linear_regression", "random_forest", "decision_tree"])
@@ -135,11 +142,25 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
             rows = part if rows is None else rows.unionByName(part)
         # one row per model, dataset and metric
         rows, _ = pin_small(rows)
+        folds = None
+        if tune.use_cross_validation(cfg.cross_validation, tagged.where(F.col("dataset") == "train").count(), bool(later)):
+            # the rows before balancing
+            whole = cross_validation_frame([data[n] for n in ("train", "valid", "test")], key, cfg.folds, cfg.seed)
+            scores = []
+            for name in fitted:
+                _, mean, std = tune.cross_validate(whole, task, name, cfg.folds, features=width, classes=classes, parallelism=cfg.parallelism, **cfg.params.get(name, {}))
+                scores.append((name, mean, std))
+            folds = local_frame(df.sparkSession, scores, "model string, mean double, std double")
         choose = S.champion_classification if task == "classification" else S.champion_regression
         ranking = choose(rows, metric, cfg.metric_dataset)
         best = ranking.where(F.col("rank") == 1).first()["model"]
+        shares = None
+        if cfg.attribution:
+            shares, _ = pin_small(mean_attribution(shapley(data["valid"], fitted[best], key, pre.feature_columns, max_rows=cfg.attribution_rows, seed=cfg.seed)))
     finally:
         train.unpersist()
+        if tagged is not None:
+            tagged.unpersist()
     stages = [*pre.model.stages, fitted[best]]
     if pre.labels:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted_" + target, labels=list(pre.labels)))
@@ -148,8 +169,11 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
         profile = full_profile(tag_datasets({"train": parts["train"].select(target, *raw), **{n: d.select(target, *raw) for n, d in later.items()}}),
                                raw, target, "classification" if task == "classification" else "regression", by=["dataset"])
     types = {f.name: f.dataType.simpleString() for f in df.schema if f.name not in (target, key)}
-    trail = audit_trail(df.sparkSession, types, sampled.dropped, raw)
-    return FitResult(PipelineModel(stages), task, best, rows, ranking, pre, trail, profile, target, key)
+    lost = [(c, "selection", "not among the most important features") for c in ranked.raw_columns if c not in raw]
+    dropped = {c: (c, step, why) for c, step, why in [*pre.dropped, *lost, *ranked.dropped] if step != "names" or c not in ranked.raw_columns}
+    kept = [c for c in raw if c in pre.raw_columns]
+    trail = audit_trail(df.sparkSession, types, list(dropped.values()), kept)
+    return FitResult(PipelineModel(stages), task, best, rows, ranking, pre, trail, profile, target, key, folds, shares)
 
 
 def _synthetic(ready_rows: DataFrame, key: str, width: int, cfg: FitConfig) -> DataFrame:
@@ -181,7 +205,7 @@ def evaluate(predictions: DataFrame, key: str, task: str, classes: int = 2) -> D
 
 
 def fit_classifier(df: DataFrame, target: str, key: str, config: FitConfig | None = None, later: dict[str, DataFrame] | None = None) -> FitResult:
-    """L1: split, select on a sample, preprocess and train on the full train part, compare on all parts, choose."""
+    """L1: split, select on the train part, preprocess and train on the full train part, compare on all parts, choose."""
     return _supervised(df.where(F.col(target).isNotNull()), target, key, "classification", config or FitConfig(), later or {})
 
 
@@ -191,14 +215,25 @@ def fit_regressor(df: DataFrame, target: str, key: str, config: FitConfig | None
     return _supervised(clean_numeric_target(df, target), target, key, "regression", config or FitConfig(), later)
 
 
+NOT_FOR_CLUSTERS = {"auto_balance", "balance_method", "balance_ratio", "metric", "metric_dataset", "tune", "trials", "max_features", "selection", "attribution", "attribution_rows"}
+
+
 def fit_clusterer(df: DataFrame, key: str, config: FitConfig | None = None, k_range: Sequence[int] = (2, 3, 4, 5),
                   method: str = "silhouette", later: dict[str, DataFrame] | None = None) -> FitResult:
     """L3: unsupervised preprocessing, every algorithm over the k range, quality per dataset, choice."""
     from featurelens.operators.cluster_metrics import evaluate_clusters
     cfg = config or FitConfig()
+    unused = [f.name for f in fields(cfg) if f.name in NOT_FOR_CLUSTERS and getattr(cfg, f.name) != f.default]
+    if unused:
+        raise ValueError(f"options that a clustering has no use for: {unused}")
     cats, nums = clustering_columns(df.drop(key, *cfg.exclude))
     parts = clustering_split(df, key, cfg.train_size, cfg.valid_size, 1 - cfg.train_size - cfg.valid_size, cfg.seed)
     train_raw = parts.where(F.col("dataset") == "train")
+    facts = column_facts(train_raw, [*cats, *nums])
+    why = [(c, "missing", "too many missing values") for c in (*cats, *nums) if (facts[c]["missing"] or 0.0) > cfg.missing_threshold]
+    why += [(c, "cardinality", "too many categories") for c in cats if facts[c]["distinct"] > cfg.max_categories]
+    gone = {c for c, _, _ in why}
+    cats, nums = [c for c in cats if c not in gone], [c for c in nums if c not in gone]
     pre = Preprocessor(build_preprocessing(train_raw, cats, nums).fit(train_raw), tuple(cats), tuple(nums))
     train = pre.transform(train_raw).select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
     everything = parts
@@ -206,16 +241,22 @@ def fit_clusterer(df: DataFrame, key: str, config: FitConfig | None = None, k_ra
         everything = everything.unionByName(d.withColumn("dataset", F.lit(name)))
     tagged = pre.transform(everything).select(key, "dataset", "features")
     try:
-        fitted, rows = {}, None
+        fitted, rows, folds = {}, None, None
+        check = tune.use_cross_validation(cfg.cross_validation, train.count(), bool(later))
         for name in list(cfg.models) or ["kmeans", "bisecting_kmeans"]:
             models, table = M.fit_k_range(train, name, k_range, **cfg.params.get(name, {}))
             k = int(S.choose_k(table).first()["best_k"])
             fitted[name] = models[k]
+            if check:
+                held = tune.fold_summary(tune.cluster_folds(with_folds(train, key, cfg.folds, cfg.seed), name, k, cfg.folds, **cfg.params.get(name, {})))
+                held = held.select(F.lit(name).alias("model"), "metric", "mean", "std", "min", "max", "folds")
+                folds = held if folds is None else folds.unionByName(held)
             wide = evaluate_clusters(models[k].transform(tagged), by=["dataset"])
             part = BM.to_metric_rows(wide, ["dataset"], ["silhouette", "calinski_harabasz", "davies_bouldin", "inertia", "num_clusters", "sample_count"])
             part = part.withColumn("model", F.lit(name))
             rows = part if rows is None else rows.unionByName(part)
         rows, _ = pin_small(rows)
+        folds = None if folds is None else pin_small(folds)[0]
     finally:
         train.unpersist()
     source = F.when(F.col("dataset") == "valid", "validation").otherwise(F.col("dataset"))
@@ -226,8 +267,8 @@ def fit_clusterer(df: DataFrame, key: str, config: FitConfig | None = None, k_ra
     profile = profile_clusters(model.transform(train_raw), nums, cats) if cfg.profile else {}
     types = {f.name: f.dataType.simpleString() for f in df.schema if f.name != key}
     used = set(cats) | set(nums)
-    trail = audit_trail(df.sparkSession, types, [(c, "kinds", "not a feature") for c in types if c not in used], [*cats, *nums])
-    return FitResult(model, "clustering", best, rows, ranking, pre, trail, profile, None, key)
+    trail = audit_trail(df.sparkSession, types, [*why, *[(c, "kinds", "not a feature") for c in types if c not in used and c not in gone]], [*cats, *nums])
+    return FitResult(model, "clustering", best, rows, ranking, pre, trail, profile, None, key, folds)
 
 
 def cross_validation_frame(parts: Sequence[DataFrame], key: str, folds: int = 5, seed: int = 42) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
 from featurelens.operators.columns import raw_name
 from featurelens.operators.shared import local_frame
+from featurelens.operators.split import hash_sample
 
 EXTENSIONS = {"csv": "csv", "tsv": "tsv", "tab": "tsv", "json": "json", "jsonl": "json", "parquet": "parquet"}
-WORKING_ROWS = 100_000
 WORKING_FRACTION = 0.1
 
 
@@ -70,11 +70,14 @@ def load_source(spark: SparkSession, source: str | DataFrame, source_type: str =
 
 
 def read_with_options(df: DataFrame, select: Sequence[str] | None = None, where: str | None = None, sample_percent: float | None = None,
-                      limit: int | None = None, seed: int = 42) -> DataFrame:
-    """Sample, filter, project and limit, in this order; Catalyst pushes them to the source."""
+                      limit: int | None = None, seed: int = 42, key: str | Sequence[str] | None = None) -> DataFrame:
+    """Sample, filter, project and limit, in this order; Catalyst pushes them to the source.
+
+    The sample is by the hash of ``key``, or of all columns if none is given.
+    """
     out = df
     if sample_percent is not None:
-        out = out.sample(False, sample_percent / 100.0, seed)
+        out = hash_sample(out, key or out.columns, sample_percent / 100.0, seed)
     if where:
         out = out.where(where)
     if select:
@@ -83,19 +86,17 @@ def read_with_options(df: DataFrame, select: Sequence[str] | None = None, where:
 
 
 def materialise_filtered(df: DataFrame, where: str | None = None, select: Sequence[str] | None = None, table: str | None = None) -> DataFrame:
-    """Filtered and projected rows kept for reuse, as a table when a name is given, else cached."""
+    """Filtered and projected rows, written for reuse as a table when a name is given, else as a view of the source."""
     out = read_with_options(df, select, where)
     if table is None:
-        return out.cache()
+        return out
     out.write.mode("overwrite").saveAsTable(table)
     return df.sparkSession.table(table)
 
 
-def working_sample(df: DataFrame, rows: int = WORKING_ROWS, fraction: float = WORKING_FRACTION, seed: int = 42) -> DataFrame:
-    """Tables over ``rows`` rows are sampled and capped; smaller ones stay whole."""
-    if df.limit(rows + 1).count() <= rows:
-        return df
-    return df.sample(False, fraction, seed).limit(rows)
+def working_sample(df: DataFrame, key: str | Sequence[str], fraction: float = WORKING_FRACTION, seed: int = 42) -> DataFrame:
+    """A share of the rows by key hash, on request; a fraction of 1 is the whole table."""
+    return hash_sample(df, key, fraction, seed)
 
 
 def reload_selected(df: DataFrame, selected: Sequence[str], target: str, where: str | None = None) -> DataFrame:

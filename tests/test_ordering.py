@@ -55,7 +55,7 @@ def test_row_numbers_and_deciles_equal_sql(spark, rows_per_task):
 
 def test_ranges_split_a_hot_score(spark):
     df = spark.range(9000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 9000).alias("s"))
-    cuts, hot = O._score_ranges(df, "s", 300)
+    cuts, hot, _, _ = O._score_ranges(df, "s", 300)
     assert list(hot) == [0.5] and hot[0.5] >= 8
 
 

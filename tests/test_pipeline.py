@@ -135,10 +135,10 @@ def test_text_files_round_trip(spark, flowers, tmp_path):
         S.load_datasets(spark, {"train": flowers, "oot1": flowers.drop("width")})
 
 
-def test_working_sample_limits(flowers):
-    assert S.working_sample(flowers, 1000).count() == 600
-    assert S.working_sample(flowers, 100, 0.5).count() == 100
-
+def test_working_sample_is_free_of_the_partitioning(flowers):
+    ids = lambda df: sorted(r["key"] for r in S.working_sample(df, "key", 0.5).select("key").collect())
+    assert ids(flowers) == ids(flowers.repartition(7)) and 200 < len(ids(flowers)) < 400
+    assert S.working_sample(flowers, "key", 1.0).count() == 600
 
 def test_reload_strips_suffixes(flowers):
     assert S.reload_selected(flowers, ["colour_encoded", "width"], "kind", "width > 1").columns == ["kind", "colour", "width"]

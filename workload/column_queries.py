@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from featurelens.operators import columns as C, joins as J, transform as T
 from workload import fixtures as X
-from workload.fixtures import sql
+from workload.fixtures import sql, u_sql
 from workload.registry import query, r, rounded
 from workload.profile_queries import MISSING_SQL
 
@@ -72,11 +72,9 @@ def p8(spark, sf):
     return C.clean_predictions(X.gaps(spark, sf).selectExpr("key", "num AS target", "mostly_null AS prediction"), "target")
 
 
-@query("p9_row_sample")
+@query("p9_row_sample", f"SELECT o_orderkey FROM orders WHERE {u_sql('o_orderkey', seed=42)} < CAST('0.3' AS DOUBLE)")
 def p9(spark, sf):
-    df = X.table(spark, sf, "lineitem")
-    n = df.count()
-    return C.sample_rows(df, 0.3).agg((F.abs(F.count(F.lit(1)) / n - 0.3) < 0.1).alias("near_fraction"))
+    return C.sample_rows(X.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.3)
 
 
 @query("p10_numeric_gate", """SELECT column_name FROM (DESCRIBE SELECT * FROM lineitem) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE')""")

@@ -230,7 +230,7 @@ def e25(spark, sf):
 def x1(spark, sf):
     pre, df = prepared(class_frame(spark, sf))
     model = M.classifier("decision_tree").fit(df)
-    return rounded(mean_attribution(shapley(df, model, "key", pre.feature_columns, max_rows=50, permutations=5)))
+    return rounded(mean_attribution(shapley(df, model, "key", pre.feature_columns, permutations=3)))
 
 
 def _class_model(spark, sf):

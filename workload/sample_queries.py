@@ -55,17 +55,14 @@ def b5(spark, sf):
         (F.abs(F.count(F.lit(1)) - (int(most * 0.06) - span["n"])) <= 0.15 * most * 0.06).alias("near_goal"))
 
 
-@query("b6_selection_sample")
+@query("b6_selection_sample", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {u_sql('l_orderkey', 'l_linenumber', seed=42)} < CAST('0.3' AS DOUBLE)")
 def b6(spark, sf):
-    df = X.table(spark, sf, "lineitem")
-    n = df.count()
-    return L.selection_sample(df, "medium").agg((F.abs(F.count(F.lit(1)) / n - 0.3) < 0.1).alias("near_fraction"))
+    return L.selection_sample(X.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "medium").select("l_orderkey", "l_linenumber")
 
 
-# below the limits the table stays whole; the rule itself is unit-tested
-@query("b7_large_table_sample", "SELECT count(*) AS n FROM lineitem")
+@query("b7_large_table_sample", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {u_sql('l_orderkey', 'l_linenumber', seed=42)} < CAST('0.05' AS DOUBLE)")
 def b7(spark, sf):
-    return L.large_table_sample(X.table(spark, sf, "lineitem")).agg(F.count(F.lit(1)).alias("n"))
+    return L.large_table_sample(X.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 0.05).select("l_orderkey", "l_linenumber")
 
 
 @query("u1_union_rows", "SELECT event_type, count(*) * 2 AS n FROM events GROUP BY event_type")
