@@ -168,7 +168,8 @@ def t1(spark, sf):
     return top_values(df, ["flags"], n=3).drop("feature")
 
 
-@query("t3_first_rows")
+@query("t3_first_rows", "SELECT least(count(*), 25) AS n, least(count(DISTINCT o_orderkey), 25) AS orders FROM orders")
 def t3(spark, sf):
     from featurelens.sources import read_with_options
-    return read_with_options(X.table(spark, sf, "orders"), limit=25).agg(F.count(F.lit(1)).alias("n"))
+    return read_with_options(X.table(spark, sf, "orders"), limit=25).join(X.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("orders"))

@@ -120,7 +120,7 @@ def s17(spark, sf):
     return rounded(spark.read.json(f"{path}/numeric").select("feature", "count", "mean"))
 
 
-@query("s18_model_persistence")
+@query("s18_model_persistence", sql("SELECT count(*) AS n, count(DISTINCT key) AS same, 'classification' AS task FROM labelled", "labelled"))
 def s18(spark, sf):
     df = X.labelled(spark, sf).select("key", "price", "balance", "priority", "target")
     pre = fit_preprocessor(df, "target", exclude=["key"])
@@ -131,4 +131,4 @@ def s18(spark, sf):
     again, meta = S.load_model(spark, path)
     a = whole.transform(df).select("key", F.col("prediction").alias("a"))
     b = again.transform(df).select("key", F.col("prediction").alias("b"))
-    return a.join(b, "key").agg((F.count_if(F.col("a") != F.col("b")) == 0).alias("same"), F.lit(meta["task"]).alias("task"))
+    return a.join(b, "key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"), F.lit(meta["task"]).alias("task"))

@@ -111,10 +111,10 @@ def f10(spark, sf):
     return T.encoded_frame(pre, g, ["key"]).select("key", "cat_encoded", "num", "const", "flag", "target")
 
 
-@query("f11_unsupervised")
+@query("f11_unsupervised", sql("SELECT count(*) AS n, count(DISTINCT key) AS keys, count(*) AS same_width FROM gaps", "gaps"))
 def f11(spark, sf):
     df = X.gaps(spark, sf).drop("ts", "order_date_text", "customer")
     cats, nums = C.clustering_columns(df.drop("key"))
     model = T.build_preprocessing(df, cats, nums).fit(df)
     out = model.transform(df)
-    return out.agg((F.count(F.lit(1)) == df.count()).alias("all_rows"), F.max(F.size(vector_to_array("features"))).alias("width"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.count_if(F.size(vector_to_array("features")) == len(cats) + len(nums)).alias("same_width"))
