@@ -41,6 +41,19 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return local_frame(df.sparkSession, rows, MATRIX_SCHEMA)
 
 
+def correlation_matrices(df: DataFrame, columns: Sequence[str], by: Sequence[str], width: int = 100) -> DataFrame:
+    """A20 for every group at once: ``*by, feature1, feature2, correlation`` on complete rows."""
+    clean = df.select(*by, *[as_double(c, field_type(df, c)).alias(c) for c in columns]).dropna(subset=list(columns))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    out = None
+    for i in range(0, len(pairs), width):
+        rows = F.array(*[F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), safe_corr(F.col(a), F.col(b)).alias("correlation")) for a, b in pairs[i:i + width]])
+        part = clean.groupBy(*by).agg(rows.alias("_rows")).select(*by, F.inline("_rows"))
+        out = part if out is None else out.unionByName(part)
+    mirrored = out.where(F.col("feature1") != F.col("feature2")).select(*by, F.col("feature2").alias("feature1"), F.col("feature1").alias("feature2"), "correlation")
+    return out.unionByName(mirrored)
+
+
 def strength(r: Column) -> Column:
     label = F.lit("very_weak")
     for name, floor in reversed(STRENGTHS):
@@ -60,8 +73,9 @@ def with_strength(corr: DataFrame) -> DataFrame:
 
 def target_ranking(matrix: DataFrame, target: str) -> DataFrame:
     """The target row of a matrix with strength and sign, strongest first."""
+    groups = [c for c in matrix.columns if c not in ("feature1", "feature2", "correlation")]
     rows = matrix.where((F.col("feature2") == target) & (F.col("feature1") != target)).select(
-        F.col("feature1").alias("feature"), "correlation")
+        *groups, F.col("feature1").alias("feature"), "correlation")
     return with_strength(rows).orderBy(F.desc("abs_correlation"), "feature")
 
 

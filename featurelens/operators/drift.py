@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from featurelens.functions.expressions import field_type, is_numeric
+from featurelens.functions.expressions import as_double, bucket_tree, field_type, is_numeric
 from featurelens.operators.joins import align_distributions
 from featurelens.operators.profile import MISSING_BIN, melt_numeric, melt_text, tag_datasets
 from featurelens.operators.quantiles import exact_quantiles
@@ -42,13 +42,15 @@ def bin_shares(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     parts = []
     keys = [*by, "feature"]
     if numeric:
-        v = F.col("value")
-        most = edges.agg(F.max(F.size("edges"))).first()[0] or 0
-        index = F.lit(0)
-        for i in range(most):
-            index = index + F.when(v >= F.get("edges", F.lit(i)), 1).otherwise(0)
-        long = melt_numeric(df, numeric, by).join(edges, "feature", "left").withColumn(
-            "bin", F.when(v.isNull(), MISSING_BIN).otherwise(F.format_string("bin_%02d", index)))
+        # the edges are a few numbers for each feature: bins come from the wide row, without a join
+        cuts = {r["feature"]: [e for e in r["edges"] or [] if e is not None] for r in edges.collect()}
+
+        def binned(f: str) -> Column:
+            v = as_double(f, field_type(df, f))
+            name = F.when(v.isNull(), MISSING_BIN).otherwise(F.format_string("bin_%02d", bucket_tree(v, cuts.get(f, []))))
+            return F.struct(F.lit(f).alias("feature"), name.alias("bin"))
+
+        long = df.select(*by, F.inline(F.array(*[binned(f) for f in numeric])))
         parts.append(long.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
     if categorical:
         long = melt_text(df, categorical, by).withColumn("bin", F.coalesce("value", F.lit(MISSING_BIN)))

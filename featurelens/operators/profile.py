@@ -412,19 +412,23 @@ def dataset_size_class(df: DataFrame) -> DataFrame:
 
 def full_profile(df: DataFrame, features: Sequence[str], target: str, task: str = "classification",
                  by: Sequence[str] = (), exact: bool = False) -> dict[str, DataFrame]:
-    """The tidy tables ``univariate``, ``bivariate`` and ``correlation``.
+    """The tidy tables ``univariate``, ``quality``, ``bivariate``, ``correlation``, ``matrix``, ``ranking`` and ``collinear``.
 
     With ``by=["dataset"]`` several datasets, unioned and tagged, are profiled
     in the same jobs.
     """
-    from featurelens.operators.correlate import target_correlation
+    from featurelens.operators.correlate import collinear_pairs, correlation_matrices, indexed_target, target_correlation, target_ranking
     numeric = [f for f in features if is_numeric(field_type(df, f))]
     tables = {
         "univariate": univariate_profile(df, features, by, exact),
         "bivariate": bivariate_profile(df, features, target, task, by=by, exact=exact),
     }
+    tables["quality"] = quality_score(tables["univariate"], by)
     if numeric:
         tables["correlation"] = target_correlation(df, numeric, target, by)
+        tables["matrix"] = correlation_matrices(indexed_target(df, target), [*numeric, target], by)
+        tables["ranking"] = target_ranking(tables["matrix"], target)
+        tables["collinear"] = collinear_pairs(tables["matrix"], numeric)
     return tables
 
 

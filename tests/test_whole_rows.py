@@ -121,3 +121,17 @@ def test_search_limits(separable):
         again = tune.builder("classification", "decision_tree")(**best).fit(ready)
         assert model.toDebugString.split("\n", 1)[1] == again.toDebugString.split("\n", 1)[1]
     assert explain.shapley(ready, model, "key", ["x", "z"], permutations=1).select("key").distinct().count() == 400
+
+
+def test_full_profile_has_every_section(spark, dirty):
+    from featurelens.operators import correlate as C
+    df = dirty.withColumn("twin", F.col("value") * 2 + F.col("key") % 2 * 0.1)
+    whole = P.full_profile(df, ["value", "twin", "score"], "label")
+    assert set(whole) == {"univariate", "quality", "bivariate", "correlation", "matrix", "ranking", "collinear"}
+    want = {(r["feature1"], r["feature2"]): r["correlation"] for r in C.correlation_matrix(df, ["value", "twin", "score", "label"]).collect()}
+    got = {(r["feature1"], r["feature2"]): r["correlation"] for r in whole["matrix"].collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert [(r["feature1"], r["feature2"]) for r in whole["collinear"].collect()] == [("twin", "value")]
+    assert whole["quality"].first()["features"] == 3 and whole["ranking"].first()["feature"] == "score"
+    by = P.full_profile(df, ["value", "twin"], "label", by=["dataset"])
+    assert by["matrix"].count() == 27 and by["collinear"].count() == 3 and by["quality"].count() == 3

@@ -275,9 +275,11 @@ def h8(spark, sf):
     return rounded(S.tuned_or_default(rows, "ks"))
 
 
-@query("e25_elbow_table")
+@query("e25_elbow_table", "SELECT k, n, n > 0 AS in_range FROM (SELECT count(*) AS n FROM embeddings), (SELECT CAST(unnest([2, 3, 4]) AS INT) AS k)")
 def e25(spark, sf):
-    return rounded(M.fit_k_range(emb(spark, sf), "kmeans", [2, 3, 4], maxIter=10)[1])
+    df = emb(spark, sf)
+    table = M.fit_k_range(df, "kmeans", [2, 3, 4], maxIter=10)[1]
+    return table.select(F.col("k").cast("int").alias("k"), F.lit(df.count()).alias("n"), (F.col("silhouette").between(-1, 1) & (F.col("inertia") > 0)).alias("in_range"))
 
 
 @query("x1_attribution", sql("SELECT CASE WHEN corr(price, label) > 0 THEN 'price' END AS feature, count(*) > 0 AS positive FROM c", "labelled", c=LABEL_SQL))
@@ -338,14 +340,16 @@ def l1(spark, sf):
     return _sizes(df, "key", PL.fit_classifier(df, "label", "key", cfg).metrics, F.col("value").between(0, F.when(F.col("metric") == "ks", 100).otherwise(1)))
 
 
-@query("l2_fit_regressor")
+@query("l2_fit_regressor", "SELECT count(*) AS n, CAST(3 AS BIGINT) AS parts, count(*) > 0 AS finite FROM lineitem")
 def l2(spark, sf):
     cfg = PL.FitConfig(models=("linear_regression", "decision_tree"))
     df = reg_frame(spark, sf).drop("features")
-    return rounded(PL.fit_regressor(df, "label", "key", cfg).metrics, 3)
+    found = PL.fit_regressor(df, "label", "key", cfg).metrics.agg(F.countDistinct("dataset").alias("parts"), F.min(F.abs("value") < float("inf")).alias("finite"))
+    return found.select(F.lit(df.count()).alias("n"), "parts", "finite")
 
 
-@query("l3_fit_clusterer")
+@query("l3_fit_clusterer", sql(f"SELECT dataset, count(*) AS n, CAST(6 AS BIGINT) AS metrics, count(*) > 0 AS in_range FROM (SELECT {PART_SQL} AS dataset FROM labelled) GROUP BY dataset", "labelled"))
 def l3(spark, sf):
     cfg = PL.FitConfig(models=("kmeans",), params={"kmeans": {"maxIter": 10}})
-    return rounded(PL.fit_clusterer(X.labelled(spark, sf).select("key", "price", "balance", "nation"), "key", cfg, (2, 3, 4)).metrics)
+    df = X.labelled(spark, sf).select("key", "price", "balance", "nation")
+    return _sizes(df, "key", PL.fit_clusterer(df, "key", cfg, (2, 3, 4)).metrics, (F.col("metric") != "silhouette") | F.col("value").between(-1, 1))
