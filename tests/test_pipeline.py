@@ -55,7 +55,7 @@ def test_multiclass_fit_saves_and_scores_text_labels(spark, flowers, tmp_path):
     res = PL.fit_classifier(flowers, "kind", "key", cfg, later)
     assert {r["model"] for r in res.metrics.select("model").distinct().collect()} == {"decision_tree", "logistic"}
     assert {r["dataset"] for r in res.metrics.select("dataset").distinct().collect()} == {"train", "valid", "test", "oot1"}
-    assert set(res.profile) == {"univariate", "bivariate", "correlation"}
+    assert set(res.profile) == {"univariate", "quality", "bivariate", "correlation", "matrix", "ranking", "collinear"}
     res.save(str(tmp_path / "m"))
     SC.score(spark, str(tmp_path / "m"), flowers.drop("kind"), str(tmp_path / "out"))
     got = spark.read.parquet(str(tmp_path / "out")).join(flowers, "key")
