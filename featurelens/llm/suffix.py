@@ -144,7 +144,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX,
     kept = suffixes.join(shared, "h").groupBy("d1").agg(F.collect_set("h").alias("kept"))
     ours = checkpointed(texts.select("tid", "d1", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2")).join(kept, "d1").drop("d1"))
     runs = rows.select("_k1", "_k2", "text").join(ours, ["_k1", "_k2"]).select("tid", "text", "kept").mapInArrow(_extended(least, prefix), "w1 long, w2 long, tid long, at int")
-    twice = runs.groupBy("w1", "w2").agg(F.min("tid").alias("lead"), F.max("tid").alias("tail")).where("lead <> tail").select("w1", "w2", "lead")
+    # written, so that the join below deals both sides itself and can split a run that is everywhere
+    twice = checkpointed(runs.groupBy("w1", "w2").agg(F.min("tid").alias("lead"), F.max("tid").alias("tail")).where("lead <> tail").select("w1", "w2", "lead"))
     marked = runs.join(twice, ["w1", "w2"]).groupBy("tid").agg(F.collect_set("at").alias("starts"), F.collect_set(F.when(F.col("lead") != F.col("tid"), F.col("at"))).alias("later"))
     marked = marked.select("tid", _merged(F.col("starts"), least).alias("spans"), _merged(F.col("later"), least).alias("later"))
     of_text = checkpointed(texts.join(marked, "tid", "left"))
