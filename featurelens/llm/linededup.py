@@ -40,7 +40,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are one document and get the same result. Other columns are carried along whatever their names.
 
     The first places come from a grouped minimum, combined before the shuffle; only windows with a second place are
-    joined back, by Spark's skew-aware join, so a line run that is everywhere does not meet in one task.
+    joined back. The rows of that join are a few numbers each, streamed past one first place, whatever a window's count.
     """
     rows = _named(docs, id_col, text_col)
     windows = _windows(rows)
