@@ -20,7 +20,7 @@ from featurelens.llm.text import bounded_sample, checkpointed, held_out, pieces
 SAMPLE = 5000           # labelled findings of each class that the forest is fitted on
 TREES, DEPTH = 40, 8
 DICTIONARY = 20_000     # most frequent words of all documents
-COUNTED = 200_000       # words that a task counts at once before it drops those seen once
+COUNTED = 200_000       # words that a task holds before it hands on their counts
 SHORTEST = 8
 KEPT = 0.5
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"     # characters of the transition model; others are one more
@@ -54,11 +54,15 @@ for _i, _c in enumerate(SYMBOLS):
 
 
 def corpus_model(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY) -> CorpusModel:
-    """Counted over all documents; a task drops words it saw once when it holds too many, so only rare ones can be undercounted."""
+    """Counted over all documents. A task that holds ``COUNTED`` words hands their counts on and starts anew, so counts are exact."""
     side = len(SYMBOLS) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, seen = np.zeros(side * side, np.int64), Counter()
+
+        def rows(keys: list[bytes], counts: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["key", "n"])
+
         for batch in batches:
             for text in batch.column(0):
                 for part in pieces(text.as_py() or b""):
@@ -66,12 +70,9 @@ def corpus_model(docs: DataFrame, text_col: str = "text", words: int = DICTIONAR
                     pairs += np.bincount(code[:-1] * side + code[1:], minlength=side * side)
                     seen.update(_word.findall(part.lower()))
                     if len(seen) > COUNTED:
-                        seen = Counter({w: n for w, n in seen.items() if n > 1})
-                        if len(seen) > COUNTED // 2:
-                            seen = Counter(dict(seen.most_common(COUNTED // 4)))
-        top = seen.most_common(words)
-        keys = [b"#%d" % i for i in range(side * side)] + [w for w, _ in top]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([*pairs.tolist(), *[n for _, n in top]], pa.int64())], ["key", "n"])
+                        yield rows(list(seen), list(seen.values()))
+                        seen.clear()
+        yield rows([*(b"#%d" % i for i in range(side * side)), *seen], [*pairs.tolist(), *seen.values()])
 
     totals = checkpointed(docs.select(F.col(text_col).cast("binary")).mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")))
     is_pair = F.col("key").cast("string").startswith("#")

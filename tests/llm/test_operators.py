@@ -347,6 +347,18 @@ def test_passages_equal_hand(spark, least, prefix):
     assert sum(map(len, again.values())) <= sum(map(len, want.values())) // 2
 
 
+@pytest.mark.parametrize("held", [20, 200_000])
+def test_dictionary_counts_are_exact(spark, monkeypatch, held):
+    monkeypatch.setattr(secrets, "COUNTED", held)
+    rng = random.Random(5)
+    # words once in each of many texts: frequent in all, rare in what a task holds at a time
+    texts = [" ".join(["steady"] + ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)]) for _ in range(60)] + [None, ""]
+    seen = pd.Series(" ".join(t for t in texts if t).split()).value_counts()
+    model = secrets.corpus_model(table(spark, list(enumerate(texts))).repartition(3), words=30)
+    want = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:30]
+    assert model.words == frozenset(w.encode() for w, _ in want)
+
+
 def test_secrets(spark, sf):
     sf = os.path.join(os.path.dirname(sf), "sf0.1")
     found = secrets.find_secrets(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
