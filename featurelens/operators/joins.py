@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featurelens.operators.shared import pin_small
 
@@ -14,18 +16,23 @@ SALT_OVER_ROWS = 1_000_000   # a smaller left side fits one task even if it is o
 
 
 def join_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Attach ``right`` to ``left`` by real key columns."""
+    """Attach ``right`` to ``left`` by real key columns. Skewed keys: ``salted_join``."""
     return left.join(right, list(keys), how)
 
 
+def _blank(keys: Sequence[str]) -> Column:
+    return reduce(or_, [F.col(f"`{k}`").isNull() for k in keys])
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
     salt_by: Sequence[str] | None = None, salt_over: int = SALT_OVER_ROWS,
 ) -> DataFrame:
-    """J1 for skewed keys: only the hot keys of ``left`` are salted.
+    """J1 for skewed keys: only the hot keys of ``left`` and its null keys are salted.
 
     At most ``HOT_KEY_SHARE`` keys can each hold more than that share of the
-    rows, so the list of hot keys has a proven bound. ``how`` is inner or left.
+    rows, so the list of hot keys has a proven bound. A null key matches
+    nothing; its rows are dealt over all tasks. ``how`` is inner or left.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
@@ -39,15 +46,21 @@ def salted_join(
         return left.join(right, keys, how)
     salt_cols = list(salt_by or left.columns)
     tagged = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_cols, F.spark_partition_id()), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+        "_salt", F.when(F.col("_hot") | _blank(keys), F.pmod(F.xxhash64(*salt_cols, F.spark_partition_id()), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     spread = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return tagged.drop("_hot").join(spread.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
 
 
 def attach_labels(rows: DataFrame, labels: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Attach labels or predictions by a stable row key (left join)."""
-    return rows.join(labels, [key] if isinstance(key, str) else list(key), "left")
+    """Attach labels or predictions by a stable row key (left join).
+
+    A row key is nearly unique, so only a null one can be hot. It matches nothing, so its rows are dealt over all tasks.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    plain = [f"`{f.name}`" for f in rows.schema if isinstance(f.dataType, T.AtomicType)]
+    deal = F.when(_blank(key), F.pmod(F.xxhash64(*plain), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    return rows.withColumn("_salt", deal).join(labels.withColumn("_salt", F.lit(0)), [*key, "_salt"], "left").drop("_salt")
 
 
 def align_distributions(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: str = "share") -> DataFrame:

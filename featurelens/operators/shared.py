@@ -53,7 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
         # a folder of this machine only serves a session that runs on this machine
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        folder = tempfile.mkdtemp(prefix="featurelens-")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="featurelens-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 

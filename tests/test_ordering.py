@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featurelens.operators import ordering as O
-from featurelens.operators.joins import align_distributions, salted_join
+from featurelens.operators.joins import align_distributions, attach_labels, salted_join
 from featurelens.operators.quantiles import exact_quantiles, quantile_columns
 
 
@@ -75,6 +75,25 @@ def test_salted_join_equals_plain_join(spark):
         salted_join(left, right, ["k"], "full_outer")
 
 
+@pytest.mark.parametrize("attach", [lambda a, b: salted_join(a, b, ["k"], "left", salt_over=0), lambda a, b: attach_labels(a, b, "k")])
+def test_null_keys_are_dealt_over_tasks(spark, attach):
+    left = spark.range(8000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("x"))
+    right = spark.range(8000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y")).unionByName(
+        spark.sql("SELECT CAST(NULL AS BIGINT) AS k, 5L AS y"))
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(keep, ("-1", "false", "16")):
+            spark.conf.set(c, v)
+        out = attach(left, right)
+        assert out.columns == ["k", "x", "y"]
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert out.exceptAll(left.join(right, ["k"], "left")).count() == 0 and sum(sizes) == 8000
+        assert max(sizes) < 2000
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+
+
 def test_alignment_keeps_both_sides(spark):
     a = spark.createDataFrame([("x", 0.4), ("y", 0.6)], "bin string, share double")
     b = spark.createDataFrame([("y", 0.5), ("z", 0.5)], "bin string, share double")
