@@ -1,16 +1,19 @@
 """Exact quantiles per group without gathering a group in one task.
 
 Groups with few distinct values are counted value by value. In the others a
-sketch brackets the wanted ranks and only the values inside the brackets are
-counted and ordered; a bracket that still holds too many distinct values is
-narrowed again. So the last ordering step is bounded, and the rows are never
-shuffled before they are counted.
+sketch gives bounds around the wanted ranks. The bounds cut the values into
+cells, a row belongs to one cell, and exact counts of the cells tell where a
+rank lies. Only the values of those cells are counted and ordered; one that
+holds too many distinct values is cut again. So the last ordering step is
+bounded, and the rows are never shuffled before they are counted.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
@@ -18,7 +21,7 @@ from featurelens.operators.shared import join_groups, local_frame, pin_small
 
 SKETCH_ACCURACY = 10_000
 GRID = [i / 200 for i in range(201)]
-DIRECT = 0          # span id of the groups that need no bracket
+DIRECT = 0          # cell of the groups that need no bounds
 
 
 def exact_quantiles(
@@ -60,27 +63,26 @@ def exact_quantiles(
     counted = []
     if len(large) < len(counts):
         few = src if not large else _among(src, frame([g for g in counts if g not in large]), group)
-        counted.append(few.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_span", F.lit(DIRECT)))
+        counted.append(few.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_cell", F.lit(DIRECT)))
         targets += [(*g, DIRECT, p, counts[g], a, b, f) for g in counts if g not in large for p, a, b, f in ranks[g]]
     if large:
-        many = _among(src, frame(list(large)), group)
-        spans, of = _brackets(many, group, probs, ranks, frame, ordered_rows, min(counts[g] for g in large))
-        counted.append(_inside(many, spans, group, frame).groupBy(*group, "_v", "_span").agg(F.count(F.lit(1)).alias("_c")).select(
-            *group, "_v", "_c", "_span"))
-        targets += [(*g, of[g, p], p, counts[g], a, b, f) for g in large for p, a, b, f in ranks[g]]
+        cells, found = _cells(_among(src, frame(list(large)), group), group, probs, ranks, counts, large, frame, ordered_rows)
+        held = frame(sorted({(*g, c) for g, _, c, *_ in found}, key=str), ("_cell", T.IntegerType()))
+        counted.append(_among(cells, held, [*group, "_cell"]).groupBy(*group, "_v", "_cell").agg(F.count(F.lit(1)).alias("_c")))
+        targets += [(*g, c, p, counts[g], a, b, f) for g, p, c, a, b, f in found]
 
-    wanted = frame(targets, ("_span", T.IntegerType()), ("p", T.DoubleType()), ("n", T.LongType()), ("_r1", T.LongType()),
+    wanted = frame(targets, ("_cell", T.IntegerType()), ("p", T.DoubleType()), ("n", T.LongType()), ("_r1", T.LongType()),
                    ("_r2", T.LongType()), ("_f", T.DoubleType()))
     if not counted:
         return wanted.select(*group, "p", F.lit(None).cast("double").alias("q"), "n")
     table = counted[0] if len(counted) == 1 else counted[0].unionByName(counted[1])
-    upto = W.partitionBy(*group, "_span").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*group, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = table.withColumn("_cum", F.sum("_c").over(upto))
 
     def covers(rank: str):
         return (F.col(rank) >= F.col("_cum") - F.col("_c")) & (F.col(rank) < F.col("_cum"))
 
-    hit = join_groups(ranked, wanted, [*group, "_span"]).where(F.col("_v").isNotNull() & (covers("_r1") | covers("_r2")))
+    hit = join_groups(ranked, wanted, [*group, "_cell"]).where(covers("_r1") | covers("_r2"))
     a, b = F.max(F.when(covers("_r1"), F.col("_v"))), F.max(F.when(covers("_r2"), F.col("_v")))
     return hit.groupBy(*group, "p", "n", "_f").agg((a + (b - a) * F.col("_f")).alias("q")).select(*group, "p", "q", "n")
 
@@ -89,48 +91,59 @@ def _among(src: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
     return join_groups(src, groups, group, "left_semi") if group else src
 
 
-def _brackets(many: DataFrame, group: list[str], probs: Sequence[float], ranks: dict, frame, ordered_rows: int, smallest: int):
-    """``{span: (group, low, high)}`` and ``{(group, p): span}`` with bounded distinct values per span."""
+def _cells(many: DataFrame, group: list[str], probs: Sequence[float], ranks: dict, counts: dict, large: set, frame, ordered_rows: int):
+    """Rows with their ``_cell``, and ``(group, p, cell, low rank, high rank, weight)`` with ranks from the cell's start.
+
+    A rank that lies in another cell is -1; each wanted cell is one value or has at most ``ordered_rows`` distinct ones.
+    """
     # the error of the sketch, and one rank on either side
-    margin = 3 / SKETCH_ACCURACY + 2 / smallest
+    margin = 3 / SKETCH_ACCURACY + 2 / min(counts[g] for g in large)
     asks = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     _, rows = pin_small(many.groupBy(*group).agg(F.percentile_approx("_v", asks, SKETCH_ACCURACY).alias("b")))
-    spans, of, ids, need = {}, {}, {}, {}
-    for r in rows:
-        g = tuple(r[c] for c in group)
-        for i, (p, a, b, _) in enumerate(ranks[g]):
-            bound = (g, r["b"][i], r["b"][len(probs) + i])
-            span = ids.setdefault(bound, len(ids) + 1)
-            spans[span], of[g, p] = bound, span
-            first, last = need.get(span, (a, b))
-            need[span] = (min(first, a), max(last, b))
-    check = set(spans)
-    while check:
-        stats = _inside(many, {s: spans[s] for s in check}, group, frame).groupBy("_span").agg(
-            F.count_if(F.col("_v").isNull()).alias("below"), F.count("_v").alias("held"),
-            F.approx_count_distinct("_v").alias("distinct"), F.percentile_approx("_v", GRID, SKETCH_ACCURACY).alias("grid")).collect()
-        check = set()
-        for r in stats:
-            g, low, high = spans[r["_span"]]
-            if low == high or 1.2 * r["distinct"] <= ordered_rows:
-                continue
-            first, last = (k - r["below"] for k in need[r["_span"]])
-            step = (len(GRID) - 1) / max(1, r["held"])
-            i, j = max(0, math.floor(first * step) - 1), min(len(GRID) - 1, math.ceil((last + 1) * step) + 1)
-            new = (g, r["grid"][i] if i > 0 else low, r["grid"][j] if j < len(GRID) - 1 else high)
-            if new != spans[r["_span"]]:
-                spans[r["_span"]] = new
-                check.add(r["_span"])
-    return spans, of
-
-
-def _inside(many: DataFrame, spans: dict, group: list[str], frame) -> DataFrame:
-    """Values inside each span; values under it are only counted, as one null value."""
-    bounds = frame([(*g, s, float(a), float(b)) for s, (g, a, b) in spans.items()],
-                   ("_span", T.IntegerType()), ("_low", T.DoubleType()), ("_high", T.DoubleType()))
-    cond = F.col("_v") <= F.col("_high")
-    joined = join_groups(many, bounds, group).where(cond) if group else many.join(bounds, cond)
-    return joined.select(*group, "_span", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v"))
+    bounds = {tuple(r[c] for c in group): set(r["b"]) for r in rows}
+    while True:
+        cells = _located(many, bounds, group, frame)
+        _, rows = pin_small(cells.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_v").alias("d")))
+        sizes: dict[tuple, dict[int, tuple[int, int]]] = {}
+        for r in rows:
+            sizes.setdefault(tuple(r[c] for c in group), {})[r["_cell"]] = (r["n"], r["d"])
+        found, wide = [], {}
+        for g, of in sizes.items():
+            order = sorted(of)
+            ends = list(accumulate(of[c][0] for c in order))
+            for p, a, b, f in ranks[g]:
+                at = [bisect_right(ends, rank) for rank in (a, b)]
+                low, high = (rank - (ends[i] - of[order[i]][0]) for rank, i in zip((a, b), at))
+                if at[0] == at[1]:
+                    found.append((g, p, order[at[0]], low, high, f))
+                else:
+                    found += [(g, p, order[at[0]], low, -1, f), (g, p, order[at[1]], -1, high, f)]
+                for i, rank in zip(at, (low, high)):
+                    n, d = of[order[i]]
+                    if order[i] % 2 == 0 and 1.2 * d > ordered_rows:
+                        wide.setdefault((*g, order[i]), set()).add(rank / n)
+        if not wide:
+            return cells, found
+        inside = _among(cells, frame(list(wide), ("_cell", T.IntegerType())), [*group, "_cell"])
+        _, rows = pin_small(inside.groupBy(*group, "_cell").agg(F.percentile_approx("_v", GRID, SKETCH_ACCURACY).alias("grid")))
+        for r in rows:
+            g, last = tuple(r[c] for c in group), len(GRID) - 1
+            for share in wide[(*g, r["_cell"])]:
+                bounds[g] |= {r["grid"][max(0, math.floor(share * last) - 1)], r["grid"][min(last, math.ceil(share * last) + 1)]}
+
+
+def _located(many: DataFrame, bounds: dict, group: list[str], frame) -> DataFrame:
+    """Each value's cell: even between two bounds, odd on one. A binary search, so every row stays one row."""
+    if group:
+        table = frame([(*g, sorted(b)) for g, b in bounds.items()], ("_bounds", T.ArrayType(T.DoubleType())))
+        many, edges = join_groups(many, table, group), F.col("_bounds")
+    else:
+        edges = F.lit(sorted(bounds[()]))
+    steps = [1 << i for i in reversed(range(max(map(len, bounds.values())).bit_length()))]
+    below = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= F.col("_v"), at + step).otherwise(at))
+    many = many.withColumn("_at", below)
+    cell = 2 * F.col("_at") - F.coalesce((F.get(edges, F.col("_at") - 1) == F.col("_v")).cast("int"), F.lit(0))
+    return many.select(*group, "_v", cell.cast("int").alias("_cell"))
 
 
 def quantile_columns(quantiles: DataFrame, group: Sequence[str], names: dict[float, str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from featurelens.operators import ordering as O
 from featurelens.operators.joins import align_distributions, attach_labels, salted_join
-from featurelens.operators.quantiles import exact_quantiles, quantile_columns
+from featurelens.operators.quantiles import _located, exact_quantiles, quantile_columns
 
 
 def values(spark, n=4000, parts=3):
@@ -35,6 +35,22 @@ def test_quantiles_narrow_until_bounded(spark):
     assert got == {0.25: np.quantile(v, 0.25), 0.5: np.quantile(v, 0.5)}
 
 
+def test_bounded_quantiles_keep_null_groups_and_single_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit("a")).alias("g"), (F.col("id") * 37 % 3000).cast("double").alias("v"))
+    out = exact_quantiles(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0], ordered_rows=30)
+    for g in (None, "a"):
+        v = np.array([r["v"] for r in df.where(F.col("g").eqNullSafe(F.lit(g))).collect()])
+        assert {r["p"]: r["q"] for r in out.where(F.col("g").eqNullSafe(F.lit(g))).collect()} == pytest.approx({p: np.quantile(v, p) for p in (0.0, 0.3, 0.5, 1.0)})
+    cells = _located(df.withColumnRenamed("v", "_v"), {(None,): {10.0, 20.0}, ("a",): {10.0, 15.0, 20.0}}, ["g"], lambda rows, c: spark.createDataFrame(rows, f"g string, {c[0]} array<double>"))
+    got = {(r["g"], r["_v"]): r["_cell"] for r in cells.collect()}
+    assert len(got) == 3000
+    for (g, v), cell in got.items():
+        edges = [10.0, 20.0] if g is None else [10.0, 15.0, 20.0]
+        assert cell == 2 * sum(e <= v for e in edges) - (v in edges)
+    plan = exact_quantiles(df, [], "v", [0.5], ordered_rows=30)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_quantiles_without_rows(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert exact_quantiles(df, ["g"], "v", [0.5]).count() == 0
