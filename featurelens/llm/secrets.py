@@ -80,7 +80,14 @@ def corpus_model(docs: DataFrame, text_col: str = "text", words: int = DICTIONAR
     for row in totals.where(is_pair).collect():
         pairs[int(bytes(row["key"])[1:])] += row["n"]
     pairs = pairs.reshape(side, side)
-    top = totals.where(~is_pair).orderBy(F.desc("n"), "key").limit(words).collect()
+    # classes of counts, 16 for each doubling, tell which counts can be among the highest; only those are ordered
+    counted = totals.where(~is_pair).withColumn("level", F.floor(16 * F.log2("n")).cast("int"))
+    least, held = 0, 0
+    for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        least, held = row["level"], held + row["count"]
+        if held >= words:
+            break
+    top = counted.where(F.col("level") >= least).orderBy(F.desc("n"), "key").limit(words).collect()
     return CorpusModel(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(bytes(r["key"]) for r in top))
 
 
