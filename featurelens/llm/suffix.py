@@ -15,6 +15,8 @@ from featurelens.llm.text import checkpointed, pack, pieces, row_key
 LEAST = 50              # words of a passage
 PREFIX = 16             # words by which retained suffixes are compared first
 CHUNK = 1 << 20
+HOT = 1000              # documents from which on the runs at a suffix are salted
+SALTS = 32              # tasks over which they are dealt; at most 32, a bit of an int each
 _even, _odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -82,15 +84,18 @@ def _retained(least: int, prefix: int):
 def _extended(least: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tid, text, kept in zip(*batch.columns):
+            for tid, text, kept, hot in zip(*batch.columns):
                 wanted = np.sort(kept.values.to_numpy().view(np.uint64))
+                common = np.isin(wanted, hot.values.to_numpy().view(np.uint64))
+                salt = (tid.as_py() + (tid.as_py() >> 33)) % SALTS
                 for at, words in _chunks(word_hashes(text.as_py() or b""), least):
                     here = minimisers(words, least, prefix)
                     slot = np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)
                     where = np.nonzero(wanted[slot] == here)[0]
                     w1, w2 = (_spans(words, least, f)[where].view(np.int64) for f in (_even, _odd))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(w1), pa.array(w2), pa.array(np.full(len(where), tid.as_py())), pa.array((where + at).astype(np.int32))], ["w1", "w2", "tid", "at"])
+                        [pa.array(w1), pa.array(w2), pa.array(np.full(len(where), tid.as_py())), pa.array((where + at).astype(np.int32)),
+                         pa.array(np.where(common[slot[where]], salt, 0).astype(np.int32))], ["w1", "w2", "tid", "at", "salt"])
     return run
 
 
@@ -115,7 +120,7 @@ def _length(spans: Column) -> Column:
     return F.coalesce(F.aggregate(spans, F.lit(0).cast("bigint"), lambda s, x: x - s), F.lit(0).cast("bigint"))
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``doc_id, n_words, spans, later, n_repeated, n_later`` and the row's key ``_k1, _k2`` for every row of ``docs``.
 
     ``spans`` are the word spans of passages of at least ``least`` words (runs between white space, compared as they are)
@@ -129,6 +134,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX,
     dropped (a filter only, by 64-bit hashes). Each neighbour is extended left and right over all runs of ``least`` words that retain it, and runs
     found in two texts mark their words. Comparing with the adjacent suffix only would lose matches in groups of edited copies,
     where the best partner to the right is another than the one to the left; so all runs are compared, by 128-bit hashes.
+    Runs at a suffix of more than ``hot`` documents are dealt over ``SALTS`` tasks by text; which of these hold a run is kept as
+    bits, so its first place is copied to no more tasks than the run has places.
     """
     doc_id, text = F.col(f"_row.{id_col}"), F.col(f"_row.{text_col}")
     digest = [F.xxhash64(text).alias("d1"), F.xxhash64(F.lit("text"), text, F.length(text)).alias("d2")]
@@ -140,12 +147,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX,
     # a number for each text, in the order of texts
     texts = checkpointed(texts.orderBy("first", "d1", "d2").withColumn("tid", F.monotonically_increasing_id()))
     suffixes = rows.where(F.col("text").isNotNull()).select("d1", "text").mapInArrow(_retained(least, prefix), "h long, d1 long")
-    shared = suffixes.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("h")
-    kept = suffixes.join(shared, "h").groupBy("d1").agg(F.collect_set("h").alias("kept"))
+    shared = suffixes.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", (F.col("n") > hot).alias("hot"))
+    kept = suffixes.join(shared, "h").groupBy("d1").agg(F.collect_set("h").alias("kept"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     ours = checkpointed(texts.select("tid", "d1", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2")).join(kept, "d1").drop("d1"))
-    runs = rows.select("_k1", "_k2", "text").join(ours, ["_k1", "_k2"]).select("tid", "text", "kept").mapInArrow(_extended(least, prefix), "w1 long, w2 long, tid long, at int")
-    twice = runs.groupBy("w1", "w2").agg(F.min("tid").alias("lead"), F.max("tid").alias("tail")).where("lead <> tail").select("w1", "w2", "lead")
-    marked = runs.join(twice, ["w1", "w2"]).groupBy("tid").agg(F.collect_set("at").alias("starts"), F.collect_set(F.when(F.col("lead") != F.col("tid"), F.col("at"))).alias("later"))
+    runs = rows.select("_k1", "_k2", "text").join(ours, ["_k1", "_k2"]).select("tid", "text", "kept", "hot").mapInArrow(_extended(least, prefix), "w1 long, w2 long, tid long, at int, salt int")
+    twice = runs.groupBy("w1", "w2").agg(F.min("tid").alias("lead"), F.max("tid").alias("tail"), F.bit_or(F.expr("shiftleft(1, salt)")).alias("salts")).where("lead <> tail")
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
+    marked = runs.join(twice.select("w1", "w2", "lead", F.explode(salts).alias("salt")), ["w1", "w2", "salt"]).groupBy("tid").agg(F.collect_set("at").alias("starts"), F.collect_set(F.when(F.col("lead") != F.col("tid"), F.col("at"))).alias("later"))
     marked = marked.select("tid", _merged(F.col("starts"), least).alias("spans"), _merged(F.col("later"), least).alias("later"))
     of_text = checkpointed(texts.join(marked, "tid", "left"))
     # every document with that text: a copy of another document is repeated, and if not the first, later, as a whole

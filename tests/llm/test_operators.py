@@ -324,8 +324,8 @@ def repeats_by_hand(docs, least):
     return out
 
 
-@pytest.mark.parametrize("least,prefix", [(12, 4), (50, 16), (5, 1)])
-def test_passages_equal_hand(spark, least, prefix):
+@pytest.mark.parametrize("least,prefix,hot", [(12, 4, 1000), (50, 16, 1000), (5, 1, 1000), (12, 4, 2), (50, 16, 0)])
+def test_passages_equal_hand(spark, least, prefix, hot):
     rng = random.Random(least)
     passages = [prose(rng, n) for n in (least - 1, least, least + 1, 3 * least, 200)]
     docs = [(i, prose(rng, rng.randint(0, 60)) + " " + rng.choice(passages) + " " + prose(rng, rng.randint(0, 40))) for i in range(25)]
@@ -336,7 +336,7 @@ def test_passages_equal_hand(spark, least, prefix):
             w[rng.randrange(len(w))] = prose(rng, 1)
         docs.append((i, " ".join(w)))
     docs += [(50, docs[2][1]), (51, docs[2][1]), (52, None), (53, ""), (54, "one two " * least)]
-    got = suffix.repeated_passages(table(spark, docs), least, prefix).collect()
+    got = suffix.repeated_passages(table(spark, docs), least, prefix, hot=hot).collect()
     want = repeats_by_hand(docs, least)
     for r in got:
         spans = set().union(*[range(r["spans"][i], r["spans"][i + 1]) for i in range(0, len(r["spans"]), 2)]) if r["spans"] else set()
