@@ -13,7 +13,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from featurelens.functions.expressions import field_type
-from featurelens.operators.shared import pin_small
+from featurelens.operators.shared import join_groups, pin_small
+
+CENTRES = 256       # centres in a chunk; a task compares two chunks
 
 
 def feature_array(df: DataFrame, features: str) -> Column:
@@ -44,9 +46,26 @@ def inertia(df: DataFrame, features: str = "features", cluster: str = "predictio
     return centres(df, features, cluster, by).groupBy(*by).agg(F.sum("within").alias("inertia"))
 
 
-def _gathered(table: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
-    """The k centre rows of a group as one array, in cluster order."""
-    return table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster", *columns))).alias("_c"))
+def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with group columns: a constant one if there are none."""
+    return (df, list(by)) if by else (df.withColumn("_k", F.lit(1)), ["_k"])
+
+
+def _centre_pairs(table: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
+    """Chunks of centres side by side: every two centres of a group meet in the array ``_c`` of one row.
+
+    ``_other(a, b)`` tells for each row which of them are to be compared there.
+    """
+    table, keys = _keyed(table, by)
+    sizes = table.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CENTRES).cast("int").alias("_n"))
+    dealt = join_groups(table, sizes, keys).withColumn("_p", F.pmod(F.xxhash64("cluster"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return dealt.groupBy(*keys, F.least("_p", "_q").alias("_low"), F.greatest("_p", "_q").alias("_high")).agg(
+        F.array_sort(F.collect_list(F.struct("cluster", "_p", *columns))).alias("_c"))
+
+
+def _other(a: Column, b: Column) -> Column:
+    return (a["cluster"] != b["cluster"]) & ((a["_p"] != b["_p"]) | (F.col("_low") == F.col("_high")))
 
 
 def calinski_harabasz(df: DataFrame, features: str = "features", cluster: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -84,13 +103,14 @@ def centre_distances(df: DataFrame, features: str = "features", cluster: str = "
 
 
 def _centre_distances(table: DataFrame, by: Sequence[str]) -> DataFrame:
-    got = _gathered(table, by, "centre")
     pairs = F.flatten(F.transform("_c", lambda a, i: F.transform(
-        F.slice("_c", i + 2, F.size("_c")), lambda b: F.sqrt(_sq(a["centre"], b["centre"])))))
-    out = got.select(*by, pairs.alias("_d"))
-    return out.select(
-        *by, F.array_min("_d").alias("min_inter_cluster_distance"), F.array_max("_d").alias("max_inter_cluster_distance"),
-        (F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_d"), F.lit(0))).alias("mean_inter_cluster_distance"))
+        F.filter(F.slice("_c", i + 2, F.size("_c")), lambda b: _other(a, b)), lambda b: F.sqrt(_sq(a["centre"], b["centre"])))))
+    out = _centre_pairs(table, by, "centre").select(*by, pairs.alias("_d"))
+    out = out.select(*by, F.array_min("_d").alias("_low"), F.array_max("_d").alias("_high"), F.size("_d").alias("_m"),
+                     F.aggregate("_d", F.lit(0.0), lambda a, x: a + x).alias("_sum"))
+    return out.groupBy(*by).agg(
+        F.min("_low").alias("min_inter_cluster_distance"), F.max("_high").alias("max_inter_cluster_distance"),
+        (F.sum("_sum") / F.nullif(F.sum("_m"), F.lit(0))).alias("mean_inter_cluster_distance"))
 
 
 def point_geometry(df: DataFrame, features: str = "features", cluster: str = "prediction", by: Sequence[str] = (),
@@ -103,11 +123,11 @@ def point_geometry(df: DataFrame, features: str = "features", cluster: str = "pr
     """
     by = list(by)
     table = centres(df, features, cluster, by) if table is None else table
-    _, rows = pin_small(table)
+    name = F.concat_ws("\x1f", F.lit(""), *[F.coalesce(F.concat(F.lit("v"), F.col(b).cast("string")), F.lit("null")) for b in by])
+    _, rows = pin_small(table.select(name.alias("_name"), "cluster", "size", "centre", "within").orderBy("cluster"))
     packs: dict[str, tuple] = {}
     for r in rows:
-        name = "\x1f".join(str(r[b]) for b in by)
-        packs.setdefault(name, []).append((r["cluster"], r["size"], r["centre"], r["within"]))
+        packs.setdefault(r["_name"], []).append((r["cluster"], r["size"], r["centre"], r["within"]))
     packed = {name: (np.array([c[0] for c in cs]), np.array([c[1] for c in cs], dtype=float),
                      np.array([c[2] for c in cs], dtype=float), np.array([c[3] for c in cs], dtype=float)) for name, cs in packs.items()}
 
@@ -138,7 +158,6 @@ def point_geometry(df: DataFrame, features: str = "features", cluster: str = "pr
             sil[pos] = np.where(size > 1, value, 0.0)
         return pd.DataFrame({"distance": dist, "silhouette": sil})
 
-    name = F.concat_ws("\x1f", *[F.col(b).cast("string") for b in by]) if by else F.lit("")
     out = df.select(*by, *keep, F.col(cluster).alias("cluster"), geometry(name, F.col(cluster), feature_array(df, features)).alias("_g"))
     return out.select(*by, *keep, "cluster", F.col("_g.distance").alias("distance"),
                       F.nanvl("_g.silhouette", F.lit(None).cast("double")).alias("silhouette"))
@@ -175,12 +194,17 @@ def davies_bouldin(df: DataFrame, features: str = "features", cluster: str = "pr
 
 def _davies(table: DataFrame, geometry: DataFrame, by: Sequence[str]) -> DataFrame:
     spread = geometry.groupBy(*by, "cluster").agg(F.avg("distance").alias("s"))
-    got = _gathered(table.join(spread, [*by, "cluster"]), by, "centre", "s")
-    worst = F.transform("_c", lambda a: F.array_max(F.transform(
-        F.filter("_c", lambda b: b["cluster"] != a["cluster"]),
-        lambda b: F.try_divide(a["s"] + b["s"], F.sqrt(_sq(a["centre"], b["centre"]))))))
-    total = F.aggregate(worst, F.lit(0.0), lambda acc, x: acc + x)
-    return got.select(*by, F.when(F.size("_c") > 1, total / F.size("_c")).alias("davies_bouldin"))
+    return _davies_of(join_groups(table, spread, [*by, "cluster"]), by)
+
+
+def _davies_of(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """From centres with their mean distance ``s``; null if two centres are equal and have no other."""
+    worst = F.transform("_c", lambda a: F.struct(a["cluster"].alias("cluster"), F.array_max(F.transform(
+        F.filter("_c", lambda b: _other(a, b)),
+        lambda b: F.try_divide(a["s"] + b["s"], F.sqrt(_sq(a["centre"], b["centre"]))))).alias("worst")))
+    each = _centre_pairs(table, by, "centre", "s").select(*by, F.explode(worst).alias("_w")).groupBy(*by, "_w.cluster").agg(F.max("_w.worst").alias("worst"))
+    whole = (F.count(F.lit(1)) > 1) & (F.count("worst") == F.count(F.lit(1)))
+    return each.groupBy(*by).agg(F.when(whole, F.avg("worst")).alias("davies_bouldin"))
 
 
 def evaluate_clusters(df: DataFrame, features: str = "features", cluster: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -199,24 +223,15 @@ def _evaluate(df: DataFrame, features: str, cluster: str, by: list[str]) -> Data
     per = geometry.groupBy(*by, "cluster").agg(
         F.avg("distance").alias("s"), F.sum("silhouette").alias("_sil"), F.count("silhouette").alias("_m"))
     per, _ = pin_small(per)
-    k = by or ["_k"]
-
-    def keyed(d: DataFrame) -> DataFrame:
-        return d if by else d.withColumn("_k", F.lit(1))
-
     base = table.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_clusters"), F.sum("size").alias("sample_count"), F.sum("within").alias("inertia"),
         F.min("size").alias("min_cluster_size"), F.max("size").alias("max_cluster_size"), F.avg("size").alias("mean_cluster_size"),
         F.stddev_pop("size").alias("cluster_size_std"), (F.stddev_pop("size") / F.avg("size")).alias("cluster_balance"))
     sil = per.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("_sil"), F.sum("_m")), F.lit(-1.0)).alias("silhouette"))
-    got = _gathered(table.join(per, [*by, "cluster"]), by, "centre", "s")
-    worst = F.transform("_c", lambda a: F.array_max(F.transform(
-        F.filter("_c", lambda b: b["cluster"] != a["cluster"]),
-        lambda b: F.try_divide(a["s"] + b["s"], F.sqrt(_sq(a["centre"], b["centre"]))))))
-    db = got.select(*by, F.when(F.size("_c") > 1, F.aggregate(worst, F.lit(0.0), lambda acc, x: acc + x) / F.size("_c")).alias("davies_bouldin"))
-    out = keyed(base)
+    db = _davies_of(join_groups(table, per, [*by, "cluster"]), by)
+    out, keys = _keyed(base, by)
     for part in (sil, _calinski(table, by), db, _centre_distances(table, by)):
-        out = out.join(keyed(part), k)
+        out = join_groups(out, _keyed(part, by)[0], keys)
     return out if by else out.drop("_k")
 
 

@@ -96,6 +96,29 @@ def test_cluster_table_and_single_cluster(blobs):
     assert one["silhouette"] == -1.0 and one["davies_bouldin"] is None and one["calinski_harabasz"] is None
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 256])
+def test_centre_comparisons_in_chunks_equal_numpy(spark, monkeypatch, chunk):
+    monkeypatch.setattr(CM, "CENTRES", chunk)
+    rng = np.random.default_rng(8)
+    rows = [(g, c, [float(v) for v in rng.normal(5 * c, 1, 2)]) for g, k in (("a", 7), (None, 3), ("one", 1)) for c in range(k) for _ in range(12)]
+    df = spark.createDataFrame(rows, "dataset string, prediction int, features array<double>")
+    got = {r["dataset"]: r for r in CM.evaluate_clusters(df, by=["dataset"]).collect()}
+    apart = {r["dataset"]: r for r in CM.centre_distances(df, by=["dataset"]).collect()}
+    davies = {r["dataset"]: r["davies_bouldin"] for r in CM.davies_bouldin(df, by=["dataset"]).collect()}
+    assert set(got) == set(apart) == set(davies) == {"a", None, "one"}
+    for g, k in (("a", 7), (None, 3)):
+        own = [np.array([x for h, c, x in rows if h == g and c == i]) for i in range(k)]
+        centre = np.array([x.mean(axis=0) for x in own])
+        s = np.array([np.linalg.norm(x - m, axis=1).mean() for x, m in zip(own, centre)])
+        d = np.linalg.norm(centre[:, None] - centre[None], axis=2)
+        pairs = d[np.triu_indices(k, 1)]
+        worst = [max((s[i] + s[j]) / d[i, j] for j in range(k) if j != i) for i in range(k)]
+        for found in (got[g], apart[g]):
+            assert [found[f"{n}_inter_cluster_distance"] for n in ("min", "max", "mean")] == pytest.approx([pairs.min(), pairs.max(), pairs.mean()])
+        assert got[g]["davies_bouldin"] == pytest.approx(np.mean(worst)) and davies[g] == pytest.approx(np.mean(worst))
+    assert got["one"]["davies_bouldin"] is None and davies["one"] is None and got["one"]["mean_inter_cluster_distance"] is None
+
+
 def test_pca_equals_numpy(blobs):
     out, shares = CM.project_2d(blobs, keep=["id"])
     x = np.array([r["features"] for r in blobs.orderBy("id").collect()])
