@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from featurelens.llm.text import pack, row_key
 
 LINES = 3
+SALTS = 16          # tasks over which the places of a window are dealt; at most 32, a bit of an int each
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,14 +41,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are one document and get the same result. Other columns are carried along whatever their names.
 
     The first places come from a grouped minimum, combined before the shuffle; only windows with a second place are
-    joined back. The rows of that join are a few numbers each, streamed past one first place, whatever a window's count.
+    joined back. The places of a window are dealt over ``SALTS`` tasks by document; which of these hold some is kept as bits,
+    so the first place is copied to no more tasks than the window has places, and no window brings all of them to one task.
     """
     rows = _named(docs, id_col, text_col)
-    windows = _windows(rows)
+    windows = _windows(rows).withColumn("_salt", F.pmod("_k1", F.lit(SALTS)).cast("int"))
     place = F.struct("_id", "_k1", "_k2", "_at")
-    repeated = windows.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where(
-        ~F.col("_first").eqNullSafe(F.col("_last"))).select("_h1", "_h2", "_first")
-    later = windows.join(repeated, ["_h1", "_h2"]).where(~place.eqNullSafe(F.col("_first")))
+    repeated = windows.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.bit_or(F.expr("shiftleft(1, _salt)")).alias("_salts")).where(
+        ~F.col("_first").eqNullSafe(F.col("_last")))
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("_salts", i) == 1)
+    later = windows.join(repeated.select("_h1", "_h2", "_first", F.explode(salts).alias("_salt")), ["_h1", "_h2", "_salt"]).where(~place.eqNullSafe(F.col("_first")))
     gone = later.groupBy("_k1", "_k2").agg(F.collect_set("_at").alias("_starts")).select(
         "_k1", "_k2", F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.array(*[i + k for k in range(LINES)])))).alias("_gone"))
     joined = rows.join(gone, ["_k1", "_k2"], "left").withColumn("_lines", F.split("_text", "\n"))
