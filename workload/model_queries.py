@@ -1,7 +1,8 @@
 """FS1-FS8, M1-M14, H1-H8, E25, X1, G1-G5, L1-L3: training, search, explanation and scoring.
 
-Trained results have no SQL counterpart; these queries return facts that SQL finds from the tables: rows scored,
-class counts, part and fold sizes, the feature that carries the target, and bounds that a trained model must keep.
+Trained results have no SQL counterpart. A query ``<name>_result`` returns the operator's own rows (predictions, metrics,
+trials, rankings); the query ``<name>`` beside it returns facts that SQL finds from the tables: rows scored, class counts, part
+and fold sizes, the feature that carries the target, and bounds that a trained model must keep.
 """
 
 from __future__ import annotations
@@ -53,21 +54,28 @@ def emb(spark, sf):
     return X.table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), "label")
 
 
+def _classified(spark, sf, name, params):
+    _, df = prepared(class_frame(spark, sf))
+    return M.with_score(M.classifier(name, len(RAW), **params).fit(df).transform(df))
+
+
 def _classifier(name: str, **params):
     def run(spark, sf):
-        pre, df = prepared(class_frame(spark, sf))
-        pred = M.classifier(name, len(RAW), **params).fit(df).transform(df)
-        scored = M.with_score(pred)
+        scored = _classified(spark, sf, name, params)
         ranks = BM.auc(scored).first()["auc"]
         return scored.agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positives"), F.count_if(F.col("score").between(0, 1)).alias("in_range"),
                           F.lit(ranks > 0.5).alias("beats_chance"))
-    return run
+
+    def result(spark, sf):
+        return rounded(_classified(spark, sf, name, params).select("key", "label", "prediction", "score"))
+    return run, result
 
 
 for _id, _name, _params in (("m1", "logistic", {}), ("m2", "random_forest", {}), ("m3", "gradient_boosting", {"maxIter": 10}),
                             ("m4", "decision_tree", {}), ("m5", "neural_network", {"maxIter": 20})):
-    query(f"{_id}_{_name}", sql("SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, count(*) AS in_range, count(DISTINCT label) = 2 AS beats_chance FROM c", "labelled", c=LABEL_SQL))(
-        _classifier(_name, **_params))
+    _run, _result = _classifier(_name, **_params)
+    query(f"{_id}_{_name}", sql("SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, count(*) AS in_range, count(DISTINCT label) = 2 AS beats_chance FROM c", "labelled", c=LABEL_SQL))(_run)
+    query(f"{_id}_{_name}_result")(_result)
 
 
 # least squares on one feature
@@ -80,21 +88,28 @@ def m6(spark, sf):
     return rounded(line, 4)
 
 
+def _regressed(spark, sf, name, params):
+    df = reg_frame(spark, sf)
+    return M.regressor(name, **params).fit(df).transform(df)
+
+
 def _regressor(name: str, **params):
     def run(spark, sf):
-        df = reg_frame(spark, sf)
-        pred = M.regressor(name, **params).fit(df).transform(df)
+        pred = _regressed(spark, sf, name, params)
         error, spread = F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))), F.stddev_pop("label")
-        # factorization machines end far from the mean in so few steps: for them only that all predictions are finite
-        better = F.lit(True) if name == "fm_regression" else error <= spread
-        return rounded(pred.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("prediction") < float("inf")).alias("finite"), F.avg("label").alias("mean"), better.alias("beats_mean")), 2)
-    return run
+        return rounded(pred.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("prediction") < float("inf")).alias("finite"), F.avg("label").alias("mean"), (error <= spread).alias("beats_mean")), 2)
+
+    def result(spark, sf):
+        return rounded(_regressed(spark, sf, name, params).select("key", "label", "prediction"), 2)
+    return run, result
 
 
 for _id, _name, _params in (("m7", "random_forest", {"numTrees": 10}), ("m8", "gradient_boosting", {"maxIter": 10}),
                             ("m9", "decision_tree", {}), ("m10", "fm_regression", {"maxIter": 20})):
-    query(f"{_id}_{_name}_regressor" if "regression" not in _name else f"{_id}_{_name}",
-          f"SELECT count(*) AS n, count(*) AS finite, {r('avg(l_extendedprice)', 2)} AS mean, stddev_pop(l_extendedprice) > 0 AS beats_mean FROM lineitem")(_regressor(_name, **_params))
+    _run, _result = _regressor(_name, **_params)
+    _full = f"{_id}_{_name}_regressor" if "regression" not in _name else f"{_id}_{_name}"
+    query(_full, f"SELECT count(*) AS n, count(*) AS finite, {r('avg(l_extendedprice)', 2)} AS mean, stddev_pop(l_extendedprice) > 0 AS beats_mean FROM lineitem")(_run)
+    query(f"{_full}_result")(_result)
 
 
 def _clusterer(name: str, **params):
@@ -110,21 +125,36 @@ def _clusterer(name: str, **params):
         # k-means rows belong to the nearest centre; a bisected tree only has to be tighter than one cluster
         nearest = F.count_if(own <= F.least(*gaps) + 1e-9) if name == "kmeans" else F.count_if(own >= 0)
         return pred.agg(F.count(F.lit(1)).alias("n"), nearest.alias("at_centre"), (F.sum(own) < F.sum(spread)).alias("tighter"))
-    return run
+
+    def result(spark, sf):
+        df = emb(spark, sf)
+        return M.clusterer(name, 4, **params).fit(df).transform(df).select("vec_id", "prediction")
+    return run, result
 
 
 for _id, _name in (("m11", "kmeans"), ("m12", "bisecting_kmeans")):
-    query(f"{_id}_{_name}", "SELECT count(*) AS n, count(*) AS at_centre, count(DISTINCT embedding) > 1 AS tighter FROM embeddings")(_clusterer(_name, maxIter=10))
+    _run, _result = _clusterer(_name, maxIter=10)
+    query(f"{_id}_{_name}", "SELECT count(*) AS n, count(*) AS at_centre, count(DISTINCT embedding) > 1 AS tighter FROM embeddings")(_run)
+    query(f"{_id}_{_name}_result")(_result)
+
+
+def _mixture(spark, sf):
+    df = T.fit_scaler(X.labelled(spark, sf), ["price", "balance"]).transform(X.labelled(spark, sf))
+    return M.clusterer("gaussian_mixture", 3, maxIter=10).fit(df).transform(df)
 
 
 @query("m13_gaussian_mixture", sql("SELECT count(*) AS n, count(*) AS sums_to_one, count(DISTINCT price) > 3 AS in_range FROM labelled", "labelled"))
 def m13(spark, sf):
-    df = T.fit_scaler(X.labelled(spark, sf), ["price", "balance"]).transform(X.labelled(spark, sf))
-    pred = M.clusterer("gaussian_mixture", 3, maxIter=10).fit(df).transform(df)
+    pred = _mixture(spark, sf)
     total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda s, v: s + v)
     return pred.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) < 1e-6).alias("sums_to_one"), F.min(F.col("prediction").between(0, 2)).alias("in_range"))
 
 
+@query("m13_gaussian_mixture_result")
+def m13_result(spark, sf):
+    return _mixture(spark, sf).select("key", "prediction", F.transform(vector_to_array("probability"), lambda v: F.round(v, 6)).alias("probability"))
+
+
 EPS, MIN_PTS = 1.2, 5
 DB_POINTS = "SELECT c_custkey AS key, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer"
 DB_SQL = {
@@ -173,11 +203,21 @@ def fs1(spark, sf):
     return _ranking(FS.threshold_selection(select_frame(spark, sf), FEATURES, "label"))
 
 
+@query("fs1_threshold_selection_result")
+def fs1_result(spark, sf):
+    return rounded(FS.threshold_selection(select_frame(spark, sf), FEATURES, "label"))
+
+
 @query("fs2_forest_importance", RANKING_SQL)
 def fs2(spark, sf):
     return _ranking(FS.forest_importance(select_frame(spark, sf), FEATURES, "label", maxDepth=5))
 
 
+@query("fs2_forest_importance_result")
+def fs2_result(spark, sf):
+    return rounded(FS.forest_importance(select_frame(spark, sf), FEATURES, "label", maxDepth=5))
+
+
 def _kept(spark, names):
     return spark.createDataFrame([(min(names, key=lambda n: n != "price"), len(names), set(names) <= set(FEATURES))], "feature string, kept bigint, among boolean")
 
@@ -188,11 +228,29 @@ def fs3(spark, sf):
     return _kept(spark, names)
 
 
-@query("fs6_importance_names", RANKING_SQL)
-def fs6(spark, sf):
+def _names(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+@query("fs3_chunked_selection_result")
+def fs3_result(spark, sf):
+    return _names(spark, FS.chunked_selection(select_frame(spark, sf), FEATURES, "label", 2, chunk=3, per_chunk=1))
+
+
+def _tree_importance(spark, sf):
     df = T.assemble(select_frame(spark, sf), FEATURES)
     model = M.classifier("decision_tree").fit(df)
-    return _ranking(FS.importance_table(spark, FEATURES, model.featureImportances))
+    return FS.importance_table(spark, FEATURES, model.featureImportances)
+
+
+@query("fs6_importance_names", RANKING_SQL)
+def fs6(spark, sf):
+    return _ranking(_tree_importance(spark, sf))
+
+
+@query("fs6_importance_names_result")
+def fs6_result(spark, sf):
+    return rounded(_tree_importance(spark, sf))
 
 
 @query("fs7_select_features", sql(f"SELECT {BEST_SQL} AS feature, CAST(3 AS BIGINT) AS kept, count(*) > 0 AS among FROM sel", "labelled", sel=SELECT_SQL))
@@ -200,11 +258,25 @@ def fs7(spark, sf):
     return _kept(spark, FS.select_features(select_frame(spark, sf), FEATURES, "label", most=3))
 
 
-@query("fs8_importance_sink", RANKING_SQL)
-def fs8(spark, sf):
+@query("fs7_select_features_result")
+def fs7_result(spark, sf):
+    return _names(spark, FS.select_features(select_frame(spark, sf), FEATURES, "label", most=3))
+
+
+def _stored_importance(spark, sf):
     path = fresh_path(spark, "importance")
     FS.forest_importance(select_frame(spark, sf), FEATURES, "label", maxDepth=5).limit(30).write.mode("overwrite").parquet(path)
-    return _ranking(read_parquet(spark, path))
+    return read_parquet(spark, path)
+
+
+@query("fs8_importance_sink", RANKING_SQL)
+def fs8(spark, sf):
+    return _ranking(_stored_importance(spark, sf))
+
+
+@query("fs8_importance_sink_result")
+def fs8_result(spark, sf):
+    return rounded(_stored_importance(spark, sf))
 
 
 @query("t2_top_features", sql(f"SELECT {BEST_SQL} AS feature, CAST(2 AS BIGINT) AS kept, count(*) > 0 AS among FROM sel", "labelled", sel=SELECT_SQL))
@@ -212,16 +284,29 @@ def t2(spark, sf):
     return _kept(spark, FS.top_features(FS.forest_importance(select_frame(spark, sf), FEATURES, "label", maxDepth=4), 2))
 
 
+@query("t2_top_features_result")
+def t2_result(spark, sf):
+    return _names(spark, FS.top_features(FS.forest_importance(select_frame(spark, sf), FEATURES, "label", maxDepth=4), 2))
+
+
 def _parts(spark, sf):
     _, df = prepared(class_frame(spark, sf))
     tagged = L.with_split(df, "key", {"train": 0.7, "valid": 0.3})
     return tagged.where("dataset = 'train'").cache(), tagged.where("dataset = 'valid'").cache()
 
 
-def _trials(table, train, valid):
-    """Trials, distinct settings and scores in range, and the rows of both parts."""
+def _fitted_rows(model) -> int:
+    """Rows that a fit has seen: of a tree those counted at its root, of a regression those of its summary."""
+    if hasattr(model, "summary"):
+        return model.summary.predictions.count()
+    return model._java_obj.rootNode().impurityStats().rawCount()
+
+
+def _trials(found, valid):
+    """Trials, distinct settings and scores in range, rows in the fit of the best model, and rows that it scores."""
+    _, model, table = found
     return table.agg(F.count(F.lit(1)).alias("trials"), F.countDistinct("params").alias("settings"), F.count_if(F.col("score").between(0, 1)).alias("in_range")).select(
-        "*", F.lit(train.count()).alias("train_rows"), F.lit(valid.count()).alias("valid_rows"))
+        "*", F.lit(_fitted_rows(model)).cast("bigint").alias("train_rows"), F.lit(model.transform(valid).where("prediction IS NOT NULL").count()).alias("valid_rows"))
 
 
 def _trials_sql(trials: int, settings: int) -> str:
@@ -229,22 +314,27 @@ def _trials_sql(trials: int, settings: int) -> str:
                f"count(*) FILTER (WHERE u >= CAST('0.7' AS DOUBLE)) AS valid_rows FROM (SELECT {u_sql('key')} AS u FROM labelled)", "labelled")
 
 
-@query("h1_grid_search", _trials_sql(4, 4))
-def h1(spark, sf):
-    train, valid = _parts(spark, sf)
-    return _trials(H.grid_search(train, valid, "classification", "decision_tree", {"maxDepth": [3, 5], "minInstancesPerNode": [1, 2]})[2], train, valid)
+SEARCHES = {
+    "h1_grid_search": (4, lambda train, valid: H.grid_search(train, valid, "classification", "decision_tree", {"maxDepth": [3, 5], "minInstancesPerNode": [1, 2]})),
+    "h2_random_search": (4, lambda train, valid: H.random_search(train, valid, "classification", "logistic", 4, {"maxIter": [10], "regParam": [0.01, 0.1, 0.5, 1.0], "elasticNetParam": [0.0, 0.5]})),
+    "h3_successive_halving": (7, lambda train, valid: H.halving_search(train, valid, "key", "classification", "decision_tree", 4)),
+}
 
 
-@query("h2_random_search", _trials_sql(4, 4))
-def h2(spark, sf):
-    train, valid = _parts(spark, sf)
-    return _trials(H.random_search(train, valid, "classification", "logistic", 4, {"maxIter": [10], "regParam": [0.01, 0.1, 0.5, 1.0], "elasticNetParam": [0.0, 0.5]})[2], train, valid)
+def _search(find):
+    def run(spark, sf):
+        train, valid = _parts(spark, sf)
+        return _trials(find(train, valid), valid)
 
+    def result(spark, sf):
+        return rounded(find(*_parts(spark, sf))[2])
+    return run, result
 
-@query("h3_successive_halving", _trials_sql(7, 4))
-def h3(spark, sf):
-    train, valid = _parts(spark, sf)
-    return _trials(H.halving_search(train, valid, "key", "classification", "decision_tree", 4)[2], train, valid)
+
+for _name, (_n, _find) in SEARCHES.items():
+    _run, _result = _search(_find)
+    query(_name, _trials_sql(_n, 4))(_run)
+    query(f"{_name}_result")(_result)
 
 
 @query("h5_cross_validation", sql(f"SELECT CAST(floor({u_sql('key', seed=42)} * 3) AS INT) AS fold, count(*) AS n, count(*) > 0 AS in_range FROM labelled GROUP BY 1", "labelled"))
@@ -255,6 +345,13 @@ def h5(spark, sf):
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.lit(0.5 < mean <= 1 and 0 <= std < 0.5).alias("in_range"))
 
 
+@query("h5_cross_validation_result")
+def h5_result(spark, sf):
+    _, df = prepared(class_frame(spark, sf))
+    _, mean, std = H.cross_validate(L.with_folds(df, "key", 3), "classification", "decision_tree", 3)
+    return rounded(spark.createDataFrame([(mean, std)], "mean double, std double"))
+
+
 @query("h7_cluster_cross_validation", f"SELECT CAST(floor({u_sql('vec_id', seed=42)} * 3) AS INT) AS fold, count(*) AS n, count(*) > 0 AS in_range FROM embeddings GROUP BY 1")
 def h7(spark, sf):
     folds = L.with_folds(emb(spark, sf), "vec_id", 3)
@@ -263,6 +360,11 @@ def h7(spark, sf):
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.lit(good).alias("in_range"))
 
 
+@query("h7_cluster_cross_validation_result")
+def h7_result(spark, sf):
+    return rounded(H.fold_summary(H.cluster_folds(L.with_folds(emb(spark, sf), "vec_id", 3), "kmeans", 4, 3, maxIter=10)))
+
+
 @query("h8_default_or_tuned")
 def h8(spark, sf):
     train, valid = _parts(spark, sf)
@@ -278,16 +380,30 @@ def h8(spark, sf):
 @query("e25_elbow_table", "SELECT k, n, n > 0 AS in_range FROM (SELECT count(*) AS n FROM embeddings), (SELECT CAST(unnest([2, 3, 4]) AS INT) AS k)")
 def e25(spark, sf):
     df = emb(spark, sf)
-    table = M.fit_k_range(df, "kmeans", [2, 3, 4], maxIter=10)[1]
-    return table.select(F.col("k").cast("int").alias("k"), F.lit(df.count()).alias("n"), (F.col("silhouette").between(-1, 1) & (F.col("inertia") > 0)).alias("in_range"))
+    models, table = M.fit_k_range(df, "kmeans", [2, 3, 4], maxIter=10)
+    # the fit's own counts: rows of its clusters
+    sizes = spark.createDataFrame([(k, sum(m.summary.clusterSizes)) for k, m in models.items()], "k int, n bigint")
+    return table.join(sizes, "k").select(F.col("k").cast("int").alias("k"), "n", (F.col("silhouette").between(-1, 1) & (F.col("inertia") > 0)).alias("in_range"))
+
+
+@query("e25_elbow_table_result")
+def e25_result(spark, sf):
+    return rounded(M.fit_k_range(emb(spark, sf), "kmeans", [2, 3, 4], maxIter=10)[1])
+
+
+def _attribution(spark, sf):
+    pre, df = prepared(class_frame(spark, sf))
+    return mean_attribution(shapley(df, M.classifier("decision_tree").fit(df), "key", pre.feature_columns, permutations=5))
 
 
 @query("x1_attribution", sql("SELECT CASE WHEN corr(price, label) > 0 THEN 'price' END AS feature, count(*) > 0 AS positive FROM c", "labelled", c=LABEL_SQL))
 def x1(spark, sf):
-    pre, df = prepared(class_frame(spark, sf))
-    model = M.classifier("decision_tree").fit(df)
-    best = mean_attribution(shapley(df, model, "key", pre.feature_columns, permutations=3)).limit(1)
-    return best.select("feature", (F.col("importance") > 0).alias("positive"))
+    return _attribution(spark, sf).limit(1).select("feature", (F.col("importance") > 0).alias("positive"))
+
+
+@query("x1_attribution_result")
+def x1_result(spark, sf):
+    return rounded(_attribution(spark, sf))
 
 
 def _class_model(spark, sf):
@@ -303,12 +419,24 @@ def g1(spark, sf):
     return out.select("key", F.col("prediction").isin(0.0, 1.0).alias("scored"))
 
 
+@query("g1_score_classification_result")
+def g1_result(spark, sf):
+    df, pre, model = _class_model(spark, sf)
+    return rounded(SC.score_classification(model, df.drop("label"), pre.raw_columns, ["key"]))
+
+
 @query("g2_positive_probability", sql("SELECT key, balance IS NOT NULL AS in_range FROM labelled", "labelled"))
 def g2(spark, sf):
     df, _, model = _class_model(spark, sf)
     return M.with_score(model.transform(df)).select("key", F.col("score").between(0, 1).alias("in_range"))
 
 
+@query("g2_positive_probability_result")
+def g2_result(spark, sf):
+    df, _, model = _class_model(spark, sf)
+    return rounded(M.with_score(model.transform(df)).select("key", "score"))
+
+
 @query("g4_score_clusters", "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids FROM embeddings")
 def g4(spark, sf):
     df = emb(spark, sf)
@@ -317,39 +445,88 @@ def g4(spark, sf):
     return scored.agg(F.count_if(F.col("prediction").between(0, 3)).alias("n"), F.countDistinct("vec_id").alias("ids"))
 
 
-@query("g5_scoring_job", sql("SELECT key, balance IS NOT NULL AS scored FROM labelled", "labelled"))
-def g5(spark, sf):
+@query("g4_score_clusters_result")
+def g4_result(spark, sf):
+    df = emb(spark, sf)
+    model = PipelineModel([M.clusterer("kmeans", 4, maxIter=10).fit(df)])
+    return rounded(SC.score_clusters(model, df, ["features"], ["vec_id"])[1])
+
+
+def _scoring_job(spark, sf):
     df, pre, model = _class_model(spark, sf)
     path, out = fresh_path(spark, "scoring-model"), fresh_path(spark, "scored")
     save_model(spark, model, path, {"task": "classification", "required": pre.raw_columns, "key": "key"})
     SC.score(spark, path, df.drop("label"), out)
-    return read_parquet(spark, out).select("key", F.col("prediction").isin(0.0, 1.0).alias("scored"))
+    return read_parquet(spark, out)
+
+
+@query("g5_scoring_job", sql("SELECT key, balance IS NOT NULL AS scored FROM labelled", "labelled"))
+def g5(spark, sf):
+    return _scoring_job(spark, sf).select("key", F.col("prediction").isin(0.0, 1.0).alias("scored"))
+
+
+@query("g5_scoring_job_result")
+def g5_result(spark, sf):
+    return rounded(_scoring_job(spark, sf))
 
 
-def _sizes(df, key, metrics, bound):
-    """Rows of each part, metric rows for it, and whether these lie in their range."""
-    parts = L.with_split(df, key, {"train": 0.7, "valid": 0.2, "test": 1.0 - 0.7 - 0.2}).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    found = metrics.groupBy("dataset").agg(F.count("value").alias("metrics"), F.min(bound).alias("in_range"))
+def _sizes(df, key, result, bound):
+    """Rows of each part that the fitted pipeline scores, metric rows for it, and whether these lie in their range."""
+    scored = result.model.transform(L.with_split(df, key, {"train": 0.7, "valid": 0.2, "test": 1.0 - 0.7 - 0.2})).where("prediction IS NOT NULL")
+    parts = scored.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    found = result.metrics.groupBy("dataset").agg(F.count("value").alias("metrics"), F.min(bound).alias("in_range"))
     return parts.join(found, "dataset").select("dataset", "n", "metrics", "in_range")
 
 
-@query("l1_fit_classifier", sql(f"SELECT dataset, count(*) AS n, CAST(6 AS BIGINT) AS metrics, count(*) > 0 AS in_range FROM (SELECT {PART_SQL} AS dataset FROM labelled) GROUP BY dataset", "labelled"))
-def l1(spark, sf):
+def _l1(spark, sf):
     cfg = PL.FitConfig(models=("logistic", "decision_tree"), exclude=("odate",))
     df = class_frame(spark, sf)
-    return _sizes(df, "key", PL.fit_classifier(df, "label", "key", cfg).metrics, F.col("value").between(0, F.when(F.col("metric") == "ks", 100).otherwise(1)))
+    return df, PL.fit_classifier(df, "label", "key", cfg)
 
 
-@query("l2_fit_regressor", "SELECT count(*) AS n, CAST(3 AS BIGINT) AS parts, count(*) > 0 AS finite FROM lineitem")
-def l2(spark, sf):
+@query("l1_fit_classifier", sql(f"SELECT dataset, count(*) AS n, CAST(6 AS BIGINT) AS metrics, count(*) > 0 AS in_range FROM (SELECT {PART_SQL} AS dataset FROM labelled) GROUP BY dataset", "labelled"))
+def l1(spark, sf):
+    df, result = _l1(spark, sf)
+    return _sizes(df, "key", result, F.col("value").between(0, F.when(F.col("metric") == "ks", 100).otherwise(1)))
+
+
+@query("l1_fit_classifier_result")
+def l1_result(spark, sf):
+    return rounded(_l1(spark, sf)[1].metrics)
+
+
+def _l2(spark, sf):
     cfg = PL.FitConfig(models=("linear_regression", "decision_tree"))
     df = reg_frame(spark, sf).drop("features")
-    found = PL.fit_regressor(df, "label", "key", cfg).metrics.agg(F.countDistinct("dataset").alias("parts"), F.min(F.abs("value") < float("inf")).alias("finite"))
-    return found.select(F.lit(df.count()).alias("n"), "parts", "finite")
+    return df, PL.fit_regressor(df, "label", "key", cfg)
+
+
+@query("l2_fit_regressor", "SELECT count(*) AS n, CAST(3 AS BIGINT) AS parts, count(*) > 0 AS finite FROM lineitem")
+def l2(spark, sf):
+    df, result = _l2(spark, sf)
+    found = result.metrics.agg(F.countDistinct("dataset").alias("parts"), F.min(F.abs("value") < float("inf")).alias("finite"))
+    return found.select(F.lit(result.model.transform(df).where("prediction IS NOT NULL").count()).alias("n"), "parts", "finite")
+
+
+@query("l2_fit_regressor_result")
+def l2_result(spark, sf):
+    return rounded(_l2(spark, sf)[1].metrics, 3)
+
+
+def _l3(spark, sf):
+    cfg = PL.FitConfig(models=("kmeans",), params={"kmeans": {"maxIter": 10}})
+    return PL.fit_clusterer(X.labelled(spark, sf).select("key", "price", "balance", "nation"), "key", cfg, (2, 3, 4))
 
 
 @query("l3_fit_clusterer", sql(f"SELECT dataset, count(*) AS n, CAST(6 AS BIGINT) AS metrics, count(*) > 0 AS in_range FROM (SELECT {PART_SQL} AS dataset FROM labelled) GROUP BY dataset", "labelled"))
 def l3(spark, sf):
-    cfg = PL.FitConfig(models=("kmeans",), params={"kmeans": {"maxIter": 10}})
-    df = X.labelled(spark, sf).select("key", "price", "balance", "nation")
-    return _sizes(df, "key", PL.fit_clusterer(df, "key", cfg, (2, 3, 4)).metrics, (F.col("metric") != "silhouette") | F.col("value").between(-1, 1))
+    metrics = _l3(spark, sf).metrics
+    # the rows that the evaluation of the clusters counted
+    rows = F.max(F.when(F.col("metric") == "sample_count", F.col("value"))).cast("bigint")
+    bound = (F.col("metric") != "silhouette") | F.col("value").between(-1, 1)
+    return metrics.groupBy("dataset").agg(rows.alias("n"), F.count("value").alias("metrics"), F.min(bound).alias("in_range"))
+
+
+@query("l3_fit_clusterer_result")
+def l3_result(spark, sf):
+    return rounded(_l3(spark, sf).metrics)
