@@ -31,7 +31,11 @@ STAND_INS = ["example", "changeme", "placeholder", "your", "xxxx", "dummy", "sam
 TEST_PATHS = ["test", "example", "sample", "doc", "mock", "fixture"]
 
 _token = re.compile(rb"[A-Za-z0-9_+/=\-.@:]{%d,}" % SHORTEST)
-_assigned = re.compile(rb"(?i)(?:%s)\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{%d,})" % ("|".join(KEYWORDS).encode(), SHORTEST))
+# a keyword, the rest of its name, a closing quote, the separator; then a value up to its quote, or up to a space, quote, comma or semicolon
+_key = re.compile(rb"(?i)(?:%s)[\w-]{0,40}[\"']?\s{0,3}[:=]\s{0,3}([\"']?)" % "|".join(KEYWORDS).encode())
+_plain = re.compile(rb"[^\s\"',;]{%d,}" % SHORTEST)
+_quoted = {b'"': re.compile(rb'((?:[^\s"\\]|\\\S){%d,})"' % SHORTEST), b"'": re.compile(rb"([^\s']{%d,})'" % SHORTEST)}
+_named = re.compile(rb"[\w-]+[:=]+")
 _prefix = re.compile(rb"(?i)^(?:%s)[:=]+" % "|".join(KEYWORDS).encode())
 _letters = re.compile(rb"[A-Za-z]{3,}")
 _word = re.compile(rb"[a-z]{3,}")
@@ -93,12 +97,19 @@ def corpus_model(docs: DataFrame, text_col: str = "text", words: int = DICTIONAR
 
 def candidates(text: bytes) -> Iterator[tuple[int, bytes]]:
     """Byte offset and value of what could be a secret: values given to a keyword, and tokens of letters and digits."""
-    found = {}
-    for m in _assigned.finditer(text):
-        found[m.start(1)] = m[1]
+    found, end = {}, 0
+    for m in _key.finditer(text):
+        at = m.end()
+        if at < end:            # inside the value before
+            continue
+        value = (q := _quoted.get(m[1])) and (v := q.match(text, at)) and v[1] or (v := _plain.match(text, at)) and v[0]
+        if value:
+            found[at], end = value, at + len(value)
     for m in _token.finditer(text):
         value = m[0]
         start = m.start()
+        if (named := _named.match(value)) and start + named.end() in found:
+            continue
         if lead := _prefix.match(value):
             value, start = value[lead.end():], start + lead.end()
         value = value.rstrip(b".:-")
@@ -128,7 +139,7 @@ def describe(text: bytes, start: int, value: bytes, path: str, model: CorpusMode
     return [float(x) for x in (
         math.log1p(n), kinds.count("l") / n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("s") / n, sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
         -sum(c / n * math.log2(c / n) for c in counts.values()), steps.mean() if len(steps) else 0.0, covered / n, sum(c in b"0123456789abcdef" for c in lower) / n,
-        max(counts.values()) / n, any(k.encode() in w for w in near for k in KEYWORDS), any(k.encode() in before[-24:] for k in KEYWORDS), lead[-1:] in (b"=", b":") or lead[-2:-1] in (b"=", b":"),
+        max(counts.values()) / n, any(k.encode() in w for w in near for k in KEYWORDS), any(k.encode() in before[-24:] for k in KEYWORDS), lead[-1:] in (b"=", b":") or lead[-2:-1] in (b"=", b":") or lead[:-1].rstrip()[-1:] in (b"=", b":"),
         lead[-1:] in (b'"', b"'"), any(s.encode() in lower for s in STAND_INS), path.count("/"), any(t in path.lower() for t in TEST_PATHS),
         sum(w in model.words for w in around) / max(len(around), 1))]
 
