@@ -151,7 +151,8 @@ def _blocks(spark: SparkSession, windows: DataFrame, docs: DataFrame, text: str,
     n = max(1, -(-size // bound))
     out = []
     for i in range(n):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i).groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")).toArrow()
+        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i).groupBy("window").agg(
+            F.concat(F.array_sort(F.collect_set("item_id")), F.when(F.max(F.col("item_id").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))).alias("items")).toArrow()
         block = WindowIndex(rows.column("window").to_pylist(), rows.column("items").to_pylist())
         plain = spark.sparkContext.broadcast(block)
         block.choose(_count(plain, text, docs))
@@ -174,7 +175,7 @@ def _finder(index):
             inside = np.concatenate(([0], (np.cumsum(edge) > 0)[:len(numbers)], [0])) if len(start) else np.zeros(1, int)
             counts.append(len(numbers))
             spans.append(np.nonzero(np.diff(inside))[0].tolist())
-            items.append(sorted({i for w in np.unique(window) for i in block.items[w]}))
+            items.append(sorted({i for w in np.unique(window) for i in block.items[w]}, key=lambda i: (i is None, i)))
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
     return find.asNondeterministic()         # it is not; but a filter must not make Spark run it twice
 
@@ -205,11 +206,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The windows are broadcast in blocks of ``bound`` bytes; each block reads the documents twice (counts, then matches).
     More blocks than one are joined by a 128-bit key of id and text. Null, empty and blank texts have no words and are
-    never contaminated; items without words have no window and a null item id counts as no item of its own. Repeated rows
-    are judged each. An empty table of either kind works. Other columns are carried along whatever their names.
+    never contaminated; items without words have no window. Items with a null id hit like others; together they are
+    one null entry, the last of ``items``. Repeated rows are judged each. An empty table of either kind works. Other columns are carried along whatever their names.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text).cast("binary").alias("text")).where(F.col("item_id").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text).cast("binary").alias("text"))
     windows = checkpointed(items.mapInArrow(_item_windows, "item_id string, window binary").distinct())
     blocks = _blocks(spark, windows, docs, text_col, bound)
     rows = pack(docs)

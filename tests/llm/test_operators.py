@@ -388,3 +388,23 @@ def test_secret_candidates_take_linear_time_and_name_a_value_once():
     assert list(secrets.candidates(b"db_password=abcd1234efgh")) == [(12, b"abcd1234efgh")]
     assert list(secrets.candidates(b"token-abc123def456=")) == [(0, b"token-abc123def456=")]
     assert len(list(secrets.candidates(b"token:" * 300_000))) == 1
+
+
+@pytest.mark.parametrize("bound", [decontam.INDEX_BYTES, 400])
+def test_items_without_an_id_contaminate(spark, bound):
+    import duckdb
+    from featurelens.llm.queries import DECONTAMINATION_SQL
+    rng = random.Random(12)
+    items = [(None, prose(rng, 30)), (1, prose(rng, 20)), (None, prose(rng, 15)), (2, "shared words of two"), (None, "shared words of two"), (3, prose(rng, 50))]
+    docs = [(i, prose(rng, 9) + " " + " ".join(b for _, b in items[i % 6:i % 6 + i % 3])) for i in range(24)] + [(90, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contamination(table(spark, docs), bench, bound=bound)
+    got = found.select("_row.doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("h"), "contaminated").collect()
+    con = duckdb.connect()
+    documents, benchmark = pd.DataFrame(docs, columns=["doc_id", "text"]), pd.DataFrame({"item_id": pd.array([i for i, _ in items], "Int64"), "text": [b for _, b in items]})
+    con.register("documents", documents)
+    con.register("benchmark", benchmark)
+    assert sorted(map(tuple, got)) == sorted(con.execute(DECONTAMINATION_SQL).fetchall())
+    alone = decontam.contamination(table(spark, [(1, items[0][1])]), bench, bound=bound).first()
+    assert alone["contaminated"] and alone["n_hit"] == 30 and list(alone["items"]) == [None]
+    assert decontam.clean_documents(table(spark, [(1, items[0][1])]), bench, bound=bound).count() == 0
