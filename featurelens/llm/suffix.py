@@ -1,4 +1,7 @@
-"""Operator 10: repeated passages by sparse suffix arrays: suffixes at minimisers, compared and extended both ways."""
+"""Operator 10: repeated passages: suffixes retained at shared minimisers, then an exact join of their 50-word runs by 128-bit hashes.
+
+No suffix is sorted and no neighbours are compared or extended: adjacent suffixes alone lose matches in groups of edited copies.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ from pyspark.sql.functions import arrow_udf
 from featurelens.llm.text import checkpointed, pack, pieces, row_key
 
 LEAST = 50              # words of a passage
-PREFIX = 16             # words by which retained suffixes are compared first
+PREFIX = 16             # words that a retained suffix must share with one of another text
 CHUNK = 1 << 20
 HOT = 1000              # documents from which on the runs at a suffix are salted
 SALTS = 32              # tasks over which they are dealt; at most 32, a bit of an int each
@@ -129,10 +132,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX,
     does not count. Null, empty and short texts have no passage. Rows that repeat both id and text are one document
     and get the same result. An empty table gives no rows.
 
-    Of each run of ``least`` words the suffix at its minimiser is retained. Equal texts are one. Suffixes that
-    share their first ``prefix`` words with a suffix of another text are neighbours in the sorted order; all others are
-    dropped (a filter only, by 64-bit hashes). Each neighbour is extended left and right over all runs of ``least`` words that retain it, and runs
-    found in two texts mark their words. Comparing with the adjacent suffix only would lose matches in groups of edited copies,
+    Of each run of ``least`` words the suffix at its minimiser is retained. Equal texts are one. Suffixes that do not
+    share their first ``prefix`` words with a suffix of another text are dropped (a filter only, by 64-bit hashes). All runs of
+    ``least`` words that retain one of the others are joined by 128-bit hashes, and runs found in two texts mark their words. This
+    stands in place of sorting, comparing neighbours and extending: the adjacent suffix only would lose matches in groups of edited copies,
     where the best partner to the right is another than the one to the left; so all runs are compared, by 128-bit hashes.
     Runs at a suffix of more than ``hot`` documents are dealt over ``SALTS`` tasks by text; which of these hold a run is kept as
     bits, so its first place is copied to no more tasks than the run has places.
