@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurelens.llm import decontam, language, linededup, mixing, quality, secrets, simhash, suffix, topk, toxicity
+from featurelens.llm import decontam, fim, language, linededup, mixing, prefixtrie, quality, secrets, simhash, suffix, tokenfiles, topk, toxicity
 
 QUALITY_AT, TOXIC_AT = 0.3, 0.5
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,8 +67,25 @@ def op10_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.repeated_passages(_table(spark, sf, "documents").select("doc_id", "text")).drop("_k1", "_k2")
 
 
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    folder = tokenfiles.write_token_files(_table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return tokenfiles.read_token_files(spark, folder, "documents")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf, "documents").select("doc_id", "text"))
+    return made.select("_row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_table(spark, sf, "conversations")).drop("n_ends")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_secrets, op3_simhash, op4_decontaminate, op5_language, op6_lines, op7_top_k, op8_quality, op9_toxicity, op10_suffixes)}
+    f.__name__: f for f in (op1_mix, op2_secrets, op3_simhash, op4_decontaminate, op5_language, op6_lines, op7_top_k, op8_quality, op9_toxicity, op10_suffixes,
+                            op11_token_files, op12_fill_in_middle, op13_prefix_trie)}
 
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -122,4 +140,45 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_mix": MIX_SQL, "op4_decontaminate": DECONTAMINATION_SQL, "op6_lines": LINES_SQL, "op7_top_k": TOP_K_SQL}
+FILL_IN_MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, sha256('42:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+             [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS r FROM d),
+c AS (SELECT *, len(w) AS n, LEAST(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS a, GREATEST(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+                  WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM w),
+p AS (SELECT *, COALESCE(array_to_string(list_slice(w, 1, a), ''), '') AS pre, COALESCE(array_to_string(list_slice(w, a + 1, b), ''), '') AS mid,
+             COALESCE(array_to_string(list_slice(w, b + 1, n), ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+# CRC-32 has no function in this dialect: eight shifts for each byte of the decimal id.
+PREFIX_TRIE_SQL = """
+WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(length(COALESCE(role, '')) AS VARCHAR) || ':' || COALESCE(role, '') || COALESCE(text, ''))) AS place
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295::BIGINT, list_reduce([ascii(x)::BIGINT FOR x IN string_split(CAST(conv_id AS VARCHAR), '')],
+             lambda crc, byte : list_reduce([0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, i : xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295::BIGINT)) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, t.place AS k, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.place <= c.h
+      UNION ALL SELECT c.conv_id, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place > c.h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, role, text FROM b),
+p AS (SELECT *, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r),
+n AS (SELECT path, depth, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, MIN(length(text)) AS size FROM p GROUP BY path, depth
+      UNION ALL SELECT [], 0, MIN(conv_id), COUNT(*), 0 FROM c HAVING COUNT(*) > 0),
+u AS (SELECT n.*, m.conv_id AS parent_conv_id FROM n LEFT JOIN n m ON n.depth > 0 AND m.depth = n.depth - 1 AND m.path = list_slice(n.path, 1, n.depth - 1)),
+k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, COUNT(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT u.*, COALESCE(n_children, 0) AS n_children FROM u LEFT JOIN k USING (conv_id, depth)),
+s AS (SELECT a.conv_id, a.depth, COUNT(*) FILTER (WHERE x.n_children = 0) AS n_leaves, CAST(SUM((x.n_convs - 1) * x.size) AS BIGINT) AS saved_tokens
+      FROM v a JOIN v x ON x.depth >= a.depth AND list_slice(x.path, 1, a.depth) = a.path GROUP BY ALL),
+l AS (SELECT c.conv_id, COALESCE(MAX(r.depth), 0) AS depth FROM c LEFT JOIN r USING (conv_id) GROUP BY ALL),
+e AS (SELECT COALESCE(p.path, []) AS path, l.depth, string_agg(CAST(l.conv_id AS VARCHAR), ',' ORDER BY l.conv_id) AS ids FROM l LEFT JOIN p ON p.conv_id = l.conv_id AND p.depth = l.depth GROUP BY ALL)
+SELECT v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, sha256(COALESCE(e.ids, '')) AS ends_sha256
+FROM v JOIN s USING (conv_id, depth) LEFT JOIN e ON e.depth = v.depth AND e.path = v.path
+"""
+
+ORACLES: dict[str, str] = {"op1_mix": MIX_SQL, "op4_decontaminate": DECONTAMINATION_SQL, "op6_lines": LINES_SQL, "op7_top_k": TOP_K_SQL,
+                           "op12_fill_in_middle": FILL_IN_MIDDLE_SQL, "op13_prefix_trie": PREFIX_TRIE_SQL}
