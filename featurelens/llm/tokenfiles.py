@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,7 @@ END_ID = 2
 FRAME_IDS = 1 << 20            # ids of one frame at most; a longer document takes several frames
 FILE_IDS = 1 << 28             # a task begins another file after so many ids
 PIECE_CHARS = 1 << 19          # characters given to the tokenizer at once
+MEMO_WORDS = 1 << 18           # distinct words whose ids a task keeps, under 100 MB
 LEVEL = 3
 MANIFEST = "manifest.json"
 
@@ -37,32 +40,65 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E,
 
 # ---------------------------------------------------------------- tokens
 
+# A single space between two of these begins a token in byte-level tokenizers, whatever stands around.
+_INK = r"[^\s\u180e\ufeff]"
+_cut = re.compile(rf"(?<={_INK}) (?={_INK})")
+_odd = re.compile(r"[\s\u180e\ufeff] | [\s\u180e\ufeff]|^ | $|\A\Z")
+
+
+def splits_at_spaces(tokenizer: str) -> bool:
+    """Whether a tokenizers file gives a text's ids word by word: byte-level with its own pattern, nothing that looks further."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, after = spec.get("pre_tokenizer") or {}, spec.get("post_processor") or {"type": "ByteLevel"}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and after["type"] == "ByteLevel"
+    alone = all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec.get("added_tokens", []))
+    return bool(plain and alone and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
+
+
 def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """A text in pieces that byte-level pre-tokenizers split alike: cut before a single space between two other characters."""
+    """A text in pieces of about ``size``, cut only before spaces at which byte-level tokens begin."""
     start = 0
     while len(text) - start > size:
-        at = start + size
-        while True:
-            at = text.find(" ", at)
-            if at < 0 or at + 1 >= len(text):
-                at = -1
-                break
-            if not text[at - 1].isspace() and not text[at + 1].isspace():
-                break
-            at += 1
-        if at < 0:
+        found = _cut.search(text, start + size)
+        if not found:
             break
-        yield text[start:at]
-        start = at
+        yield text[start:found.start()]
+        start = found.start()
     yield text[start:]
 
 
+class WordCoder:
+    """Ids of texts, as bytes, from a tokenizer that gives them word by word: each distinct word goes through it once.
+
+    The ids of the first ``memo`` words met are kept; others are looked up again in every text that holds them.
+    """
+
+    def __init__(self, coder, memo: int = MEMO_WORDS) -> None:
+        self.coder, self.limit, self.memo = coder, memo, {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, text: str) -> bytes:
+        words = _cut.split(text) if _odd.search(text) else text.split(" ")
+        held = list(map(self.memo.get, words[1:]))
+        if None in held:
+            new = list({w for w, h in zip(words[1:], held) if h is None})
+            found = dict(zip(new, self._encode([" " + w for w in new])))
+            held = [found[w] if h is None else h for w, h in zip(words[1:], held)]
+            if len(self.memo) < self.limit:
+                self.memo |= found
+        return b"".join(self._encode(words[:1]) + held)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, frame_ids: int = FRAME_IDS) -> DataFrame:
     """``doc_id, part, ids``: the ids of every row's text with ``end_id`` appended, as little-endian unsigned 32-bit integers.
 
-    ``tokenizer`` is a tokenizers file that every executor reaches. Ids come in parts of at most ``frame_ids``, the parts of a row one
-    after the other and the rows in the order of ``docs``, so the longest text costs bounded memory beside itself. A null or empty
-    text has the end id alone. Rows that repeat are rows of their own. An empty table gives no rows. Other columns are not read.
+    ``tokenizer`` is a tokenizers file that every executor reaches. Where it splits at spaces, long texts are given to it in pieces and
+    each word once; any other gets whole texts. Ids come in parts of at most ``frame_ids``, the parts of a row one after the
+    other and the rows in the order of ``docs``. A null or empty text has the end id alone. Rows that repeat are rows of their
+    own. An empty table gives no rows. Other columns are not read.
     """
     id_type = docs.schema[id_col].dataType
     arrow = pa.schema([("doc_id", to_arrow_type(id_type)), ("part", pa.int32()), ("ids", pa.binary())])
@@ -71,25 +107,27 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         coder = Tokenizer.from_file(tokenizer)
-
-        def parts(text: str) -> Iterator[np.ndarray]:
-            held = np.zeros(0, "<u4")
-            for piece in safe_pieces(text):
-                held = np.concatenate([held, np.array(coder.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4")])
-                while len(held) > frame_ids:
-                    yield held[:frame_ids]
-                    held = held[frame_ids:]
-            held = np.append(held, np.array([end_id], "<u4"))
-            for at in range(0, len(held), frame_ids):
-                yield held[at:at + frame_ids]
+        words = WordCoder(coder) if splits_at_spaces(tokenizer) else None
+        end, most = struct.pack("<I", end_id), 4 * frame_ids
+
+        def parts(text: str) -> Iterator[bytes]:
+            held = b""
+            for ids in map(words, safe_pieces(text)) if words else [array("I", coder.encode(text, add_special_tokens=False).ids).tobytes()]:
+                held += ids
+                while len(held) > most:
+                    yield held[:most]
+                    held = held[most:]
+            held += end
+            for at in range(0, len(held), most):
+                yield held[at:at + most]
 
         rows: list[tuple] = []
         size = 0
         for batch in batches:
             for name, text in zip(batch.column("doc_id"), batch.column("text")):
                 for n, ids in enumerate(parts(text.as_py() or "")):
-                    rows.append((name.as_py(), n, ids.tobytes()))
-                    size += 4 * len(ids)
+                    rows.append((name.as_py(), n, ids))
+                    size += len(ids)
                     if size > 4 * FRAME_IDS:
                         yield _batch(rows, arrow)
                         rows, size = [], 0
