@@ -30,7 +30,7 @@ END_ID = 2
 FRAME_IDS = 1 << 20            # ids of one frame at most; a longer document takes several frames
 FILE_IDS = 1 << 28             # a task begins another file after so many ids
 PIECE_CHARS = 1 << 19          # characters given to the tokenizer at once
-MEMO_WORDS = 1 << 18           # distinct words whose ids a task keeps, under 100 MB
+MEMO_WORDS = 400_000           # distinct words whose ids a worker process keeps, about 100 MB
 LEVEL = 3
 MANIFEST = "manifest.json"
 
@@ -43,7 +43,9 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E,
 # A single space between two of these begins a token in byte-level tokenizers, whatever stands around.
 _INK = r"[^\s\u180e\ufeff]"
 _cut = re.compile(rf"(?<={_INK}) (?={_INK})")
-_odd = re.compile(r"[\s\u180e\ufeff] | [\s\u180e\ufeff]|^ | $|\A\Z")
+_edges = re.compile(rf"{_INK}(?s:.*){_INK}|{_INK}")
+STOPS = ".,;:!?"
+SPACE = "\u0120"               # fixed value: a space in the alphabet of byte-level models
 
 
 def splits_at_spaces(tokenizer: str) -> bool:
@@ -52,7 +54,8 @@ def splits_at_spaces(tokenizer: str) -> bool:
         spec = json.load(f)
     split, after = spec.get("pre_tokenizer") or {}, spec.get("post_processor") or {"type": "ByteLevel"}
     plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and after["type"] == "ByteLevel"
-    alone = all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec.get("added_tokens", []))
+    alone = all(not set(" " + STOPS) & set(t["content"]) and not t["content"].isalpha() and not t["lstrip"] and not t["rstrip"] and not t["single_word"]
+                for t in spec.get("added_tokens", []))
     return bool(plain and alone and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
 
 
@@ -69,29 +72,70 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 class WordCoder:
-    """Ids of texts, as bytes, from a tokenizer that gives them word by word: each distinct word goes through it once.
+    """Ids of texts, as bytes, from a tokenizer that gives them word by word: a distinct word goes through it once.
 
-    The ids of the first ``memo`` words met are kept; others are looked up again in every text that holds them.
+    Stops after a letter are tokens of their own, so a word with stops is the word and its stops. The ids of the first ``memo`` words
+    met are kept; others go through the tokenizer once in every text that holds them.
     """
 
     def __init__(self, coder, memo: int = MEMO_WORDS) -> None:
-        self.coder, self.limit, self.memo = coder, memo, {}
+        self.coder, self.limit, self.memo, self.stops = coder, memo, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ends(self, stops: str) -> bytes:
+        found = self.stops.get(stops) or self._encode([stops])[0]
+        if len(self.stops) < 1024:
+            self.stops[stops] = found
+        return found
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        bare = {}
+        for w in words:
+            core = w.rstrip(STOPS)
+            bare[w] = core if core and core[-1].isalpha() and core[-1] < "\u0250" else w
+        unknown = [w for w in set(bare.values()) if w not in self.memo]
+        # a space and ASCII letters are one pre-token, in which byte-level models write the space as a letter of its own
+        fresh = {w: array("I", [t.id for t in self.coder.model.tokenize(SPACE + w)]).tobytes() for w in unknown if w.isascii() and w.isalpha()}
+        others = [w for w in unknown if w not in fresh]
+        fresh |= zip(others, self._encode([" " + w for w in others]))
+        found = {}
+        for w, core in bare.items():
+            ids = fresh.get(core)
+            found[w] = (self.memo[core] if ids is None else ids) + (self._ends(w[len(core):]) if len(core) < len(w) else b"")
+            if ids is None and len(self.memo) < self.limit:
+                self.memo[w] = found[w]     # the word is known without its stops: they may come again
+        if len(self.memo) < self.limit:
+            self.memo |= fresh
+        return found
+
     def __call__(self, text: str) -> bytes:
-        words = _cut.split(text) if _odd.search(text) else text.split(" ")
+        words = text.split(" ")
         held = list(map(self.memo.get, words[1:]))
-        if None in held:
-            new = list({w for w, h in zip(words[1:], held) if h is None})
-            found = dict(zip(new, self._encode([" " + w for w in new])))
+        new = {w for w, h in zip(words[1:], held) if h is None} if None in held else set()
+        # a known word has no white space at its ends, so only new ones can show that a cut was wrong
+        if len(words) > 1 and not (_edges.fullmatch(words[0]) and all(map(_edges.fullmatch, new))):
+            words = _cut.split(text)
+            held = list(map(self.memo.get, words[1:]))
+            new = {w for w, h in zip(words[1:], held) if h is None}
+        if new:
+            found = self._new(new)
             held = [found[w] if h is None else h for w, h in zip(words[1:], held)]
-            if len(self.memo) < self.limit:
-                self.memo |= found
         return b"".join(self._encode(words[:1]) + held)
 
 
+_coders: dict[str, WordCoder] = {}
+
+
+def _word_coder(tokenizer: str, coder) -> WordCoder:
+    """The word coder of a worker process, whose words serve all its tasks."""
+    if tokenizer not in _coders:
+        _coders.clear()
+        _coders[tokenizer] = WordCoder(coder)
+    return _coders[tokenizer]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, frame_ids: int = FRAME_IDS) -> DataFrame:
     """``doc_id, part, ids``: the ids of every row's text with ``end_id`` appended, as little-endian unsigned 32-bit integers.
 
@@ -107,7 +151,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         coder = Tokenizer.from_file(tokenizer)
-        words = WordCoder(coder) if splits_at_spaces(tokenizer) else None
+        words = _word_coder(tokenizer, coder) if splits_at_spaces(tokenizer) else None
         end, most = struct.pack("<I", end_id), 4 * frame_ids
 
         def parts(text: str) -> Iterator[bytes]:
