@@ -30,8 +30,8 @@ END_ID = 2
 FRAME_IDS = 1 << 20            # ids of one frame at most; a longer document takes several frames
 FILE_IDS = 1 << 28             # a task begins another file after so many ids
 PIECE_CHARS = 1 << 19          # characters given to the tokenizer at once
-MEMO_WORDS = 400_000           # distinct words whose ids a worker process keeps, about 100 MB
-LEVEL = 3
+MEMO_WORDS = 450_000           # distinct words whose ids a worker process keeps, about 100 MB
+LEVEL = 1
 MANIFEST = "manifest.json"
 
 # Fixed values of the formats: skippable frames, the seekable format's footer, descriptor bit for checksums.
@@ -71,58 +71,56 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-class WordCoder:
-    """Ids of texts, as bytes, from a tokenizer that gives them word by word: a distinct word goes through it once.
+class _Uncut(Exception):
+    """A word with white space at an end: the text needs cuts that look at both sides."""
 
-    Stops after a letter are tokens of their own, so a word with stops is the word and its stops. The ids of the first ``memo`` words
-    met are kept; others go through the tokenizer once in every text that holds them.
+
+class WordCoder(dict):
+    """Ids of texts, as bytes, from a tokenizer that gives them word by word: the first ``memo`` words met go through it once.
+
+    Maps a word to the ids of a space and the word. Stops after a letter are tokens of their own, so a word with stops is the
+    word and its stops. A kept word has no white space at its ends, so only others can show that a text needs careful cuts.
     """
 
     def __init__(self, coder, memo: int = MEMO_WORDS) -> None:
-        self.coder, self.limit, self.memo, self.stops = coder, memo, {}, {}
+        super().__init__()
+        self.coder, self.limit, self.stops = coder, memo, {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> bytes:
+        return array("I", self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _ends(self, stops: str) -> bytes:
-        found = self.stops.get(stops) or self._encode([stops])[0]
+        found = self.stops.get(stops) or self.encode(stops)
         if len(self.stops) < 1024:
             self.stops[stops] = found
         return found
 
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        bare = {}
-        for w in words:
-            core = w.rstrip(STOPS)
-            bare[w] = core if core and core[-1].isalpha() and core[-1] < "\u0250" else w
-        unknown = [w for w in set(bare.values()) if w not in self.memo]
-        # a space and ASCII letters are one pre-token, in which byte-level models write the space as a letter of its own
-        fresh = {w: array("I", [t.id for t in self.coder.model.tokenize(SPACE + w)]).tobytes() for w in unknown if w.isascii() and w.isalpha()}
-        others = [w for w in unknown if w not in fresh]
-        fresh |= zip(others, self._encode([" " + w for w in others]))
-        found = {}
-        for w, core in bare.items():
-            ids = fresh.get(core)
-            found[w] = (self.memo[core] if ids is None else ids) + (self._ends(w[len(core):]) if len(core) < len(w) else b"")
-            if ids is None and len(self.memo) < self.limit:
-                self.memo[w] = found[w]     # the word is known without its stops: they may come again
-        if len(self.memo) < self.limit:
-            self.memo |= fresh
-        return found
+    def __missing__(self, word: str) -> bytes:
+        core, keep = word.rstrip(STOPS), True
+        if core and len(core) < len(word) and core[-1].isalpha() and core[-1] < "\u0250":
+            keep = core in self         # known without its stops: they may come again
+            ids = self[core] + self._ends(word[len(core):])
+        elif word.isascii() and word.isalpha():
+            # a space and ASCII letters are one pre-token, in which byte-level models write the space as a letter of its own
+            ids = array("I", [t.id for t in self.coder.model.tokenize(SPACE + word)]).tobytes()
+        elif _edges.fullmatch(word):
+            ids = self.encode(" " + word)
+        else:
+            raise _Uncut
+        if keep and len(self) < self.limit:
+            self[word] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        words = text.split(" ")
-        held = list(map(self.memo.get, words[1:]))
-        new = {w for w, h in zip(words[1:], held) if h is None} if None in held else set()
-        # a known word has no white space at its ends, so only new ones can show that a cut was wrong
-        if len(words) > 1 and not (_edges.fullmatch(words[0]) and all(map(_edges.fullmatch, new))):
-            words = _cut.split(text)
-            held = list(map(self.memo.get, words[1:]))
-            new = {w for w, h in zip(words[1:], held) if h is None}
-        if new:
-            found = self._new(new)
-            held = [found[w] if h is None else h for w, h in zip(words[1:], held)]
-        return b"".join(self._encode(words[:1]) + held)
+        first, *words = text.split(" ")
+        try:
+            if words and not _edges.fullmatch(first):
+                raise _Uncut
+            ids = list(map(self.__getitem__, words))
+        except _Uncut:
+            first, *words = _cut.split(text)
+            ids = list(map(self.__getitem__, words[:-1])) + [self.encode(" " + w) for w in words[-1:]]
+        return b"".join([self.encode(first), *ids])
 
 
 _coders: dict[str, WordCoder] = {}
