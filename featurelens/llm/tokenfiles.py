@@ -154,7 +154,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
         def parts(text: str) -> Iterator[bytes]:
             held = b""
-            for ids in map(words, safe_pieces(text)) if words else [array("I", coder.encode(text, add_special_tokens=False).ids).tobytes()]:
+            for ids in map(words, safe_pieces(text)) if words is not None else [array("I", coder.encode(text, add_special_tokens=False).ids).tobytes()]:
                 held += ids
                 while len(held) > most:
                     yield held[:most]
