@@ -45,7 +45,10 @@ _INK = r"[^\s\u180e\ufeff]"
 _cut = re.compile(rf"(?<={_INK}) (?={_INK})")
 _edges = re.compile(rf"{_INK}(?s:.*){_INK}|{_INK}")
 STOPS = ".,;:!?"
-SPACE = "\u0120"               # fixed value: a space in the alphabet of byte-level models
+LATIN = "\u0250"               # letters below it are letters in every version of the character tables
+# Byte-level models write printable Latin-1 bytes as themselves and the others, in order, as characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 def splits_at_spaces(tokenizer: str) -> bool:
@@ -97,12 +100,13 @@ class WordCoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         core, keep = word.rstrip(STOPS), True
-        if core and len(core) < len(word) and core[-1].isalpha() and core[-1] < "\u0250":
+        if core and len(core) < len(word) and core[-1].isalpha() and core[-1] < LATIN:
             keep = core in self         # known without its stops: they may come again
             ids = self[core] + self._ends(word[len(core):])
-        elif word.isascii() and word.isalpha():
-            # a space and ASCII letters are one pre-token, in which byte-level models write the space as a letter of its own
-            ids = array("I", [t.id for t in self.coder.model.tokenize(SPACE + word)]).tobytes()
+        elif word.isalpha() and max(word) < LATIN:
+            # a space and letters are one pre-token, which the model takes as it is
+            spelled = (" " + word).encode().decode("latin-1").translate(_ALPHABET)
+            ids = array("I", [t.id for t in self.coder.model.tokenize(spelled)]).tobytes()
         elif _edges.fullmatch(word):
             ids = self.encode(" " + word)
         else:
