@@ -81,7 +81,7 @@ class _Uncut(Exception):
 class WordCoder(dict):
     """Ids of texts, as bytes, from a tokenizer that gives them word by word: the first ``memo`` words met go through it once.
 
-    Maps a word to the ids of a space and the word. Stops after a letter are tokens of their own, so a word with stops is the
+    Maps a word to the ids of a space and the word, a newline and a word to the ids of both. Stops after a letter are tokens of their own, so a word with stops is the
     word and its stops. A kept word has no white space at its ends, so only others can show that a text needs careful cuts.
     """
 
@@ -100,13 +100,17 @@ class WordCoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         core, keep = word.rstrip(STOPS), True
-        if core and len(core) < len(word) and core[-1].isalpha() and core[-1] < LATIN:
+        letters = core[1:] if core[:1] == "\n" else core
+        if letters and len(core) < len(word) and letters[-1].isalpha() and letters[-1] < LATIN:
             keep = core in self         # known without its stops: they may come again
             ids = self[core] + self._ends(word[len(core):])
+        elif word[:1] == "\n":
+            # a newline between other characters is a token of its own, and the word behind it has no space
+            if not _edges.fullmatch(word, 1):
+                raise _Uncut
+            ids = self._ends("\n") + (self._letters(letters) if letters == word[1:] and letters.isalpha() and max(letters) < LATIN else self.encode(word[1:]))
         elif word.isalpha() and max(word) < LATIN:
-            # a space and letters are one pre-token, which the model takes as it is
-            spelled = (" " + word).encode().decode("latin-1").translate(_ALPHABET)
-            ids = array("I", [t.id for t in self.coder.model.tokenize(spelled)]).tobytes()
+            ids = self._letters(" " + word)
         elif _edges.fullmatch(word):
             ids = self.encode(" " + word)
         else:
@@ -115,8 +119,13 @@ class WordCoder(dict):
             self[word] = ids
         return ids
 
+    def _letters(self, text: str) -> bytes:
+        """Letters, with or without a space before, are one pre-token, which the model takes as it is."""
+        spelled = text.replace(" ", chr(_ALPHABET[32])) if text.isascii() else text.encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.coder.model.tokenize(spelled)]).tobytes()
+
     def __call__(self, text: str) -> bytes:
-        first, *words = text.split(" ")
+        first, *words = text.replace("\n", " \n").split(" ")
         try:
             if words and not _edges.fullmatch(first):
                 raise _Uncut
