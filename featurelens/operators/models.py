@@ -10,11 +10,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
-)
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from featurelens.operators.factorization import ScaledFMRegressor
+
 # Default parameters of each model.
 CLASSIFIERS = {
     "logistic": (LogisticRegression, {"maxIter": 10}),
@@ -28,7 +28,7 @@ REGRESSORS = {
     "random_forest": (RandomForestRegressor, {"numTrees": 100, "maxDepth": 5, "maxBins": 256, "seed": 42}),
     "gradient_boosting": (GBTRegressor, {"maxIter": 50, "maxDepth": 5, "maxBins": 64, "seed": 42}),
     "decision_tree": (DecisionTreeRegressor, {"maxDepth": 5, "maxBins": 256, "seed": 42}),
-    "fm_regression": (FMRegressor, {"factorSize": 8, "seed": 42}),
+    "fm_regression": (ScaledFMRegressor, {"factorSize": 8, "stepSize": 0.05, "maxIter": 100, "seed": 42}),
 }
 CLUSTERERS = {
     "kmeans": (KMeans, {"seed": 42}),

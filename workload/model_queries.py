@@ -105,7 +105,7 @@ def _regressor(name: str, **params):
 
 
 for _id, _name, _params in (("m7", "random_forest", {"numTrees": 10}), ("m8", "gradient_boosting", {"maxIter": 10}),
-                            ("m9", "decision_tree", {}), ("m10", "fm_regression", {"maxIter": 20})):
+                            ("m9", "decision_tree", {}), ("m10", "fm_regression", {})):
     _run, _result = _regressor(_name, **_params)
     _full = f"{_id}_{_name}_regressor" if "regression" not in _name else f"{_id}_{_name}"
     query(_full, f"SELECT count(*) AS n, count(*) AS finite, {r('avg(l_extendedprice)', 2)} AS mean, stddev_pop(l_extendedprice) > 0 AS beats_mean FROM lineitem")(_run)
