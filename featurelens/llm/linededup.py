@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from featurelens.llm.text import pack, row_key
+from featurelens.llm.text import WORD, pack, row_key
 
 LINES = 3
 SALTS = 16          # tasks over which the places of a window are dealt; at most 32, a bit of an int each
@@ -24,7 +24,7 @@ def _windows(rows: DataFrame) -> DataFrame:
     def at(i: Column) -> Column:
         here = [F.get("_lines", i + k) for k in range(LINES)]
         return F.struct(i.cast("int").alias("at"), F.xxhash64(*here).alias("h1"), F.xxhash64(*reversed(here), F.lit(LINES)).alias("h2"),
-                        (F.trim(F.concat(*here)) != "").alias("full"))
+                        F.concat(*here).rlike(WORD).alias("full"))
 
     found = F.transform(F.sequence(F.lit(0), F.size("_lines") - LINES), at)
     return lines.select("_id", "_k1", "_k2", F.explode(found).alias("_w")).where("_w.full").select(
@@ -36,7 +36,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A text's lines are its parts between newlines. A window of three consecutive lines that stands at several places of the
     corpus stays at the first place, in the order of (id, null first; hash of the row; position); all lines that a later
-    place covers go. Windows that overlap merge, so a long passage goes whole. Windows of blank lines do not count, and a text
+    place covers go. Windows that overlap merge, so a long passage goes whole. Windows of blank lines (spaces, tabs, carriage returns) do not count, and a text
     of fewer than three lines has no window. A null text stays null with 0 lines. Rows that repeat both id and text
     are one document and get the same result. Other columns are carried along whatever their names.
 

@@ -89,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+                  md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), text, '')) AS h, text FROM documents),
 s AS (SELECT source, SUM(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 r AS (SELECT *, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / weight AS room FROM w),
@@ -100,7 +100,7 @@ g AS (SELECT level AS common FROM l WHERE level <= room ORDER BY place LIMIT 1),
 t AS (SELECT source, source_size, LEAST(CAST(cap AS DOUBLE), weight * common) AS target,
              CAST(('0x' || substr(md5('mix' || COALESCE('s' || source, 'n')), 1, 5)) AS BIGINT) / 1048576.0::DOUBLE AS u FROM l, g),
 n AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-             row_number() OVER (PARTITION BY d.source ORDER BY len(bin(d.size)) * 16 + (d.size >> GREATEST(len(bin(d.size)) - 4, 0)), d.h, d.size) AS i
+             row_number() OVER (PARTITION BY d.source ORDER BY len(bin(d.size)) * 16 + (d.size >> GREATEST(len(bin(d.size)) - 4, 0)), d.h, d.size, d.text NULLS FIRST) AS i
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(u + i * rate) - floor(u + (i - 1) * rate)) * size AS BIGINT) AS taken FROM n
 """
@@ -124,7 +124,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 LINES_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, i, list_slice(l, i, i + 2) AS win FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)
-      WHERE trim(array_to_string(list_slice(l, i, i + 2), '')) <> ''),
+      WHERE regexp_matches(array_to_string(list_slice(l, i, i + 2), ''), '[^\x20\x09-\x0D]')),
 f AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, i) AS nth FROM w),
 gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM f WHERE nth > 1) GROUP BY doc_id)
 SELECT d.doc_id, COALESCE(len(l), 0)::BIGINT AS n_lines, COALESCE(len(gone), 0)::BIGINT AS n_removed,

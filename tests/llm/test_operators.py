@@ -191,7 +191,8 @@ def test_near_duplicates_and_one_of_each(spark, odd):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
     named = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert len(named) == len(set(named)) and set(named) == {c for c in found.values() if c is not None}
+    # id 3 has two texts, each the only one of its group
+    assert sorted(named) == sorted([*{c for c in found.values() if c is not None}, 3])
 
 
 def contamination_by_hand(text, items):
@@ -249,7 +250,7 @@ def lines_by_hand(docs):
         gone = set()
         for i in range(len(lines) - 2):
             w = tuple(lines[i:i + 3])
-            if not "".join(w).strip(" "):
+            if not "".join(w).strip(" \t\n\x0b\x0c\r"):
                 continue
             if w in seen:
                 gone |= {i, i + 1, i + 2}

@@ -6,7 +6,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from featurelens.llm.queries import ORACLES, QUERIES
-from tests.llm.test_operators import contamination_by_hand, lines_by_hand, simhash_by_hand
+from tests.llm.test_near_copies import groups_by_hand
+from tests.llm.test_operators import contamination_by_hand, lines_by_hand
 from tools.check import TABLES, compare
 
 
@@ -47,17 +48,8 @@ def test_stages_against_brute_force(spark, sf):
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == {i: t for i, (n, gone, t) in want.items() if not gone or gone < n}
 
     single = step("near_duplicates", lines)
-    rows = sorted((r["doc_id"], simhash_by_hand(r["text"])) for r in lines.collect())
-    low = {i: i for i, _ in rows}
-    changed = True
-    while changed:
-        changed = False
-        for i, a in rows:
-            for j, b in rows:
-                if (a ^ b).bit_count() <= 2 and low[i] != low[j]:
-                    low[i] = low[j] = min(low[i], low[j])
-                    changed = True
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(low.values()))
+    rows = sorted((r["doc_id"], r["text"]) for r in lines.collect())
+    assert sorted(r["doc_id"] for r in single.collect()) == [rows[i][0] for i in sorted(set(groups_by_hand([t for _, t in rows])))]
 
     clean = step("decontamination", single)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
