@@ -4,20 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from featurelens.functions.expressions import as_double, field_type, is_numeric, safe_corr
-from featurelens.operators.shared import local_frame
+from featurelens.operators.moments import co_moments, correlation
+from featurelens.operators.shared import SMALL_FRAME_ROWS, ensure_checkpoint_dir, pin_small
 
 # Least |r| of each strength label.
 STRENGTHS = [("very_strong", 0.8), ("strong", 0.6), ("moderate", 0.4), ("weak", 0.2)]
 
-MATRIX_SCHEMA = T.StructType([
-    T.StructField("feature1", T.StringType()), T.StructField("feature2", T.StringType()),
-    T.StructField("correlation", T.DoubleType())])
-
 
 def indexed_target(df: DataFrame, target: str) -> DataFrame:
     """Text target to a number by frequency rank (ties by value); numeric is kept."""
@@ -30,15 +25,16 @@ def indexed_target(df: DataFrame, target: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature1, feature2, correlation`` for every pair, on complete rows.
 
-    Only the columns-by-columns matrix reaches the driver. A constant column
-    has no correlation: null.
+    One scan makes the matrix of co-moments, which is kept: only columns by columns reach the driver, or the shared folder for wide
+    tables. A constant column has no correlation with another: null.
     """
     clean = df.select(*[as_double(c, field_type(df, c)).alias(c) for c in columns]).dropna()
-    vec = VectorAssembler(inputCols=list(columns), outputCol="_features").transform(clean).select("_features")
-    m = Correlation.corr(vec, "_features").head()[0].toArray()
-    rows = [(a, b, 1.0 if i == j and m[i, i] == m[i, i] else (None if m[i, j] != m[i, j] else float(m[i, j])))
-            for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return local_frame(df.sparkSession, rows, MATRIX_SCHEMA)
+    r = F.when(F.col("feature1") == F.col("feature2"), F.lit(1.0)).otherwise(correlation())
+    found = co_moments(clean, columns).select("feature1", "feature2", r.alias("correlation"))
+    if len(columns) ** 2 <= SMALL_FRAME_ROWS:
+        return pin_small(found)[0]
+    ensure_checkpoint_dir(df.sparkSession)
+    return found.checkpoint()
 
 
 def correlation_matrices(df: DataFrame, columns: Sequence[str], by: Sequence[str], width: int = 100) -> DataFrame:

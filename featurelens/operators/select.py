@@ -9,28 +9,19 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from featurelens.functions.expressions import as_double, field_type, safe_corr
+from featurelens.functions.expressions import as_double, field_type
+from featurelens.operators.moments import co_moments, correlation, variance
 from featurelens.operators.shared import local_frame
 
 MIN_VARIANCE = 1e-6
 IMPORTANCE_SCHEMA = "feature string, importance double"
 
 
-def _blocks(df: DataFrame, features: Sequence[str], make, width: int = 20) -> DataFrame:
-    """One row per feature with the aggregates ``make(feature)``; one scan for each block of columns."""
-    out = None
-    for i in range(0, len(features), width):
-        rows = F.array(*[F.struct(F.lit(f).alias("feature"), *make(f)) for f in features[i:i + width]])
-        part = df.agg(rows.alias("_rows")).select(F.inline("_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def statistics_table(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Variance and target correlation of every feature: wide aggregations over blocks of columns, no row is repeated."""
-    y = as_double(target, field_type(df, target))
-    x = {f: as_double(f, field_type(df, f)) for f in features}
-    return _blocks(df, features, lambda f: [F.variance(x[f]).alias("variance"), safe_corr(x[f], y).alias("correlation")])
+    """Variance and target correlation of every feature, from one scan of all columns."""
+    pairs = co_moments(df, features, [target])
+    return pairs.groupBy(F.col("feature1").alias("feature")).agg(F.max(F.when(F.col("own"), variance())).alias("variance"),
+                                                                F.max(F.when(~F.col("own"), correlation())).alias("correlation"))
 
 
 def statistical_selection(df: DataFrame, features: Sequence[str], target: str, n: int) -> DataFrame:
@@ -43,7 +34,7 @@ def statistical_selection(df: DataFrame, features: Sequence[str], target: str, n
 
 def variance_selection(df: DataFrame, features: Sequence[str], n: int) -> DataFrame:
     """FS5: the ``n`` largest variances with their share of the total."""
-    table = _blocks(df, features, lambda f: [F.variance(as_double(f, field_type(df, f))).alias("variance")])
+    table = co_moments(df, features, []).select(F.col("feature1").alias("feature"), variance().alias("variance"))
     w = W.orderBy(F.desc_nulls_last("variance"), "feature")
     total = F.sum("variance").over(W.partitionBy())
     return table.select("feature", "variance", F.coalesce(F.try_divide("variance", total), F.lit(1.0 / len(features))).alias("importance"),
