@@ -41,7 +41,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
 
     A row's size is its number of words; its expected copies are target / source_size, the same for the whole source.
     Within a source the rows stand in an order that is free of the partitioning (size class, hash of the id; a null id counts
-    as its text; then by text and row, so that only equal rows tie), expected copies are summed up along it, one offset per
+    as its text; then by hashes of text and row, so that only equal rows tie), expected copies are summed up along it, one offset per
     source is added, and a row is taken once for every whole number that its span of the sum crosses. Ordering by size class
     keeps the words taken near the target.
 
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     source = F.col(f"_row.{source_col}")
     rows = rows.select("_row", F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("_source"), source.alias("source"),
                        F.coalesce(F.regexp_count(F.col(f"_row.{text_col}"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-                       F.md5(F.concat(F.lit(seed + ":"), key).cast("binary")).alias("_h"))
+                       F.md5(F.concat(F.lit(seed + ":"), key).cast("binary")).alias("_h"), F.md5(F.col(f"_row.{text_col}").cast("binary")).alias("_t"), F.xxhash64("_row").alias("_x"))
     bits = "length(bin(size))"
     rows = rows.withColumn("_class", F.expr(f"{bits} * 16 + shiftright(size, greatest({bits} - 4, 0))")).withColumn("_cell", F.substring("_h", 1, 2))
     group = ["_source", "_class", "_cell"]
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     targets = source_targets(cells.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_s").alias("source_size")), weights, most)
     offset = _unit(F.lit(seed), F.col("_source"))
     plan = starts.join(targets.drop("source"), "_source").withColumn("_offset", offset)
-    numbered = rows.withColumn("_i", F.row_number().over(W.partitionBy(*group).orderBy("_h", "size", f"_row.{text_col}", F.xxhash64("_row"))).cast("bigint")).join(plan, group)
+    numbered = rows.withColumn("_i", F.row_number().over(W.partitionBy(*group).orderBy("_h", "size", "_t", "_x")).cast("bigint")).join(plan, group)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("_before") + F.col("_i")
     copies = F.floor(F.col("_offset") + at * rate) - F.floor(F.col("_offset") + (at - 1) * rate)

@@ -100,7 +100,7 @@ g AS (SELECT level AS common FROM l WHERE level <= room ORDER BY place LIMIT 1),
 t AS (SELECT source, source_size, LEAST(CAST(cap AS DOUBLE), weight * common) AS target,
              CAST(('0x' || substr(md5('mix' || COALESCE('s' || source, 'n')), 1, 5)) AS BIGINT) / 1048576.0::DOUBLE AS u FROM l, g),
 n AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-             row_number() OVER (PARTITION BY d.source ORDER BY len(bin(d.size)) * 16 + (d.size >> GREATEST(len(bin(d.size)) - 4, 0)), d.h, d.size, d.text NULLS FIRST) AS i
+             row_number() OVER (PARTITION BY d.source ORDER BY len(bin(d.size)) * 16 + (d.size >> GREATEST(len(bin(d.size)) - 4, 0)), d.h, d.size, md5(d.text) NULLS FIRST) AS i
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(u + i * rate) - floor(u + (i - 1) * rate)) * size AS BIGINT) AS taken FROM n
 """
