@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from featurelens.functions.expressions import as_double, field_type
 from featurelens.operators.components import connected_components
@@ -22,14 +22,15 @@ from featurelens.operators.joins import salted_join
 from featurelens.operators.neighbours import (
     POINT_CHUNK, QUERY_CHUNK, blocks, chunk_apply, distances, make_cells, stack, objects,
 )
+from featurelens.operators.ordering import numbered
 from featurelens.operators.shared import ensure_checkpoint_dir, local_frame
 
 NOISE = -1
 REPRESENTATIVES = 16
 
-# Parameter grid by row count, and the conservative second grid.
-EPS_GRID = {"small": [0.1, 0.2, 0.3, 0.5], "medium": [0.1, 0.2, 0.3, 0.5, 0.7], "large": [0.1, 0.3, 0.5, 0.7, 1.0]}
-MIN_PTS_GRID = {"small": [2, 3, 4], "medium": [3, 4, 5, 7], "large": [3, 5, 7, 10]}
+# Default parameter grid, and the conservative second grid.
+EPS_GRID = [0.1, 0.3, 0.5, 0.7, 1.0]
+MIN_PTS_GRID = [3, 5, 7, 10]
 CONSERVATIVE_EPS = [0.05, 0.1, 0.15, 0.2]
 CONSERVATIVE_MIN_PTS = [2, 3]
 MAX_NOISE_PERCENT = 80.0
@@ -119,8 +120,7 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
 
     named = salted_join(core, comp, ["node"], "inner", salt_by=["vec"])
     order = named.groupBy("component").agg(F.min("first").alias("first"))
-    # one row per cluster
-    order = order.select("component", (F.row_number().over(W.orderBy("first")) - 1).cast("int").alias("prediction"))
+    order = numbered(order, "first", "prediction").select("component", F.col("prediction").cast("int").alias("prediction"))
     core_labels = salted_join(named, order, ["component"], "inner", salt_by=["vec"]).select("vec", "prediction").checkpoint()
 
     def border(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -240,19 +240,14 @@ def assign_dbscan(new: DataFrame, key: str, features: Sequence[str], fitted: Dat
     return out.select(F.col("_key").alias(key), F.coalesce("prediction", F.lit(NOISE)).alias("prediction"))
 
 
-def search_dbscan(df: DataFrame, key: str, features: Sequence[str], eps_values: Sequence[float] | None = None,
-                  min_pts_values: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
+def search_dbscan(df: DataFrame, key: str, features: Sequence[str], eps_values: Sequence[float] = tuple(EPS_GRID),
+                  min_pts_values: Sequence[int] = tuple(MIN_PTS_GRID)) -> tuple[DataFrame, DataFrame]:
     """M14 grid: the fitted labels with the best silhouette among runs with at least two
     clusters and under 80 % noise; then the conservative grid; then one cluster for all.
 
-    Returns ``(labels, trials)``.
+    The grid is the same at every size of the table. Returns ``(labels, trials)``.
     """
     from featurelens.operators.cluster_metrics import noise_summary
-    n = df.count()
-    size = "small" if n < 50 else "medium" if n < 200 else "large"
-    eps_values = list(eps_values or EPS_GRID[size])
-    min_pts_values = list(min_pts_values or MIN_PTS_GRID[size])
-    most = min(max(min_pts_values), max(3, n // 10))
     vec = F.array(*[as_double(f, field_type(df, f)) for f in features])
     base = df.select(key, vec.alias("features"))
     trials, best = [], None
@@ -265,7 +260,7 @@ def search_dbscan(df: DataFrame, key: str, features: Sequence[str], eps_values:
         return labels, s["silhouette"], good
 
     for eps in eps_values:
-        for m in (m for m in min_pts_values if m <= most):
+        for m in min_pts_values:
             labels, score, good = run(eps, m, MAX_NOISE_PERCENT)
             if good and (best is None or score > best[1]):
                 best = (labels, score)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.ml.feature import Bucketizer
 
 from featurelens.functions.expressions import unit_hash
-from featurelens.operators.shared import join_groups, pin_small
+from featurelens.operators.shared import ensure_checkpoint_dir, join_groups, pin_small
 
 MAX_PIECES = 20_000
 SHIFT_ROWS = 1_000_000      # groups times pieces that the driver agrees to hold
@@ -124,6 +124,19 @@ def ntiles(df: DataFrame, order: str, tie: Sequence[str], by: Sequence[str] = ()
     return numbered.withColumn("decile", (tile + 1).cast("int")).drop("_n")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with the place of each row, from 0, in the ascending order of a unique column of any type.
+
+    Rows are dealt by range, numbered in each range and shifted by the rows of the ranges before.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
+    return placed.withColumn("_place", place).join(before, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
 def approximate_ntiles(df: DataFrame, order: str, n: int = 10, accuracy: int = 10_000) -> DataFrame:
     """W2 at any size: cut points from a sketch, no ordering of the rows."""
     from featurelens.functions.expressions import bucket_tree

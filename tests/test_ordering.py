@@ -115,3 +115,11 @@ def test_alignment_keeps_both_sides(spark):
     b = spark.createDataFrame([("y", 0.5), ("z", 0.5)], "bin string, share double")
     assert {r["bin"]: (r["expected"], r["actual"]) for r in align_distributions(a, b, ["bin"]).collect()} == {
         "x": (0.4, 0.0), "y": (0.6, 0.5), "z": (0.0, 0.5)}
+
+
+def test_numbered_text_in_ranges(spark):
+    names = [f"k{i * 7919 % 1000:04d}" for i in range(1000)]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(5)
+    got = {r["name"]: r["at"] for r in O.numbered(df, "name", "at").collect()}
+    assert [got[n] for n in sorted(names)] == list(range(1000))
+    assert O.numbered(df.limit(0), "name", "at").count() == 0

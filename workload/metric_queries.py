@@ -24,6 +24,16 @@ def w2(spark, sf):
     return O.ntiles(X.scored(spark, sf), "score", ["key"], DS).select("dataset", "key", "decile")
 
 
+# a tile from cut points differs from the exact one only by rows at the cuts
+@query("w2_approximate_deciles", "SELECT count(*) AS n, 10 AS tiles, true AS near FROM orders")
+def w2_approximate(spark, sf):
+    orders = X.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    exact = O.ntiles(orders, "o_totalprice", ["o_orderkey"]).select("o_orderkey", F.col("decile").alias("exact"))
+    both = O.approximate_ntiles(orders, "o_totalprice").join(exact, "o_orderkey")
+    apart = F.abs(F.col("decile") - F.col("exact"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("decile").cast("int").alias("tiles"), ((F.max(apart) <= 1) & (F.avg(apart) < 0.01)).alias("near"))
+
+
 DECILE = f"""SELECT dataset, decile, count(*) AS count, sum(label) AS target, sum(1 - label) AS non_target FROM
   (SELECT *, ntile(10) OVER ({ORDER}) AS decile FROM scored) GROUP BY dataset, decile"""
 CUM = """SELECT *, sum(target) OVER w AS cum_target, sum(non_target) OVER w AS cum_non_target, sum(target) OVER (PARTITION BY dataset) AS tt,

@@ -157,28 +157,66 @@ def m13_result(spark, sf):
 
 EPS, MIN_PTS = 1.2, 5
 DB_POINTS = "SELECT c_custkey AS key, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer"
-DB_SQL = {
-    "pts": DB_POINTS,
-    "near": f"SELECT a.key AS a, b.key AS b FROM pts a JOIN pts b ON b.x BETWEEN a.x - {EPS} AND a.x + {EPS} AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {EPS}",
-    "core": f"SELECT a AS key FROM near GROUP BY a HAVING count(*) >= {MIN_PTS}",
-    "links": "SELECT a, b FROM near WHERE a IN (SELECT key FROM core) AND b IN (SELECT key FROM core)",
-}
-DB_REACH = "reach AS (SELECT key AS a, key AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)"
-DB_REST = {
-    "comp": "SELECT a AS key, min(b) AS root FROM reach GROUP BY a",
-    "named": "SELECT key, dense_rank() OVER (ORDER BY root) - 1 AS label FROM comp",
-    "border": "SELECT n.a AS key, min(m.label) AS label FROM near n JOIN named m ON n.b = m.key WHERE n.a NOT IN (SELECT key FROM core) GROUP BY n.a",
-}
 
 
-def _db_with() -> str:
-    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({t})" for n, t in DB_SQL.items()) + ", " + DB_REACH + ", " + ", ".join(f"{n} AS ({t})" for n, t in DB_REST.items()) + " ")
+def _db_with(eps: float = EPS, min_pts: int = MIN_PTS) -> str:
+    steps = {
+        "pts": DB_POINTS,
+        "near": f"SELECT a.key AS a, b.key AS b FROM pts a JOIN pts b ON b.x BETWEEN a.x - {eps} AND a.x + {eps} AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {eps}",
+        "core": f"SELECT a AS key FROM near GROUP BY a HAVING count(*) >= {min_pts}",
+        "links": "SELECT a, b FROM near WHERE a IN (SELECT key FROM core) AND b IN (SELECT key FROM core)",
+        "reach": "SELECT key AS a, key AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a",
+        "comp": "SELECT a AS key, min(b) AS root FROM reach GROUP BY a",
+        "named": "SELECT key, dense_rank() OVER (ORDER BY root) - 1 AS label FROM comp",
+        "border": "SELECT n.a AS key, min(m.label) AS label FROM near n JOIN named m ON n.b = m.key WHERE n.a NOT IN (SELECT key FROM core) GROUP BY n.a",
+        "labels": "SELECT p.key, coalesce(m.label, b.label, -1) AS prediction, m.key IS NOT NULL AS core FROM pts p LEFT JOIN named m ON p.key = m.key LEFT JOIN border b ON p.key = b.key",
+    }
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({t})" for n, t in steps.items()) + " "
+
+
+def _customers(spark, sf):
+    return X.table(spark, sf, "customer").selectExpr("c_custkey AS key", "c_acctbal / 100 AS x", "CAST(c_nationkey AS DOUBLE) AS y")
 
 
-@query("m14_dbscan", _db_with() + """SELECT p.key, coalesce(m.label, b.label, -1) AS prediction, m.key IS NOT NULL AS core FROM pts p LEFT JOIN named m ON p.key = m.key LEFT JOIN border b ON p.key = b.key""")
+@query("m14_dbscan", _db_with() + "SELECT key, prediction, core FROM labels")
 def m14(spark, sf):
-    df = X.table(spark, sf, "customer").selectExpr("c_custkey AS key", "c_acctbal / 100 AS x", "CAST(c_nationkey AS DOUBLE) AS y")
-    return D.fit_dbscan(df, "key", ["x", "y"], EPS, MIN_PTS)
+    return D.fit_dbscan(_customers(spark, sf), "key", ["x", "y"], EPS, MIN_PTS)
+
+
+# suppliers take the label of the nearest core customer in reach
+@query("m14_assign_dbscan", _db_with() + f"""SELECT s.s_suppkey AS key, coalesce((SELECT min_by(m.label, (sqrt((p.x - s.s_acctbal / 100) ** 2 + (p.y - s.s_nationkey) ** 2), m.label))
+  FROM pts p JOIN named m ON p.key = m.key WHERE sqrt((p.x - s.s_acctbal / 100) ** 2 + (p.y - s.s_nationkey) ** 2) <= {EPS}), -1) AS prediction FROM supplier s""")
+def m14_assign(spark, sf):
+    train = _customers(spark, sf)
+    fitted = D.fit_dbscan(train, "key", ["x", "y"], EPS, MIN_PTS)
+    new = X.table(spark, sf, "supplier").selectExpr("s_suppkey AS key", "s_acctbal / 100 AS x", "CAST(s_nationkey AS DOUBLE) AS y")
+    return D.assign_dbscan(new, "key", ["x", "y"], fitted, train, EPS)
+
+
+SEARCH = [(1.0, 4), (1.0, 6), (1.5, 4), (1.5, 6)]
+TRIAL_SQL = ("SELECT CAST({0} AS DOUBLE) AS eps, CAST({1} AS INT) AS min_pts, CAST(count(DISTINCT prediction) FILTER (WHERE prediction >= 0) AS INT) AS n_clusters, "
+             "{2} AS noise_percentage FROM labels")
+
+
+@query("m14_search_dbscan", " UNION ALL ".join(f"SELECT *, n_clusters >= 2 AND noise_percentage < 80 AS valid FROM ({_db_with(e, m)}" + TRIAL_SQL.format(e, m, r('avg(CAST(prediction = -1 AS INT)) * 100')) + ")" for e, m in SEARCH))
+def m14_search(spark, sf):
+    _, trials = D.search_dbscan(_customers(spark, sf), "key", ["x", "y"], [1.0, 1.5], [4, 6])
+    wanted = F.array(*[F.struct(F.lit(e).alias("eps"), F.lit(m).alias("min_pts")) for e, m in SEARCH])
+    return rounded(trials.where(F.array_contains(wanted, F.struct("eps", "min_pts"))).drop("silhouette"))
+
+
+def _scored_lines(spark, sf):
+    df = T.assemble(X.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice AS label"), ["l_quantity"])
+    model = PipelineModel([M.regressor("linear_regression", regParam=0.0).fit(df)])
+    return SC.score_regression(model, df, ["l_quantity"], ["l_orderkey", "l_linenumber", "l_quantity"], "label")
+
+
+@query("g3_score_regression", f"""WITH line AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem)
+  SELECT l_quantity, count(*) AS n, {r('avg(a * l_quantity + b)', 2)} AS prediction, {r('avg(l_extendedprice - (a * l_quantity + b))', 2)} AS residual,
+  {r('avg(abs(l_extendedprice - (a * l_quantity + b)))', 2)} AS absolute_error FROM lineitem, line GROUP BY l_quantity""")
+def g3_scored(spark, sf):
+    out = _scored_lines(spark, sf).groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("prediction", "residual", "absolute_error")])
+    return rounded(out, 2)
 
 
 FEATURES = ["price", "balance", "nation", "noise1", "noise2"]
