@@ -74,18 +74,14 @@ def calinski_harabasz(df: DataFrame, features: str = "features", cluster: str =
 
 
 def _calinski(table: DataFrame, by: Sequence[str]) -> DataFrame:
-    vec = array_to_vector("centre")
-    total = table.groupBy(*by).agg(
-        Summarizer.metrics("mean", "variance").summary(vec, F.col("size").cast("double")).alias("_s"),
-        F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_k"), F.sum("within").alias("_w"),
-        _gathered_list("centre", "size"))
-    between = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["size"] * _sq(x["centre"], vector_to_array("_s.mean")))
-    ratio = F.try_divide(between / F.nullif(F.col("_k") - 1, F.lit(0)), F.col("_w") / F.nullif(F.col("_n") - F.col("_k"), F.lit(0)))
-    return total.select(*by, ratio.alias("calinski_harabasz"))
-
-
-def _gathered_list(*columns: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct("cluster", *columns))).alias("_c")
+    """Totals of each group, then the distances of its centres from the mean as a grouped sum: no group is gathered."""
+    keys = [*by, "_all"]
+    table = table.withColumn("_all", F.lit(1))
+    mean = Summarizer.metrics("mean").summary(array_to_vector("centre"), F.col("size").cast("double"))
+    total = table.groupBy(*keys).agg(vector_to_array(mean["mean"]).alias("_m"), F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_k"), F.sum("within").alias("_w"))
+    between = join_groups(table, total.select(*keys, "_m"), keys).groupBy(*keys).agg(F.sum(F.col("size") * _sq(F.col("centre"), F.col("_m"))).alias("_b"))
+    ratio = F.try_divide(F.col("_b") / F.nullif(F.col("_k") - 1, F.lit(0)), F.col("_w") / F.nullif(F.col("_n") - F.col("_k"), F.lit(0)))
+    return join_groups(total, between, keys).select(*by, ratio.alias("calinski_harabasz"))
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
