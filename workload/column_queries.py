@@ -41,11 +41,17 @@ def p3(spark, sf):
     return d.select(F.col("column").alias("column_name"), "kept")
 
 
-@query("p4_split_kinds", """SELECT column_name, CASE WHEN column_type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS kind
-  FROM (DESCRIBE SELECT * FROM orders)""")
+ORDER_KINDS = {"o_orderkey": "numeric", "o_custkey": "numeric", "o_totalprice": "numeric", "o_orderdate": "numeric", "o_orderstatus": "categorical", "o_orderpriority": "categorical"}
+
+
+# the kind of every column beside what its rows hold
+@query("p4_split_kinds", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS kind, count({c}) AS present, count(DISTINCT {c}) AS distinct_values FROM orders" for c, k in ORDER_KINDS.items()))
 def p4(spark, sf):
-    cats, nums = C.split_by_kind(X.table(spark, sf, "orders"))
-    return spark.createDataFrame([(c, "categorical") for c in cats] + [(c, "numeric") for c in nums], "column_name string, kind string")
+    orders = X.table(spark, sf, "orders")
+    cats, nums = C.split_by_kind(orders)
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind"), F.count(c).alias("present"), F.countDistinct(c).alias("distinct_values"))
+            for k, cols in (("categorical", cats), ("numeric", nums)) for c in cols]
+    return orders.agg(F.array(*rows).alias("_r")).select(F.inline("_r"))
 
 
 @query("p5_cardinality_filter", sql(" UNION ALL ".join(
@@ -77,9 +83,10 @@ def p9(spark, sf):
     return C.sample_rows(X.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.3)
 
 
-@query("p10_numeric_gate", """SELECT column_name FROM (DESCRIBE SELECT * FROM lineitem) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE')""")
+@query("p10_numeric_gate", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
 def p10(spark, sf):
-    return spark.createDataFrame([(c,) for c in C.numeric_columns(X.table(spark, sf, "lineitem"))], "column_name string")
+    lines = X.table(spark, sf, "lineitem")
+    return lines.select(*C.numeric_columns(lines))
 
 
 @query("p11_clustering_columns", "SELECT o_totalprice, o_orderpriority FROM orders")
