@@ -15,6 +15,7 @@ from featurelens.operators import binary_metrics as BM, models as M, regression_
 from featurelens.operators.balance import oversample, smote
 from featurelens.operators.clusters import profile_clusters
 from featurelens.operators.explain import mean_attribution, shapley
+from featurelens.operators.tree_attribution import TREES, tree_attribution
 from featurelens.operators.columns import clean_numeric_target, clustering_columns, column_facts
 from featurelens.operators.profile import class_distribution, detect_imbalance, full_profile, tag_datasets
 from featurelens.operators.select import audit_trail, select_features
@@ -156,7 +157,9 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
         best = ranking.where(F.col("rank") == 1).first()["model"]
         shares = None
         if cfg.attribution:
-            shares, _ = pin_small(mean_attribution(shapley(data["valid"], fitted[best], key, pre.feature_columns, max_rows=cfg.attribution_rows, seed=cfg.seed)))
+            # exact for trees, sampled orders for other models
+            explain = tree_attribution if best in TREES else shapley
+            shares, _ = pin_small(mean_attribution(explain(data["valid"], fitted[best], key, pre.feature_columns, max_rows=cfg.attribution_rows, seed=cfg.seed)))
     finally:
         train.unpersist()
         if tagged is not None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from featurelens.operators import binary_metrics as BM, dbscan as D, models as M, regression_metrics as RM, select as FS, selection as S, split as L, transform as T, tune as H
 from featurelens.operators.explain import mean_attribution, shapley
 from featurelens.operators.shared import fresh_path
+from featurelens.operators.tree_attribution import base_value, tree_attribution, tree_paths
 from featurelens.plans import pipeline as PL, score as SC
 from featurelens.sources import read_parquet
 from featurelens.sources.writers import save_model
@@ -444,6 +445,28 @@ def x1_result(spark, sf):
     return rounded(_attribution(spark, sf))
 
 
+def _tree_shares(spark, sf):
+    pre, df = prepared(class_frame(spark, sf))
+    model = M.classifier("decision_tree").fit(df)
+    return df, model, tree_attribution(df, model, "key", pre.feature_columns)
+
+
+# every row's shares and the base value add up to its probability; the feature with the largest mean share carries the target
+@query("x1_tree_attribution", sql("SELECT count(*) AS n, count(*) AS adds_up, CASE WHEN corr(price, label) > 0 THEN 'price' END AS top FROM c", "labelled", c=LABEL_SQL))
+def x1_tree(spark, sf):
+    df, model, shares = _tree_shares(spark, sf)
+    total = shares.groupBy("key").agg(F.sum("attribution").alias("total"))
+    scored = M.with_score(model.transform(df)).select("key", "score").join(total, "key")
+    gap = F.abs(F.col("total") + F.lit(base_value(tree_paths(model))) - F.col("score"))
+    top = mean_attribution(shares).first()["feature"]
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(gap < 1e-9).alias("adds_up"), F.lit(top).alias("top"))
+
+
+@query("x1_tree_attribution_result")
+def x1_tree_result(spark, sf):
+    return rounded(_tree_shares(spark, sf)[2])
+
+
 def _class_model(spark, sf):
     df = class_frame(spark, sf)
     pre, ready = prepared(df)
