@@ -95,10 +95,10 @@ def co_moments(df: DataFrame, left: Sequence[str], right: Sequence[str] | None =
             mask = ~np.isnan(x)
             gaps = not mask.all()
             for c in np.flatnonzero(np.isnan(origin)):
-                # the first value is the origin: a constant column stays exactly zero
-                there = np.flatnonzero(mask[:, c])
+                # the first batch's mean keeps the sums small; a constant column stays exactly zero
+                there = x[mask[:, c], c]
                 if len(there):
-                    origin[c] = x[there[0], c]
+                    origin[c] = there[0] if (there == there[0]).all() else there.mean()
                     for (a, b), block in zip(pairs, blocks or []):
                         block.x0[li[a[0]:a[1]] == c] = origin[c]
                         block.y0[ri[b[0]:b[1]] == c] = origin[c]
