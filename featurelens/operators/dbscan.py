@@ -209,12 +209,14 @@ def _join_separate_cells(core: DataFrame, comp: DataFrame, nodes: DataFrame, edg
 
 
 def assign_dbscan(new: DataFrame, key: str, features: Sequence[str], fitted: DataFrame, train: DataFrame, eps: float) -> DataFrame:
-    """New rows take the label of the nearest core row within ``eps``, else noise."""
+    """New rows take the label of the nearest core row within ``eps``, else noise; all are noise if there is no core row."""
     def vectors(df: DataFrame) -> DataFrame:
         return df.withColumn("vec", F.array(*[as_double(f, field_type(df, f)) for f in features]))
 
     cores = vectors(train).join(fitted.where("core"), key).groupBy("vec").agg(F.min("prediction").alias("prediction"))
     asked = vectors(new).select(F.col(key).alias("_key"), "vec")
+    if cores.isEmpty():
+        return asked.select(F.col("_key").alias(key), F.lit(NOISE).alias("prediction"))
     cells = make_cells(cores)
     points = asked.select("vec").distinct()
     # queries may lie outside the cells of the core rows

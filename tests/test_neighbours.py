@@ -153,3 +153,9 @@ def test_smote_with_few_rows_replicates(spark):
     df = spark.range(500).select("id", (F.col("id") < 2).cast("int").alias("y"), F.col("id").cast("double").alias("x"))
     made = B.smote(df, "y", "id", ["x"], 0.1, 5).where("synthetic")
     assert {r["x"] for r in made.collect()} <= {0.0, 1.0} and made.count() > 10
+
+
+def test_assign_without_core_rows(spark):
+    df = spark.createDataFrame([(i, float(i * 1000)) for i in range(6)], "id bigint, x double")
+    fitted = D.fit_dbscan(df, "id", ["x"], 0.5, 3)
+    assert {r["prediction"] for r in D.assign_dbscan(df, "id", ["x"], fitted, df, 0.5).collect()} == {-1}
