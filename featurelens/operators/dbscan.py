@@ -10,7 +10,7 @@ compared in full.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from featurelens.operators.neighbours import (
     POINT_CHUNK, QUERY_CHUNK, blocks, chunk_apply, distances, make_cells, stack, objects,
 )
 from featurelens.operators.ordering import numbered
-from featurelens.operators.shared import ensure_checkpoint_dir, local_frame
+from featurelens.operators.shared import ensure_checkpoint_dir
 
 NOISE = -1
 REPRESENTATIVES = 16
@@ -36,7 +36,7 @@ CONSERVATIVE_MIN_PTS = [2, 3]
 MAX_NOISE_PERCENT = 80.0
 
 
-def _node(column):
+def cell_node(column):
     return F.md5(F.to_json(F.struct(column)).cast("binary"))
 
 
@@ -74,7 +74,7 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
     gap = F.exists("vec", lambda x: x.isNull())
     rows = every.where(~gap)
     pts = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("_key").alias("first"))
-    pts = pts.withColumn("cell", F.transform("vec", lambda x: F.floor(x / side))).withColumn("cell", _node(F.col("cell")))
+    pts = pts.withColumn("cell", F.transform("vec", lambda x: F.floor(x / side))).withColumn("cell", cell_node(F.col("cell")))
     sizes = pts.groupBy("cell").agg(F.sum("weight").alias("held"))
     dense = sizes.where(F.col("held") >= min_pts).select("cell", F.lit(True).alias("dense"))
     pts = salted_join(pts, dense, ["cell"], "left", salt_by=["vec"]).withColumn("dense", F.coalesce("dense", F.lit(False))).checkpoint()
@@ -93,13 +93,10 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
     pts = pts.join(counted, "vec", "left").select(
         "vec", "weight", "first", "cell", "dense", (F.col("dense") | F.col("n").isNotNull()).alias("core"))
     # a dense cell is one node, any other core point is a node of its own
-    pts = pts.withColumn("node", F.when(F.col("dense"), F.col("cell")).otherwise(_node(F.col("vec")))).checkpoint()
+    pts = pts.withColumn("node", F.when(F.col("dense"), F.col("cell")).otherwise(cell_node(F.col("vec")))).checkpoint()
     core = pts.where("core")
 
-    extremes = [agg("vec", F.struct(F.get("vec", F.lit(i)), "vec")).alias(f"e{i}{s}")
-                for i in range(min(d, REPRESENTATIVES // 2)) for agg, s in ((F.min_by, "a"), (F.max_by, "b"))]
-    heads = core.where("dense").groupBy("node").agg(*extremes)
-    heads = heads.select("node", F.explode(F.array_distinct(F.array(*[c for c in heads.columns if c != "node"]))).alias("vec"))
+    heads = heads_of_cells(core.where("dense"), d)
     asking = core.where(~F.col("dense")).select("vec", "node").unionByName(heads.select("vec", "node"))
 
     def link(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -140,6 +137,42 @@ def fit_dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min
                       F.coalesce("core", F.lit(False)).alias("core"))
 
 
+def heads_of_cells(dense: DataFrame, d: int) -> DataFrame:
+    """``node, vec``: a few extreme points of every dense cell."""
+    extremes = [agg("vec", F.struct(F.get("vec", F.lit(i)), "vec")).alias(f"e{i}{s}")
+                for i in range(min(d, REPRESENTATIVES // 2)) for agg, s in ((F.min_by, "a"), (F.max_by, "b"))]
+    heads = dense.groupBy("node").agg(*extremes)
+    return heads.select("node", F.explode(F.array_distinct(F.array(*[c for c in heads.columns if c != "node"]))).alias("vec"))
+
+
+def compare_cells(own: DataFrame, boxes: DataFrame, pairs: DataFrame, limit: float,
+                  fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Run ``fn`` on chunks of the rows of both cells of each pair that are within ``limit`` of the other cell's box."""
+    box = boxes.select("node", "lo", "hi")
+    sides = pairs.join(box.withColumnsRenamed({"node": "u", "lo": "ulo", "hi": "uhi"}), "u").join(
+        box.withColumnsRenamed({"node": "v", "lo": "vlo", "hi": "vhi"}), "v")
+
+    def gap(lo: str, hi: str):
+        return F.sqrt(F.aggregate(F.zip_with("vec", F.arrays_zip(lo, hi), lambda x, b: F.pow(
+            F.greatest(b[lo] - x, x - b[hi], F.lit(0.0)), 2)), F.lit(0.0), lambda a, x: a + x))
+
+    # only rows within reach of the other box can make the link
+    a = salted_join(own.withColumnRenamed("node", "u"), sides.select("u", "v", "vlo", "vhi"), ["u"], salt_by=["vec"]).where(
+        gap("vlo", "vhi") <= limit).select("u", "v", "vec")
+    # new attribute names, as both sides come from the same frames
+    b = salted_join(own.toDF("node", "vec").withColumnRenamed("node", "v"), sides.toDF(*sides.columns).select("u", "v", "ulo", "uhi"), ["v"], salt_by=["vec"]).where(
+        gap("ulo", "uhi") <= limit).select("u", "v", "vec")
+    na = a.groupBy("u", "v").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("_nq"))
+    nb = b.groupBy("u", "v").agg(F.ceil(F.count(F.lit(1)) / POINT_CHUNK).cast("int").alias("_ns"))
+    counts = na.join(nb, ["u", "v"])
+    a = a.join(counts, ["u", "v"]).withColumn("_qc", F.pmod(F.xxhash64("vec"), F.col("_nq"))).withColumn(
+        "_sc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ns") - F.lit(1).cast("bigint"))))
+    b = b.join(counts.toDF(*counts.columns), ["u", "v"]).withColumn("_sc", F.pmod(F.xxhash64("vec"), F.col("_ns"))).withColumn(
+        "_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq") - F.lit(1).cast("bigint"))))
+    keys = ["u", "v", "_qc", "_sc"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, schema)
+
+
 def _join_separate_cells(core: DataFrame, comp: DataFrame, nodes: DataFrame, edges: DataFrame, d: int, eps: float) -> DataFrame:
     """Full comparison of dense cells in different components whose boxes are within ``eps``."""
     dims = range(d)
@@ -169,27 +202,6 @@ def _join_separate_cells(core: DataFrame, comp: DataFrame, nodes: DataFrame, edg
     pairs = chunk_apply(cells, boxes, boxes, reach, close, "u string, v string").checkpoint()
     if pairs.isEmpty():
         return comp
-    box = boxes.select("node", "lo", "hi")
-    sides = pairs.join(box.withColumnsRenamed({"node": "u", "lo": "ulo", "hi": "uhi"}), "u").join(
-        box.withColumnsRenamed({"node": "v", "lo": "vlo", "hi": "vhi"}), "v")
-
-    def gap(lo: str, hi: str):
-        return F.sqrt(F.aggregate(F.zip_with("vec", F.arrays_zip(lo, hi), lambda x, b: F.pow(
-            F.greatest(b[lo] - x, x - b[hi], F.lit(0.0)), 2)), F.lit(0.0), lambda a, x: a + x))
-
-    own = core.where("dense").select("node", "vec")
-    # only rows within eps of the other box can make the link
-    a = salted_join(own.withColumnRenamed("node", "u"), sides.select("u", "v", "vlo", "vhi"), ["u"], salt_by=["vec"]).where(
-        gap("vlo", "vhi") <= eps).select("u", "v", "vec")
-    b = salted_join(own.withColumnRenamed("node", "v"), sides.select("u", "v", "ulo", "uhi"), ["v"], salt_by=["vec"]).where(
-        gap("ulo", "uhi") <= eps).select("u", "v", "vec")
-    na = a.groupBy("u", "v").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("_nq"))
-    nb = b.groupBy("u", "v").agg(F.ceil(F.count(F.lit(1)) / POINT_CHUNK).cast("int").alias("_ns"))
-    counts = na.join(nb, ["u", "v"])
-    a = a.join(counts, ["u", "v"]).withColumn("_qc", F.pmod(F.xxhash64("vec"), F.col("_nq"))).withColumn(
-        "_sc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ns") - F.lit(1).cast("bigint"))))
-    b = b.join(counts, ["u", "v"]).withColumn("_sc", F.pmod(F.xxhash64("vec"), F.col("_ns"))).withColumn(
-        "_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq") - F.lit(1).cast("bigint"))))
 
     def touch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not left.empty and not right.empty:
@@ -199,26 +211,17 @@ def _join_separate_cells(core: DataFrame, comp: DataFrame, nodes: DataFrame, edg
                     return pd.DataFrame({"u": objects([left["u"].iloc[0]]), "v": objects([left["v"].iloc[0]])})
         return pd.DataFrame({"u": objects([]), "v": objects([])})
 
-    keys = ["u", "v", "_qc", "_sc"]
-    more = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(touch, "u string, v string").distinct()
+    more = compare_cells(core.where("dense").select("node", "vec"), boxes, pairs, eps, touch, "u string, v string").distinct()
     lifted = more.join(comp.withColumnsRenamed({"node": "u", "component": "cu"}), "u").join(
         comp.withColumnsRenamed({"node": "v", "component": "cv"}), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     groups = connected_components(comp.select(F.col("component").alias("node")).distinct(), lifted)
-    return comp.join(groups.withColumnsRenamed({"node": "component", "component": "whole"}), "component").select(
+    return comp.join(groups.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component").select(
         "node", F.col("whole").alias("component"))
 
 
-def assign_dbscan(new: DataFrame, key: str, features: Sequence[str], fitted: DataFrame, train: DataFrame, eps: float) -> DataFrame:
-    """New rows take the label of the nearest core row within ``eps``, else noise; all are noise if there is no core row."""
-    def vectors(df: DataFrame) -> DataFrame:
-        return df.withColumn("vec", F.array(*[as_double(f, field_type(df, f)) for f in features]))
-
-    cores = vectors(train).join(fitted.where("core"), key).groupBy("vec").agg(F.min("prediction").alias("prediction"))
-    asked = vectors(new).select(F.col(key).alias("_key"), "vec")
-    if cores.isEmpty():
-        return asked.select(F.col("_key").alias(key), F.lit(NOISE).alias("prediction"))
+def nearest_core_labels(points: DataFrame, cores: DataFrame, eps: float) -> DataFrame:
+    """``vec, prediction`` for the points with a core row within ``eps``: the label of the nearest, ties to the smallest."""
     cells = make_cells(cores)
-    points = asked.select("vec").distinct()
     # queries may lie outside the cells of the core rows
     far = points.select(cells.nearest()("vec").alias("_n")).groupBy("_n.cell").agg(F.max("_n.dist").alias("u")).collect()
     for r in far:
@@ -237,46 +240,18 @@ def assign_dbscan(new: DataFrame, key: str, features: Sequence[str], fitted: Dat
 
     found = chunk_apply(cells, points, cores, np.full(len(cells.pivots), float(eps)), nearest,
                         "vec array<double>, distance double, prediction int")
-    best = found.groupBy("vec").agg(F.min_by("prediction", F.struct("distance", "prediction")).alias("prediction"))
-    out = salted_join(asked, best, ["vec"], "left", salt_by=["_key"])
-    return out.select(F.col("_key").alias(key), F.coalesce("prediction", F.lit(NOISE)).alias("prediction"))
+    return found.groupBy("vec").agg(F.min_by("prediction", F.struct("distance", "prediction")).alias("prediction"))
 
 
-def search_dbscan(df: DataFrame, key: str, features: Sequence[str], eps_values: Sequence[float] = tuple(EPS_GRID),
-                  min_pts_values: Sequence[int] = tuple(MIN_PTS_GRID)) -> tuple[DataFrame, DataFrame]:
-    """M14 grid: the fitted labels with the best silhouette among runs with at least two
-    clusters and under 80 % noise; then the conservative grid; then one cluster for all.
+def assign_dbscan(new: DataFrame, key: str, features: Sequence[str], fitted: DataFrame, train: DataFrame, eps: float) -> DataFrame:
+    """New rows take the label of the nearest core row within ``eps``, else noise; all are noise if there is no core row."""
+    def vectors(df: DataFrame) -> DataFrame:
+        return df.withColumn("vec", F.array(*[as_double(f, field_type(df, f)) for f in features]))
 
-    The grid is the same at every size of the table. Returns ``(labels, trials)``.
-    """
-    from featurelens.operators.cluster_metrics import noise_summary
-    vec = F.array(*[as_double(f, field_type(df, f)) for f in features])
-    base = df.select(key, vec.alias("features"))
-    trials, best = [], None
-
-    def run(eps: float, min_pts: int, noise_limit: float):
-        labels = fit_dbscan(df, key, features, eps, min_pts).checkpoint()
-        s = noise_summary(base.join(labels, key)).first()
-        good = s["n_clusters"] >= 2 and s["silhouette"] > -1.0 and s["noise_percentage"] < noise_limit
-        trials.append((float(eps), int(min_pts), int(s["n_clusters"]), float(s["noise_percentage"]), float(s["silhouette"]), bool(good)))
-        return labels, s["silhouette"], good
-
-    for eps in eps_values:
-        for m in min_pts_values:
-            labels, score, good = run(eps, m, MAX_NOISE_PERCENT)
-            if good and (best is None or score > best[1]):
-                best = (labels, score)
-    if best is None:
-        for eps in CONSERVATIVE_EPS:
-            for m in CONSERVATIVE_MIN_PTS:
-                labels, score, good = run(eps, m, 100.0 + 1e-9)
-                if good:
-                    best = (labels, score)
-                    break
-            if best:
-                break
-    if best is None:
-        best = (df.select(key, F.lit(0).alias("prediction"), F.lit(True).alias("core")), 0.0)
-    table = local_frame(
-        df.sparkSession, trials, "eps double, min_pts int, n_clusters int, noise_percentage double, silhouette double, valid boolean")
-    return best[0], table
+    cores = vectors(train).join(fitted.where("core"), key).groupBy("vec").agg(F.min("prediction").alias("prediction"))
+    asked = vectors(new).select(F.col(key).alias("_key"), "vec")
+    if cores.isEmpty():
+        return asked.select(F.col("_key").alias(key), F.lit(NOISE).alias("prediction"))
+    best = nearest_core_labels(asked.select("vec").distinct(), cores, eps)
+    out = salted_join(asked, best, ["vec"], "left", salt_by=["_key"])
+    return out.select(F.col("_key").alias(key), F.coalesce("prediction", F.lit(NOISE)).alias("prediction"))

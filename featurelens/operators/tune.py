@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from featurelens.functions.expressions import unit_hash
 from featurelens.operators import models as M
+from featurelens.operators.dbscan import NOISE
 from featurelens.operators.shared import local_frame
 
 # Search spaces per model.
@@ -168,14 +169,18 @@ def cross_validate(df: DataFrame, task: str, name: str, folds: int = 5, fold_col
     return fitted.bestModel, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
 
 
-def cluster_folds(df: DataFrame, name: str, k: int, folds: int = 5, fold_column: str = "fold", **params) -> DataFrame:
-    """H7: quality on the held-out fold of models fitted on the other folds, one row per fold."""
+def cluster_folds(df: DataFrame, name: str, k: int | None = None, folds: int = 5, fold_column: str = "fold",
+                  fit: Callable[[DataFrame], Model] | None = None, **params) -> DataFrame:
+    """H7: quality on the held-out fold of models fitted on the other folds, one row per fold.
+
+    ``fit`` replaces the estimator ``name``. Noise counts as no cluster; a fold without clustered rows has no row.
+    """
     from featurelens.operators.cluster_metrics import evaluate_clusters
+    fit = fit or M.clusterer(name, k, **params).fit
     out = None
     for fold in range(folds):
-        model = M.clusterer(name, k, **params).fit(df.where(F.col(fold_column) != fold))
-        held = model.transform(df.where(F.col(fold_column) == fold))
-        part = evaluate_clusters(held, by=[fold_column])
+        held = fit(df.where(F.col(fold_column) != fold)).transform(df.where(F.col(fold_column) == fold))
+        part = evaluate_clusters(held.where(F.col("prediction") != NOISE), by=[fold_column])
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -16,6 +16,8 @@ from featurelens.operators.balance import oversample, smote
 from featurelens.operators.clusters import profile_clusters
 from featurelens.operators.explain import mean_attribution, shapley
 from featurelens.operators.tree_attribution import TREES, tree_attribution
+from featurelens.operators.dbscan import NOISE
+from featurelens.operators.density import fit_density_model
 from featurelens.operators.columns import clean_numeric_target, clustering_columns, column_facts
 from featurelens.operators.profile import class_distribution, detect_imbalance, full_profile, tag_datasets
 from featurelens.operators.select import audit_trail, select_features
@@ -70,6 +72,7 @@ class FitResult:
     key: str | None = None
     cross_validation: DataFrame | None = None           # model, mean and std of the fold metric
     attribution: DataFrame | None = None
+    trials: DataFrame | None = None                     # settings tried by a density search
 
     def save(self, path: str) -> None:
         save_model(self.metrics.sparkSession, self.model, path, {
@@ -223,7 +226,12 @@ NOT_FOR_CLUSTERS = {"auto_balance", "balance_method", "balance_ratio", "metric",
 
 def fit_clusterer(df: DataFrame, key: str, config: FitConfig | None = None, k_range: Sequence[int] = (2, 3, 4, 5),
                   method: str = "silhouette", later: dict[str, DataFrame] | None = None) -> FitResult:
-    """L3: unsupervised preprocessing, every algorithm over the k range, quality per dataset, choice."""
+    """L3: unsupervised preprocessing, every algorithm over the k range, quality per dataset, choice.
+
+    ``dbscan`` searches its grid on the train part (``params["dbscan"]``: ``eps_values``, ``min_pts_values``, or a fixed
+    ``eps`` and ``min_pts``); the rows of all parts take the label of the nearest core row in reach. Noise counts as no
+    cluster: quality leaves it out, ``noise_count`` gives its rows.
+    """
     from featurelens.operators.cluster_metrics import evaluate_clusters
     cfg = config or FitConfig()
     unused = [f.name for f in fields(cfg) if f.name in NOT_FOR_CLUSTERS and getattr(cfg, f.name) != f.default]
@@ -244,19 +252,31 @@ def fit_clusterer(df: DataFrame, key: str, config: FitConfig | None = None, k_ra
         everything = everything.unionByName(d.withColumn("dataset", F.lit(name)))
     tagged = pre.transform(everything).select(key, "dataset", "features")
     try:
-        fitted, rows, folds = {}, None, None
+        fitted, rows, folds, trials = {}, None, None, None
         check = tune.use_cross_validation(cfg.cross_validation, train.count(), bool(later))
         for name in list(cfg.models) or ["kmeans", "bisecting_kmeans"]:
-            models, table = M.fit_k_range(train, name, k_range, **cfg.params.get(name, {}))
-            k = int(S.choose_k(table).first()["best_k"])
-            fitted[name] = models[k]
+            params = cfg.params.get(name, {})
+            if name == "dbscan":
+                fitted[name], trials = fit_density_model(train, key, **params)
+                again = _same_density(fitted[name], key)
+            else:
+                models, table = M.fit_k_range(train, name, k_range, **params)
+                k = int(S.choose_k(table).first()["best_k"])
+                fitted[name], again = models[k], M.clusterer(name, k, **params).fit
             if check:
-                held = tune.fold_summary(tune.cluster_folds(with_folds(train, key, cfg.folds, cfg.seed), name, k, cfg.folds, **cfg.params.get(name, {})))
+                held = tune.fold_summary(tune.cluster_folds(with_folds(train, key, cfg.folds, cfg.seed), name, folds=cfg.folds, fit=again))
                 held = held.select(F.lit(name).alias("model"), "metric", "mean", "std", "min", "max", "folds")
                 folds = held if folds is None else folds.unionByName(held)
-            wide = evaluate_clusters(models[k].transform(tagged), by=["dataset"])
-            part = BM.to_metric_rows(wide, ["dataset"], ["silhouette", "calinski_harabasz", "davies_bouldin", "inertia", "num_clusters", "sample_count"])
-            part = part.withColumn("model", F.lit(name))
+            placed = fitted[name].transform(tagged).select("dataset", "features", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                wide = evaluate_clusters(placed.where(F.col("prediction") != NOISE), by=["dataset"])
+                part = BM.to_metric_rows(wide, ["dataset"], ["silhouette", "calinski_harabasz", "davies_bouldin", "inertia", "num_clusters", "sample_count"])
+                if name == "dbscan":
+                    noise = placed.groupBy("dataset").agg(F.count_if(F.col("prediction") == NOISE).alias("noise_count"))
+                    part = part.unionByName(BM.to_metric_rows(noise, ["dataset"], ["noise_count"]))
+                part, _ = pin_small(part.withColumn("model", F.lit(name)))
+            finally:
+                placed.unpersist()
             rows = part if rows is None else rows.unionByName(part)
         rows, _ = pin_small(rows)
         folds = None if folds is None else pin_small(folds)[0]
@@ -271,7 +291,13 @@ def fit_clusterer(df: DataFrame, key: str, config: FitConfig | None = None, k_ra
     types = {f.name: f.dataType.simpleString() for f in df.schema if f.name != key}
     used = set(cats) | set(nums)
     trail = audit_trail(df.sparkSession, types, [*why, *[(c, "kinds", "not a feature") for c in types if c not in used and c not in gone]], [*cats, *nums])
-    return FitResult(model, "clustering", best, rows, ranking, pre, trail, profile, None, key, folds)
+    return FitResult(model, "clustering", best, rows, ranking, pre, trail, profile, None, key, folds, trials=trials)
+
+
+def _same_density(model, key: str):
+    """Fit of other rows with the setting of ``model``."""
+    eps, min_pts = model.getOrDefault(model.eps), model.getOrDefault(model.minPts)
+    return lambda df: model if eps < 0 else fit_density_model(df, key, eps, min_pts)[0]
 
 
 def cross_validation_frame(parts: Sequence[DataFrame], key: str, folds: int = 5, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featurelens.operators.cluster_metrics import silhouette
+from featurelens.operators.dbscan import NOISE
 from featurelens.operators.transform import check_columns
 from featurelens.sources.readers import load_source
 from featurelens.sources.writers import load_model
@@ -39,11 +40,11 @@ def score_regression(model: PipelineModel, df: DataFrame, required: Sequence[str
 
 
 def score_clusters(model: PipelineModel, df: DataFrame, required: Sequence[str], keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Assignments (with the original columns) and a summary with sizes and silhouette."""
+    """Assignments (with the original columns) and a summary with sizes and silhouette (without noise)."""
     check_columns(df, [*required, *keys])
     out = model.transform(df)
     sizes = out.groupBy("prediction").agg(F.count(F.lit(1)).alias("size"))
-    quality = silhouette(out).withColumn("_k", F.lit(1))
+    quality = silhouette(out.where(F.col("prediction") != NOISE)).withColumn("_k", F.lit(1))
     return out, sizes.withColumn("_k", F.lit(1)).join(quality, "_k").drop("_k")
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from featurelens.operators import balance as B, dbscan as D
+from featurelens.operators import balance as B, dbscan as D, density as G
 from featurelens.operators.components import connected_components
 from featurelens.operators.neighbours import distinct_points, knn
 import featurelens.operators.components as CO
@@ -90,7 +90,7 @@ def test_new_rows_take_the_nearest_core_label(spark):
 
 def test_dbscan_search_falls_back_to_one_cluster(spark):
     df = spark.createDataFrame([(i, float(i * 1000)) for i in range(6)], "id bigint, x double")
-    labels, trials = D.search_dbscan(df, "id", ["x"], [0.1], [3])
+    labels, trials = G.search_dbscan(df, "id", ["x"], [0.1], [3])
     assert {r["prediction"] for r in labels.collect()} == {0}
     assert trials.where("valid").count() == 0
 

@@ -91,6 +91,20 @@ def test_clustering_fit(flowers):
     assert SC.score_clusters(res.model, flowers, res.preprocessor.raw_columns, ["key"])[0].count() == 600
 
 
+def test_clustering_fit_with_density(flowers, tmp_path):
+    cfg = PL.FitConfig(models=("kmeans", "dbscan"), params={"dbscan": {"eps_values": [0.3, 0.6], "min_pts_values": [4, 8]}}, cross_validation="always", folds=2, profile=True)
+    res = PL.fit_clusterer(flowers.drop("kind"), "key", cfg, (2, 3))
+    assert res.trials.count() >= 4 and "sizes" in res.profile
+    held = res.metrics.where("model = 'dbscan' AND metric IN ('sample_count', 'noise_count')").agg(F.sum("value")).first()[0]
+    assert held == 600
+    assert {r["model"] for r in res.cross_validation.collect()} == {"kmeans", "dbscan"}
+    only = PL.fit_clusterer(flowers.drop("kind"), "key", PL.FitConfig(models=("dbscan",), params={"dbscan": {"eps": 0.5, "min_pts": 4}}))
+    assert only.best == "dbscan" and only.trials is None
+    only.save(str(tmp_path / "m"))
+    SC.score(flowers.sparkSession, str(tmp_path / "m"), flowers, str(tmp_path / "out"))
+    assert flowers.sparkSession.read.parquet(str(tmp_path / "out")).count() == 600
+
+
 def test_attributions_sum_to_the_change_of_the_output(flowers):
     df = T.assemble(flowers.withColumn("label", F.col("width") * 2 + F.col("length")), ["width", "length"])
     model = M.regressor("linear_regression", regParam=0.0).fit(df)

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from featurelens.operators import binary_metrics as BM, dbscan as D, models as M, regression_metrics as RM, select as FS, selection as S, split as L, transform as T, tune as H
+from featurelens.operators import binary_metrics as BM, dbscan as D, density as DG, models as M, regression_metrics as RM, select as FS, selection as S, split as L, transform as T, tune as H
 from featurelens.operators.explain import mean_attribution, shapley
 from featurelens.operators.shared import fresh_path
 from featurelens.operators.tree_attribution import base_value, tree_attribution, tree_paths
@@ -201,11 +201,17 @@ TRIAL_SQL = ("SELECT CAST({0} AS DOUBLE) AS eps, CAST({1} AS INT) AS min_pts, CA
 
 @query("m14_search_dbscan", " UNION ALL ".join(f"SELECT *, n_clusters >= 2 AND noise_percentage < 80 AS valid FROM ({_db_with(e, m)}" + TRIAL_SQL.format(e, m, r('avg(CAST(prediction = -1 AS INT)) * 100')) + ")" for e, m in SEARCH))
 def m14_search(spark, sf):
-    _, trials = D.search_dbscan(_customers(spark, sf), "key", ["x", "y"], [1.0, 1.5], [4, 6])
+    _, trials = DG.search_dbscan(_customers(spark, sf), "key", ["x", "y"], [1.0, 1.5], [4, 6])
     wanted = F.array(*[F.struct(F.lit(e).alias("eps"), F.lit(m).alias("min_pts")) for e, m in SEARCH])
     return rounded(trials.where(F.array_contains(wanted, F.struct("eps", "min_pts"))).drop("silhouette"))
 
 
+# the rows of all settings, found in one pass
+@query("m14_density_grid", " UNION ALL ".join(f"SELECT * FROM ({_db_with(e, m)} SELECT key, CAST({e} AS DOUBLE) AS eps, CAST({m} AS INT) AS min_pts, prediction, core FROM labels)" for e, m in SEARCH))
+def m14_grid(spark, sf):
+    return DG.density_grid(_customers(spark, sf), "key", ["x", "y"], [1.0, 1.5], [4, 6])
+
+
 def _scored_lines(spark, sf):
     df = T.assemble(X.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice AS label"), ["l_quantity"])
     model = PipelineModel([M.regressor("linear_regression", regParam=0.0).fit(df)])
@@ -591,3 +597,23 @@ def l3(spark, sf):
 @query("l3_fit_clusterer_result")
 def l3_result(spark, sf):
     return rounded(_l3(spark, sf).metrics)
+
+
+def _l3_density(spark, sf):
+    cfg = PL.FitConfig(models=("dbscan",), params={"dbscan": {"eps_values": [0.05, 0.1, 0.2], "min_pts_values": [3, 5]}})
+    df = _customers(spark, sf).select(F.concat(F.lit("c"), "key").alias("key"), F.round("x", 1).alias("x"), "y")
+    return PL.fit_clusterer(df, "key", cfg)
+
+
+# every row of a part is in a cluster or noise
+@query("l3_fit_clusterer_dbscan", f"SELECT dataset, count(*) AS n, true AS in_range FROM (SELECT {PART_SQL} AS dataset FROM (SELECT 'c' || c_custkey AS key FROM customer)) GROUP BY dataset")
+def l3_density(spark, sf):
+    metrics = _l3_density(spark, sf).metrics
+    rows = F.sum(F.when(F.col("metric").isin("sample_count", "noise_count"), F.col("value"))).cast("bigint")
+    bound = (F.col("metric") != "silhouette") | F.col("value").between(-1, 1)
+    return metrics.groupBy("dataset").agg(rows.alias("n"), F.min(bound).alias("in_range"))
+
+
+@query("l3_fit_clusterer_dbscan_result")
+def l3_density_result(spark, sf):
+    return rounded(_l3_density(spark, sf).trials)
