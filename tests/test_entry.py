@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, compare
 
 # trained, searched or already covered by unit tests; the check tool runs them all
-FAST = [n for n in entry.queries() if n in entry.oracle_sql() and n != "m14_search_dbscan"]
+FAST = [n for n in entry.queries() if n in entry.oracle_sql()]
 
 
 @pytest.fixture(scope="module")
