@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from featurelens.functions.expressions import field_type, is_floating
+from featurelens.operators.joins import salted_join
+from featurelens.operators.shared import join_groups
 
 STATISTICS = ["count", "missing_percentage", "unique_count", "mean", "stddev", "min", "max"]
 
@@ -28,10 +32,33 @@ def quality_comparison(profile: DataFrame, rows: DataFrame | None = None) -> Dat
     return out if rows is None else out.join(duplicate_rows(rows), "dataset", "left")
 
 
+def _hashable(df: DataFrame, name: str) -> Column:
+    """A column in a form whose hash is the same for equal values."""
+    c, kind = F.col(f"`{name}`"), field_type(df, name)
+    if is_floating(kind):
+        return F.when(c == 0, F.lit(0.0).cast(kind)).otherwise(c)       # both zeros
+    return F.array_sort(F.map_entries(c)) if isinstance(kind, T.MapType) else c
+
+
 def duplicate_rows(rows: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows, per dataset."""
-    same = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_c"))
-    return same.groupBy("dataset").agg((F.sum("_c") - F.count(F.lit(1))).alias("duplicate_rows"))
+    """Rows beyond the first of each group of equal rows, per dataset; nulls are equal, as are NaNs.
+
+    Fingerprints of 128 bits are counted first; whole rows are compared only where a fingerprint repeats.
+    """
+    # columns by place: their own names cannot clash with the ones made here
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    dataset = names[rows.columns.index("dataset")]
+    rows = rows.toDF(*names)
+    parts = [_hashable(rows, c) for c in names]
+    # a null leaves a hash as it is: its place is hashed too
+    gaps = F.concat_ws("", *[F.col(c).isNull().cast("int").cast("string") for c in names])
+    marked = rows.withColumn("h1", F.xxhash64(*parts)).withColumn("h2", F.xxhash64(F.lit("second"), gaps, *parts[::-1]))
+    counts = marked.groupBy(dataset, "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+    again = counts.where(F.col("copies") > 1).groupBy("h1", "h2").agg(F.lit(True).alias("again"))
+    whole = salted_join(marked, again, ["h1", "h2"]).groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
+    found = whole.groupBy(dataset).agg((F.sum("copies") - F.count(F.lit(1))).alias("found"))
+    every = join_groups(counts.select(dataset).distinct(), found, [dataset], "left")
+    return every.select(F.col(dataset).alias("dataset"), F.coalesce("found", F.lit(0).cast("bigint")).alias("duplicate_rows"))
 
 
 def statistics_side_by_side(profile: DataFrame, datasets: Sequence[str], stats: Sequence[str] = STATISTICS) -> DataFrame:
