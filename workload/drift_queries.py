@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featurelens.operators import compare as K, correlate as C, drift as D, profile as P
+from featurelens.operators import compare as K, correlate as C, drift as D, profile as P, states as ST
 from workload import fixtures as X
 from workload.fixtures import sql
+from featurelens.operators.shared import fresh_path
 from workload.registry import query, r, rounded
 
 NUMERIC = ["price", "balance", "nation"]
@@ -179,3 +180,52 @@ def a32(spark, sf):
     report = K.comparison_report(pin_small(_profile(spark, sf))[0], pin_small(_corr(spark, sf))[0])
     long = K.report_long({k: report[k] for k in ("quality", "missing_drift", "correlation_differences", "statistics")})
     return rounded(long.where(F.col("measure").isin("avg_missing_percentage", "difference", "max_difference") | F.col("measure").endswith("_mean")))
+
+
+def _daily_states(spark, sf):
+    """The state of each day of events, stored and read back."""
+    events = X.table(spark, sf, "events").withColumn("day", F.to_date("ts").cast("string"))
+    path = fresh_path(spark, "states")
+    ST.write_state(ST.take_state(events, ["value", "user_id"], ["event_type"], by=["day"]), path, "january")
+    return ST.read_states(spark, path)
+
+
+_STATE_SQL = ("SELECT {day}'{f}' AS feature, count(*) AS total_rows, count(*) FILTER ({f} IS NULL) AS missing_count, " + r("avg(CAST({n} AS DOUBLE))") + " AS mean, "
+              + r("stddev_samp(CAST({n} AS DOUBLE))") + " AS stddev, min(CAST({n} AS DOUBLE)) AS min, max(CAST({n} AS DOUBLE)) AS max FROM events {group}")
+_STATE_FEATURES = [("value", "value"), ("user_id", "user_id"), ("event_type", "NULL")]
+_EXACT = ["feature", "total_rows", "missing_count", "mean", "stddev", "min", "max"]
+
+
+@query("a24_profile_from_daily_states", " UNION ALL ".join(_STATE_SQL.format(day="", f=f, n=n, group="") for f, n in _STATE_FEATURES))
+def a24_states(spark, sf):
+    return rounded(ST.profile_of_state(ST.merge_states(_daily_states(spark, sf))).select(*_EXACT))
+
+
+@query("a24_daily_profile", " UNION ALL ".join(_STATE_SQL.format(day="strftime(ts, '%Y-%m-%d') AS day, ", f=f, n=n, group="GROUP BY ALL") for f, n in _STATE_FEATURES))
+def a24_daily(spark, sf):
+    return rounded(ST.profile_of_state(_daily_states(spark, sf)).select("day", *_EXACT))
+
+
+# with the quartiles and distinct counts of the sketches
+@query("a24_profile_from_daily_states_result")
+def a24_states_result(spark, sf):
+    return ST.profile_of_state(ST.merge_states(_daily_states(spark, sf)))
+
+
+def _half_month_psi(spark, sf):
+    stored = _daily_states(spark, sf)
+    early, late = (ST.merge_states(ST.ProfileState(stored.columns.where(c), stored.values.where(c))) for c in ("day <= '2024-01-15'", "day > '2024-01-15'"))
+    return ST.psi_of_states(early, late)
+
+
+@query("a18_psi_from_daily_states", "WITH c AS (SELECT ts >= TIMESTAMP '2024-01-16' AS late, coalesce(event_type, '(missing)') AS bin, count(*) AS n FROM events GROUP BY ALL), "
+       "s AS (SELECT late, bin, n / CAST(sum(n) OVER (PARTITION BY late) AS DOUBLE) AS share FROM c), "
+       "p AS (SELECT coalesce(a.share, 0.0001) AS e, coalesce(b.share, 0.0001) AS a FROM (FROM s WHERE NOT late) a FULL JOIN (FROM s WHERE late) b ON a.bin = b.bin) "
+       f"SELECT 'event_type' AS feature, {r('sum((a - e) * ln(a / e))', 9)} AS psi FROM p")
+def a18_states(spark, sf):
+    return rounded(_half_month_psi(spark, sf).where("feature = 'event_type'"), 9)
+
+
+@query("a17_psi_from_daily_states_result")
+def a17_states_result(spark, sf):
+    return _half_month_psi(spark, sf)
