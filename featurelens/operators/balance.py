@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featurelens.functions.expressions import as_double, field_type, unit_hash
 from featurelens.operators.neighbours import distinct_points, knn
-from featurelens.operators.shared import pin_small
+from featurelens.operators.ordering import numbered
+from featurelens.operators.shared import ensure_checkpoint_dir, pin_small
 
 
 def class_needs(df: DataFrame, target: str, max_ratio: float = 0.05, base_rows: int | None = None) -> DataFrame:
@@ -26,6 +27,19 @@ def _times(expected, *keys: str, seed: int):
     return (F.floor(expected) + F.when(unit_hash(*keys, seed=seed) < expected - F.floor(expected), 1).otherwise(0)).cast("int")
 
 
+def _exact_times(df: DataFrame, expected: Column, need: int, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_times``, near ``expected`` for each row and ``need`` in sum.
+
+    Every row gets the whole part; the rest goes to rows drawn without replacement, with the fractions as weights:
+    those with the smallest exponential waiting time, found by a global order without a global task.
+    """
+    whole = df.withColumn("_whole", F.floor(expected).cast("int")).withColumn("_part", expected - F.floor(expected)).checkpoint()
+    rest = need - whole.agg(F.sum("_whole")).first()[0]
+    wait = F.when(F.col("_part") > 0, -F.ln(1.0 - unit_hash(key, seed=seed)) / F.col("_part")).otherwise(float("inf"))
+    placed = numbered(whole.withColumn("_order", F.struct(wait.alias("wait"), F.col(key).alias("key"))), "_order", "_at")
+    return placed.withColumn("_times", F.col("_whole") + (F.col("_at") < rest).cast("int")).drop("_whole", "_part", "_order", "_at")
+
+
 def oversample(df: DataFrame, target: str, key: str, max_ratio: float = 0.05, seed: int = 12345) -> DataFrame:
     """Rows of small classes are repeated; ``copy`` is 0 for the original row.
 
@@ -45,9 +59,12 @@ def smote(
     """Synthetic rows between a row and one of its ``k`` nearest rows of the same class.
 
     A base row is drawn with a weight that falls with its mean z-distance from
-    the class centre. A class with fewer than ``k`` rows is replicated instead.
-    The result has ``target``, the features and ``synthetic``.
+    the class centre. A class with fewer than ``k`` rows, or one row, is replicated
+    instead. A missing feature counts as the mean of its class (0 if all miss it).
+    Each class gets exactly the rows it needs. The result has ``target``, the
+    features and ``synthetic``.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     features = list(features)
     needs, rows = pin_small(class_needs(df, target, max_ratio, base_rows))
     base = df.select(target, key, *features, F.lit(False).alias("synthetic"))
@@ -61,24 +78,28 @@ def smote(
         need, count = row["_need"], row["_count"]
         if need <= 0:
             continue
-        members = df.where(F.col(target) == F.lit(row[target])).select(
-            F.col(key).alias("_key"), F.array(*[F.coalesce(as_double(f, field_type(df, f)), F.lit(0.0)) for f in features]).alias("vec"))
-        if count < k:
-            extra = members.withColumn("_n", F.explode(F.sequence(F.lit(1), _times(F.lit(need / count), "_key", seed=seed))))
+        raw = df.where(F.col(target) == F.lit(row[target])).select(
+            F.col(key).alias("_key"), F.array(*[as_double(f, field_type(df, f)) for f in features]).alias("vec"))
+        centre = raw.agg(*[x for i in range(len(features)) for x in (
+            F.avg(F.col("vec").getItem(i)).alias(f"m{i}"), F.stddev_pop(F.col("vec").getItem(i)).alias(f"s{i}"))]).first()
+        mean = [centre[f"m{i}"] or 0.0 for i in range(len(features))]
+        spread = [centre[f"s{i}"] or 0.0 for i in range(len(features))]
+        members = raw.select("_key", F.array(*[F.coalesce(F.get("vec", F.lit(i)), F.lit(mean[i])) for i in range(len(features))]).alias("vec"))
+        if count < max(k, 2):
+            extra = _exact_times(members, F.lit(need / count), need, "_key", seed).where(F.col("_times") > 0)
+            extra = extra.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
             made = extra.select(F.lit(row[target]).alias(target), *[typed(F.col("vec").getItem(i), f) for i, f in enumerate(features)],
                                 F.lit(True).alias("synthetic"))
             parts.append(made)
             continue
-        centre = members.agg(*[x for i in range(len(features)) for x in (
-            F.avg(F.col("vec").getItem(i)).alias(f"m{i}"), F.stddev_pop(F.col("vec").getItem(i)).alias(f"s{i}"))]).first()
-        if any(centre[f"s{i}"] > 0 for i in range(len(features))):
-            z = sum(F.abs(F.col("vec").getItem(i) - F.lit(centre[f"m{i}"])) / F.lit(centre[f"s{i}"] + 1e-8) for i in range(len(features)))
+        if any(s > 0 for s in spread):
+            z = sum(F.abs(F.col("vec").getItem(i) - F.lit(mean[i])) / F.lit(spread[i] + 1e-8) for i in range(len(features)))
             weight = 1.0 / (1.0 + z / len(features))
         else:
             weight = F.lit(1.0)
         weighted = members.withColumn("_w", weight)
         total = weighted.agg(F.sum("_w")).first()[0]
-        drawn = weighted.withColumn("_times", _times(F.col("_w") / F.lit(total) * need, "_key", seed=seed)).where(F.col("_times") > 0)
+        drawn = _exact_times(weighted, F.col("_w") / F.lit(total) * need, need, "_key", seed).where(F.col("_times") > 0)
         draws = drawn.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_key", "vec", "_n")
         pairs = knn(distinct_points(members, "vec"), k, drawn.select("vec"), pivots)
         # at most k neighbours per distinct vector

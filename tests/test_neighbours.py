@@ -159,3 +159,14 @@ def test_assign_without_core_rows(spark):
     df = spark.createDataFrame([(i, float(i * 1000)) for i in range(6)], "id bigint, x double")
     fitted = D.fit_dbscan(df, "id", ["x"], 0.5, 3)
     assert {r["prediction"] for r in D.assign_dbscan(df, "id", ["x"], fitted, df, 0.5).collect()} == {-1}
+
+
+@pytest.mark.parametrize("few,k", [(30, 3), (4, 5), (1, 1)])
+def test_smote_adds_exactly_the_rows_it_needs(spark, few, k):
+    rows = [(i, 0, float(i % 17), 1.0) for i in range(997)] + [(2000 + i, 1, 50.0 + i % 7, None if i % 3 else 4.0) for i in range(few)]
+    df = spark.createDataFrame(rows, "id bigint, y int, x double, g double").repartition(4)
+    for ratio in (0.08, 0.111):
+        made = B.smote(df, "y", "id", ["x", "g"], ratio, k).where("synthetic").collect()
+        assert len(made) == int(997 * ratio) - few
+        # a gap counts as the class mean, not as 0
+        assert all(r["y"] == 1 and 50.0 <= r["x"] <= 56.0 and abs(r["g"] - 4.0) < 1e-9 for r in made)

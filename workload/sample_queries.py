@@ -42,8 +42,8 @@ def b4(spark, sf):
     return B.oversample(X.rare(spark, sf), "target", "event_id", max_ratio=0.2).select("event_id", "target", "copy")
 
 
-# synthetic rows stay inside the value range of their class and bring it near the asked size
-@query("b5_smote")
+# synthetic rows stay inside the value range of their class and bring it to the asked size
+@query("b5_smote", sql("SELECT true AS inside, true AS minority_only, true AS near_goal, CAST(floor(count(*) FILTER (target = 0) * CAST('0.06' AS DOUBLE)) AS BIGINT) - count(*) FILTER (target = 1) AS made FROM rare", "rare"))
 def b5(spark, sf):
     df = X.rare(spark, sf)
     out = B.smote(df, "target", "event_id", ["value", "user_id"], max_ratio=0.06)
@@ -52,7 +52,7 @@ def b5(spark, sf):
     made = out.where("synthetic")
     return made.agg(
         F.min(F.col("value").between(span["lo"], span["hi"])).alias("inside"), F.min(F.col("target") == 1).alias("minority_only"),
-        (F.abs(F.count(F.lit(1)) - (int(most * 0.06) - span["n"])) <= 0.15 * most * 0.06).alias("near_goal"))
+        (F.abs(F.count(F.lit(1)) - (int(most * 0.06) - span["n"])) <= 0.15 * most * 0.06).alias("near_goal"), F.count(F.lit(1)).alias("made"))
 
 
 @query("b6_selection_sample", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {u_sql('l_orderkey', 'l_linenumber', seed=42)} < CAST('0.3' AS DOUBLE)")
