@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import FMRegressionModel
 from pyspark.sql import functions as F
 
-from featurelens.operators import models as M, tune
+from featurelens.operators import factorization, models as M, tune
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +44,24 @@ def test_constant_and_missing_labels(rows):
     assert got[0] == pytest.approx(12.5, abs=1) and got[1] == pytest.approx(12.5, abs=1)
     with pytest.raises(ValueError, match="label"):
         M.regressor("fm_regression").fit(rows.withColumn("label", F.lit(None).cast("double")))
+
+
+@pytest.mark.parametrize("options", [{}, {"regParam": 0.01, "maxIter": 20}, {"fitIntercept": False, "fitLinear": False}, {"tol": 0.01}])
+def test_same_fit_as_mllib_without_a_pass_for_every_step(rows, options, monkeypatch):
+    fast = M.regressor("fm_regression", **options).fit(rows)
+    monkeypatch.setattr(factorization, "MAX_TERMS", 0)
+    plain = M.regressor("fm_regression", **options).fit(rows)
+    assert isinstance(plain.stages[1], FMRegressionModel)
+    both = fast.transform(rows).select("key", F.col("prediction").alias("a")).join(plain.transform(rows).select("key", "prediction"), "key").collect()
+    assert len(both) == 600 and max(abs(r["a"] - r["prediction"]) for r in both) < 1e-6 * 1e5
+
+
+def test_rows_are_read_in_few_passes(spark, rows):
+    sc = spark.sparkContext
+    sc.setJobGroup("fm", "fit")
+    try:
+        M.regressor("fm_regression").fit(rows)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("fm"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 25
