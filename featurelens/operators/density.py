@@ -26,9 +26,9 @@ from featurelens.operators.cluster_metrics import feature_array, silhouette
 from featurelens.operators.components import connected_components
 from featurelens.operators.dbscan import (
     CONSERVATIVE_EPS, CONSERVATIVE_MIN_PTS, EPS_GRID, MAX_NOISE_PERCENT, MIN_PTS_GRID, NOISE,
-    cell_node, compare_cells, fit_dbscan, heads_of_cells, nearest_core_labels,
+    cell_node, compare_cells, fit_dbscan, heads_of_cells, nearest_core_labels, spanning_forest,
 )
-from featurelens.operators.joins import salted_join
+from featurelens.operators.joins import salted_join, spread_join
 from featurelens.operators.neighbours import blocks, chunk_apply, distances, make_cells, objects, stack
 from featurelens.operators.ordering import numbered
 from featurelens.operators.shared import SMALL_FRAME_ROWS, ensure_checkpoint_dir, local_frame
@@ -36,30 +36,6 @@ from featurelens.operators.shared import SMALL_FRAME_ROWS, ensure_checkpoint_dir
 NO_LABEL = np.iinfo("int32").max
 
 
-def spanning_forest(u: np.ndarray, v: np.ndarray, level: np.ndarray, levels: int) -> np.ndarray:
-    """Indices of edges that connect, up to every level, what all edges up to that level connect, without a cycle."""
-    n = int(max(u.max(), v.max())) + 1 if len(u) else 0
-    root, kept = np.arange(n), [np.empty(0, dtype=np.int64)]
-    for lv in range(levels):
-        at = np.flatnonzero(level == lv)
-        while len(at):
-            a, b = root[u[at]], root[v[at]]
-            at, a, b = at[a != b], a[a != b], b[a != b]
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            # every tree that touches one with a smaller root joins the smallest
-            least = np.full(n, n)
-            np.minimum.at(least, high, low)
-            chosen = np.full(n, -1)
-            hit = low == least[high]
-            chosen[high[hit]] = at[hit]
-            trees = np.flatnonzero(chosen >= 0)
-            kept.append(chosen[trees])
-            root[trees] = least[trees]
-            while (root[root] != root).any():
-                root = root[root]
-    return np.concatenate(kept)
-
-
 def _grid_labels(df: DataFrame, key: str, features: Sequence[str], eps: list[float], min_pts: list[int], pivots: int | None) -> DataFrame:
     """``_key, vec, labels, cores``: one array place per setting, the places of one min_pts side by side."""
     if not eps or not min_pts or eps[0] <= 0:
@@ -82,7 +58,7 @@ def _grid_labels(df: DataFrame, key: str, features: Sequence[str], eps: list[flo
     pts = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("_key").alias("first"))
     pts = pts.withColumn("node", cell_node(F.transform("vec", lambda x: F.floor(x / side))))
     dense = pts.groupBy("node").agg(F.sum("weight").alias("held")).where(F.col("held") >= min_pts[-1])
-    pts = salted_join(pts, dense.select("node", F.lit(True).alias("dense")), ["node"], "left", salt_by=["vec"])
+    pts = salted_join(pts, dense.select("node", F.lit(True).alias("dense")), ["node"], "left", salt_by=["vec"], spread=True)
     pts = pts.withColumn("dense", F.coalesce("dense", F.lit(False))).checkpoint()
     if pts.isEmpty():
         return every.select("_key", "vec", F.transform(places, lambda s: F.lit(NOISE)).alias("labels"),
@@ -103,7 +79,7 @@ def _grid_labels(df: DataFrame, key: str, features: Sequence[str], eps: list[flo
     counted = chunk_apply(cells, sparse, pts.select("vec", "weight"), reach, count, "vec array<double>, n array<bigint>")
     counted = counted.groupBy("vec").agg(F.array(*[F.sum(F.get("n", F.lit(e))) for e in range(n_eps)]).alias("n"))
     level = lambda m: F.when(F.col("dense"), F.lit(0)).otherwise(F.size(F.filter("n", lambda x: x < m)))
-    pts = pts.join(counted, "vec", "left").withColumn("lev", F.array(*[level(m) for m in min_pts])).withColumn(
+    pts = spread_join(pts, counted, ["vec"], "left").withColumn("lev", F.array(*[level(m) for m in min_pts])).withColumn(
         "node", F.when(F.col("dense"), F.col("node")).otherwise(cell_node(F.col("vec")))).drop("n").checkpoint()
     core = pts.where(F.get("lev", F.lit(0)) < n_eps)
 
@@ -134,16 +110,16 @@ def _grid_labels(df: DataFrame, key: str, features: Sequence[str], eps: list[flo
     edges = edges.withColumn("e", F.explode(F.sequence("level", F.lit(n_eps - 1)))).withColumn("s", F.col("m") * n_eps + F.col("e"))
     edges = edges.select(tagged(F.col("s"), F.col("u")).alias("u"), tagged(F.col("s"), F.col("v")).alias("v"))
     nodes = core.select("node", "lev").distinct().withColumn("s", F.explode(F.filter(places, is_core)))
-    comp = connected_components(nodes.select(tagged(F.col("s"), F.col("node")).alias("node")), edges).checkpoint()
+    comp = connected_components(nodes.select(tagged(F.col("s"), F.col("node")).alias("node")), edges, spread=True).checkpoint()
     comp = _join_separate_cells(core, comp, d, steps, n_min).checkpoint()
 
     named = core.select("vec", "first", "node", F.explode(F.filter(places, is_core)).alias("s"))
-    named = salted_join(named.withColumn("node", tagged(F.col("s"), F.col("node"))), comp, ["node"], "inner", salt_by=["vec"])
+    named = salted_join(named.withColumn("node", tagged(F.col("s"), F.col("node"))), comp, ["node"], "inner", salt_by=["vec"], spread=True)
     order = named.groupBy("component").agg(F.min(F.struct("s", "first", "component")).alias("place"))
     order = numbered(order, "place", "number").checkpoint()
     start = order.groupBy(F.col("place.s").alias("s")).agg(F.min("number").alias("start"))      # one row per setting
     order = order.withColumn("s", F.col("place.s")).join(start, "s").select("component", (F.col("number") - F.col("start")).cast("int").alias("prediction"))
-    named = salted_join(named, order, ["component"], "inner", salt_by=["vec"])
+    named = salted_join(named, order, ["component"], "inner", salt_by=["vec"], spread=True)
     labelled = named.groupBy("vec").agg(F.array(*[
         F.coalesce(F.max(F.when(F.col("s") == s, F.col("prediction"))), F.lit(int(NO_LABEL))) for s in range(settings)]).alias("own")).checkpoint()
 
@@ -163,10 +139,10 @@ def _grid_labels(df: DataFrame, key: str, features: Sequence[str], eps: list[flo
     near = chunk_apply(cells, asks, labelled, reach, border, "vec array<double>, near array<int>")
     near = near.groupBy("vec").agg(F.array(*[F.min(F.get("near", F.lit(s))) for s in range(settings)]).alias("near"))
     best = lambda s: F.least(F.coalesce(F.get("own", s), F.lit(int(NO_LABEL))), F.coalesce(F.get("near", s), F.lit(int(NO_LABEL))))
-    labels = pts.select("vec", "lev").join(labelled, "vec", "left").join(near, "vec", "left").select(
+    labels = spread_join(spread_join(pts.select("vec", "lev"), labelled, ["vec"], "left"), near, ["vec"], "left").select(
         "vec", F.transform(places, lambda s: F.when(best(s) == int(NO_LABEL), NOISE).otherwise(best(s))).alias("labels"),
         F.transform(places, is_core).alias("cores"))
-    out = salted_join(rows, labels, ["vec"], "inner", salt_by=["_key"])
+    out = salted_join(rows, labels, ["vec"], "inner", salt_by=["_key"], spread=True)
     return out.select("_key", "vec", "labels", "cores").unionByName(every.where(gap).select(
         "_key", "vec", F.transform(places, lambda s: F.lit(NOISE)).alias("labels"), F.transform(places, lambda s: F.lit(False)).alias("cores")))
 
@@ -186,7 +162,7 @@ def _join_separate_cells(core: DataFrame, comp: DataFrame, d: int, steps: np.nda
     parts = comp.select(F.split_part("node", F.lit(":"), F.lit(1)).cast("int").alias("s"), F.split_part("node", F.lit(":"), F.lit(2)).alias("node"), "component")
     tops = parts.where(F.col("s") >= first).groupBy("node").agg(F.array(*[
         F.max(F.when(F.col("s") == first + e, F.col("component"))) for e in range(n_eps)]).alias("tops"))
-    boxes = boxes.join(tops, "node").withColumn("vec", F.zip_with("lo", "hi", lambda a, b: (a + b) / 2)).checkpoint()
+    boxes = spread_join(boxes, tops, ["node"]).withColumn("vec", F.zip_with("lo", "hi", lambda a, b: (a + b) / 2)).checkpoint()
     if boxes.select(F.get("tops", F.lit(0))).distinct().limit(2).count() < 2:
         return comp
     cells = make_cells(boxes)
@@ -227,10 +203,10 @@ def _join_separate_cells(core: DataFrame, comp: DataFrame, d: int, steps: np.nda
     met = met.withColumn("e", F.explode(F.sequence("level", F.lit(n_eps - 1)))).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(n_min - 1))))
     met = met.withColumn("s", F.col("m") * n_eps + F.col("e"))
     met = met.select(F.concat_ws(":", "s", "u").alias("u"), F.concat_ws(":", "s", "v").alias("v"))
-    lifted = met.join(comp.withColumnsRenamed({"node": "u", "component": "cu"}), "u").join(
-        comp.withColumnsRenamed({"node": "v", "component": "cv"}), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    groups = connected_components(comp.select(F.col("component").alias("node")).distinct(), lifted)
-    return comp.join(groups.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component").select(
+    lifted = spread_join(spread_join(met, comp.withColumnsRenamed({"node": "u", "component": "cu"}), ["u"]),
+                         comp.withColumnsRenamed({"node": "v", "component": "cv"}), ["v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    groups = connected_components(comp.select(F.col("component").alias("node")).distinct(), lifted, spread=True)
+    return spread_join(comp, groups.select(F.col("node").alias("component"), F.col("component").alias("whole")), ["component"]).select(
         "node", F.col("whole").alias("component"))
 
 
@@ -340,7 +316,7 @@ class DensityModel(Model, HasFeaturesCol, HasPredictionCol, MLWritable, MLReadab
         near = nearest_core_labels(named.select(F.col("_vec").alias("vec")).distinct(), self.cores, eps)
         near = near.select(F.col("vec").alias("_vec"), F.col("prediction").alias("_near"))
         salt = [f"`{f.name}`" for f in df.schema if f.dataType.typeName() not in ("map", "udt", "vectorudt", "variant")]
-        out = salted_join(named, near, ["_vec"], "left", salt_by=salt or ["_vec"])
+        out = salted_join(named, near, ["_vec"], "left", salt_by=salt or ["_vec"], spread=True)
         return out.withColumn(label, F.coalesce("_near", F.lit(NOISE))).drop("_vec", "_near")
 
     def write(self) -> MLWriter:
@@ -387,5 +363,5 @@ def fit_density_model(df: DataFrame, key: str, eps: float | None = None, min_pts
         labels, trials, setting = _search(flat, key, names, eps_values if eps is None else [eps], min_pts_values if min_pts is None else [min_pts])
     if setting is None:
         return DensityModel(), trials
-    cores = flat.join(labels.where("core"), key).groupBy("vec").agg(F.min("prediction").alias("prediction")).checkpoint()
+    cores = spread_join(flat, labels.where("core"), [key]).groupBy("vec").agg(F.min("prediction").alias("prediction")).checkpoint()
     return DensityModel(cores, *setting), trials
