@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from featurelens.functions.expressions import safe_corr, unit_hash
 from featurelens.operators.binary_metrics import to_metric_rows
@@ -17,19 +17,50 @@ from featurelens.operators.shared import join_groups, local_frame, pin_small
 ZERO_GUARD = 1e-8
 
 
+def _basic(target: str, prediction: str) -> tuple[list[Column], dict[str, Column]]:
+    """Aggregates and the columns made from them."""
+    y, e = F.col(target), F.col(target) - F.col(prediction)
+    return ([F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(y).alias("_v")],
+            {"rmse": F.sqrt("mse"), "r2": 1 - F.try_divide("mse", "_v")})
+
+
+def _percentage(target: str, prediction: str) -> tuple[list[Column], dict[str, Column]]:
+    y, e = F.col(target), F.col(target) - F.col(prediction)
+    base = F.when(y == 0, F.lit(ZERO_GUARD)).otherwise(y)
+    return ([(F.avg(F.abs(e / base)) * 100).alias("mape"), F.var_pop(e).alias("_e"), F.var_pop(y).alias("_y")],
+            {"explained_variance": 1 - F.try_divide("_e", "_y")})
+
+
+def _extended(target: str, prediction: str, exact: bool) -> list[Column]:
+    y, p = F.col(target), F.col(prediction)
+    e = y - p
+    log_ok = (y > -1) & (p > -1)
+    # log1p is only evaluated where it is defined
+    sq = F.when(log_ok, F.pow(F.log1p(F.greatest(y, F.lit(-0.999999999))) - F.log1p(F.greatest(p, F.lit(-0.999999999))), 2))
+    return [F.max(F.abs(e)).alias("max_error"), F.avg(sq).alias("msle"),
+            F.avg(e).alias("residual_mean"), F.stddev(e).alias("residual_std"),
+            F.skewness(e).alias("residual_skewness"), F.kurtosis(e).alias("residual_kurtosis"),
+            F.avg(p).alias("prediction_mean"), F.stddev(p).alias("prediction_std"),
+            F.avg(y).alias("actual_mean"), F.stddev(y).alias("actual_std"), F.count(F.lit(1)).alias("n_samples"),
+            *([] if exact else [F.percentile_approx(F.abs(e), 0.5, 10_000).alias("median_absolute_error")])]
+
+
+def _exact_median(df: DataFrame, out: DataFrame, target: str, prediction: str, by: list[str]) -> DataFrame:
+    q = exact_quantiles(df.select(*by, F.abs(F.col(target) - F.col(prediction)).alias("_e")), by, "_e", [0.5])
+    med = quantile_columns(q, by, {0.5: "median_absolute_error"})
+    return join_groups(out, med, by) if by else out.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 def basic_metrics(df: DataFrame, target: str, prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     """RMSE, MAE, R2, MSE in one aggregation."""
-    y, e = F.col(target), F.col(target) - F.col(prediction)
-    out = df.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(y).alias("_v"))
-    return out.select(*by, F.sqrt("mse").alias("rmse"), "mae", (1 - F.try_divide("mse", "_v")).alias("r2"), "mse")
+    sums, made = _basic(target, prediction)
+    return df.groupBy(*by).agg(*sums).withColumns(made).select(*by, "rmse", "mae", "r2", "mse")
 
 
 def percentage_metrics(df: DataFrame, target: str, prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     """MAPE (zero actual counts as 1e-8) and explained variance."""
-    y, e = F.col(target), F.col(target) - F.col(prediction)
-    base = F.when(y == 0, F.lit(ZERO_GUARD)).otherwise(y)
-    out = df.groupBy(*by).agg((F.avg(F.abs(e / base)) * 100).alias("mape"), F.var_pop(e).alias("_e"), F.var_pop(y).alias("_y"))
-    return out.select(*by, "mape", (1 - F.try_divide("_e", "_y")).alias("explained_variance"))
+    sums, made = _percentage(target, prediction)
+    return df.groupBy(*by).agg(*sums).withColumns(made).select(*by, "mape", "explained_variance")
 
 
 def extended_metrics(df: DataFrame, target: str, prediction: str = "prediction", by: Sequence[str] = (), exact: bool = False) -> DataFrame:
@@ -38,23 +69,8 @@ def extended_metrics(df: DataFrame, target: str, prediction: str = "prediction",
     MSLE uses rows where both sides exceed -1. Skewness and kurtosis are the population forms.
     """
     by = list(by)
-    y, p = F.col(target), F.col(prediction)
-    e = y - p
-    log_ok = (y > -1) & (p > -1)
-    # log1p is only evaluated where it is defined
-    sq = F.when(log_ok, F.pow(F.log1p(F.greatest(y, F.lit(-0.999999999))) - F.log1p(F.greatest(p, F.lit(-0.999999999))), 2))
-    out = df.groupBy(*by).agg(
-        F.max(F.abs(e)).alias("max_error"), F.avg(sq).alias("msle"),
-        F.avg(e).alias("residual_mean"), F.stddev(e).alias("residual_std"),
-        F.skewness(e).alias("residual_skewness"), F.kurtosis(e).alias("residual_kurtosis"),
-        F.avg(p).alias("prediction_mean"), F.stddev(p).alias("prediction_std"),
-        F.avg(y).alias("actual_mean"), F.stddev(y).alias("actual_std"), F.count(F.lit(1)).alias("n_samples"),
-        *([] if exact else [F.percentile_approx(F.abs(e), 0.5, 10_000).alias("median_absolute_error")]))
-    if exact:
-        q = exact_quantiles(df.select(*by, F.abs(e).alias("_e")), by, "_e", [0.5])
-        med = quantile_columns(q, by, {0.5: "median_absolute_error"})
-        out = join_groups(out, med, by) if by else out.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return out
+    out = df.groupBy(*by).agg(*_extended(target, prediction, exact))
+    return _exact_median(df, out, target, prediction, by) if exact else out
 
 
 ERROR_PROBS = {0.5: "median", 0.9: "p90", 0.95: "p95", 0.99: "p99"}
@@ -135,12 +151,17 @@ METRICS = ["rmse", "mae", "r2", "mse", "mape", "explained_variance", "max_error"
 
 
 def validate_regression(df: DataFrame, target: str, prediction: str = "prediction", by: Sequence[str] = ("dataset",), exact: bool = False) -> DataFrame:
-    """Metric rows of E8-E10 per group after dropping unusable rows."""
+    """Metric rows of E8-E10 per group after dropping unusable rows (P8), from one aggregation; ``exact`` reads the rows again for the median."""
     by = list(by)
-    clean = clean_predictions(df, target, prediction).select(*by, target, prediction).persist(StorageLevel.MEMORY_AND_DISK)
+    clean = clean_predictions(df, target, prediction).select(*by, target, prediction)
+    if exact:
+        clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        wide = join_groups(join_groups(basic_metrics(clean, target, prediction, by), percentage_metrics(clean, target, prediction, by), by), 
-            extended_metrics(clean, target, prediction, by, exact), by)
+        (basic, made), (percentage, more) = _basic(target, prediction), _percentage(target, prediction)
+        wide = clean.groupBy(*by).agg(*basic, *percentage, *_extended(target, prediction, exact)).withColumns(made | more)
+        if exact:
+            wide = _exact_median(clean, wide, target, prediction, by)
         return pin_small(to_metric_rows(wide, by, METRICS))[0]
     finally:
-        clean.unpersist()
+        if exact:
+            clean.unpersist()

@@ -22,7 +22,7 @@ from featurelens.operators.columns import clean_numeric_target, clustering_colum
 from featurelens.operators.profile import class_distribution, detect_imbalance, full_profile, tag_datasets
 from featurelens.operators.select import audit_trail, select_features
 from featurelens.operators.shared import local_frame, pin_small
-from featurelens.operators.split import clustering_split, train_valid_test, with_folds
+from featurelens.operators.split import clustering_split, train_valid_test, with_folds, with_split
 from featurelens.operators.transform import (
     Preprocessor, build_preprocessing, encoded_frame, fit_preprocessor, with_label,
 )
@@ -91,9 +91,22 @@ def _selected_raw(rows: DataFrame, target: str, key: str, task: str, cfg: FitCon
 
 
 def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig, later: dict[str, DataFrame]) -> FitResult:
-    parts = train_valid_test(df, key, cfg.train_size, cfg.valid_size, cfg.seed)
-    raw, ranked = _selected_raw(parts["train"], target, key, task, cfg)
-    pre = fit_preprocessor(parts["train"].select(key, target, *raw), target, keep=raw, missing_threshold=1.0,
+    sizes = {"train": cfg.train_size, "valid": cfg.valid_size, "test": 1.0 - cfg.train_size - cfg.valid_size}
+    raw, ranked = _selected_raw(train_valid_test(df, key, cfg.train_size, cfg.valid_size, cfg.seed)["train"], target, key, task, cfg)
+    # the part of a row is found once; the raw columns take less room than their vectors, the key only stays where a step needs it
+    keyed = task == "classification" or cfg.tune or cfg.attribution or cfg.cross_validation != "never"
+    keys = [key] if keyed else []
+    split = with_split(df.select(key, target, *raw), key, sizes, cfg.seed).select("dataset", *keys, target, *raw).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _trained(split, raw, ranked, df, target, key, keys, task, cfg, later)
+    finally:
+        split.unpersist()
+
+
+def _trained(split: DataFrame, raw: list[str], ranked: Preprocessor, df: DataFrame, target: str, key: str, keys: list[str], task: str, cfg: FitConfig,
+             later: dict[str, DataFrame]) -> FitResult:
+    parts = {n: split.where(F.col("dataset") == n).drop("dataset") for n in ("train", "valid", "test")}
+    pre = fit_preprocessor(parts["train"], target, keep=raw, missing_threshold=1.0,
                            max_categories=cfg.max_categories, classify=task == "classification")
     classes, synthetic = 2, False
     train_rows = parts["train"]
@@ -109,16 +122,20 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
                 raise ValueError(f"unknown balance method: {cfg.balance_method}")
             synthetic = cfg.balance_method == "smote"
 
-    def ready(d: DataFrame) -> DataFrame:
+    def ready(d: DataFrame, *more: str) -> DataFrame:
         out = pre.transform(d)
         out = with_label(pre, out) if task == "classification" else out.withColumn("label", F.col(target).cast("double"))
-        return out.select(key, "features", "label")
+        return out.select(*more, *keys, "features", "label")
 
-    train = (_synthetic(ready(train_rows), key, len(pre.feature_columns), cfg) if synthetic else ready(train_rows)).persist(StorageLevel.MEMORY_AND_DISK)
-    tagged = None
+    train = _synthetic(ready(train_rows), key, len(pre.feature_columns), cfg) if synthetic else ready(train_rows)
+    # rows that only balancing makes, and those of later tables, are not among the stored ones
+    stored = [train.persist(StorageLevel.MEMORY_AND_DISK)] if train_rows is not parts["train"] or synthetic else []
     try:
-        data = {"train": ready(parts["train"]), "valid": ready(parts["valid"]), "test": ready(parts["test"]), **{n: ready(d) for n, d in later.items()}}
-        tagged = tag_datasets(data).persist(StorageLevel.MEMORY_AND_DISK)
+        data = {n: ready(d) for n, d in parts.items()}
+        tagged = ready(split, "dataset")
+        if later:
+            stored.append(tag_datasets({n: ready(d) for n, d in later.items()}).persist(StorageLevel.MEMORY_AND_DISK))
+            tagged = tagged.unionByName(stored[-1])
         width = len(pre.feature_columns)
         names = list(cfg.models) or (["logistic", "random_forest", "decision_tree"] if task == "classification"
                                      else ["linear_regression", "random_forest", "decision_tree"])
@@ -147,7 +164,8 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
         # one row per model, dataset and metric
         rows, _ = pin_small(rows)
         folds = None
-        if tune.use_cross_validation(cfg.cross_validation, tagged.where(F.col("dataset") == "train").count(), bool(later)):
+        count = parts["train"].count() if cfg.cross_validation == "auto" else 0
+        if tune.use_cross_validation(cfg.cross_validation, count, bool(later)):
             # the rows before balancing
             whole = cross_validation_frame([data[n] for n in ("train", "valid", "test")], key, cfg.folds, cfg.seed)
             scores = []
@@ -164,9 +182,8 @@ def _supervised(df: DataFrame, target: str, key: str, task: str, cfg: FitConfig,
             explain = tree_attribution if best in TREES else shapley
             shares, _ = pin_small(mean_attribution(explain(data["valid"], fitted[best], key, pre.feature_columns, max_rows=cfg.attribution_rows, seed=cfg.seed)))
     finally:
-        train.unpersist()
-        if tagged is not None:
-            tagged.unpersist()
+        for frame in stored:
+            frame.unpersist()
     stages = [*pre.model.stages, fitted[best]]
     if pre.labels:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted_" + target, labels=list(pre.labels)))
